@@ -24,7 +24,7 @@ SPAN = 13
 #: The longest block of which one lies whole in every run of SPAN words.
 BLOCK = (SPAN + 1) // 2
 #: Entries that a task gathers before it sends them out by bucket.
-SEND = 2_000_000
+SEND = 600_000
 
 
 def _by_bucket(buckets: int, which: np.ndarray, doc: np.ndarray, columns: dict[str, np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, dict[str, np.ndarray]]]:
