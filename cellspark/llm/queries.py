@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, merkle, quality, secrets, substring, toxicity, warc
+from . import decontaminate, merkle, minhash, packing, quality, secrets, substring, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,9 +35,17 @@ def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.linked(_table(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_table(spark, sf_dir, "documents"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_substring, op4_toxicity, op5_warc, op7_merkle, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_substring, op4_toxicity, op5_warc, op7_merkle, op8_minhash, op9_packing, op10_secrets)}
 ORACLE_SQL: dict[str, str] = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellspark.llm import decontaminate, secrets, toxicity
+from cellspark.llm import decontaminate, minhash, packing, secrets, toxicity
 from cellspark.llm.store import stored
 
 
@@ -14,6 +14,12 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return toxicity.scored(docs, weights).where("score < 0.7").drop("score")
 
 
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id."""
+    kept = minhash.linked(docs).where("not kept").select("doc_id")
+    return docs.join(kept.hint("shuffle_merge"), "doc_id", "left_anti").select(*docs.columns)
+
+
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a word in a window of a benchmark item."""
     found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=docs.columns)
@@ -25,7 +31,18 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return secrets.redacted(docs)
 
 
-STAGES = [("toxicity", without_toxic), ("benchmark decontamination", without_benchmark), ("secret scan", without_secrets)]
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("near duplicates", without_copies),
+    ("benchmark decontamination", without_benchmark),
+    ("secret scan", without_secrets),
+    ("packing", sequences),
+]
 #: No SQL expresses the trained stages.
 ORACLE_SQL = None
 
