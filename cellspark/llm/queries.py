@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, merkle, minhash, packing, quality, secrets, substring, toxicity, warc
+from . import decontaminate, merkle, minhash, ngram, packing, quality, secrets, substring, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(_table(spark, sf_dir, "pages"))
 
 
+def op6_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.scored(_table(spark, sf_dir, "documents"))
+
+
 def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprints(_table(spark, sf_dir, "documents"))
 
@@ -47,5 +51,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_substring, op4_toxicity, op5_warc, op7_merkle, op8_minhash, op9_packing, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_substring, op4_toxicity, op5_warc, op6_ngram, op7_merkle, op8_minhash, op9_packing, op10_secrets)}
 ORACLE_SQL: dict[str, str] = {}
