@@ -93,14 +93,49 @@ def _probes(buckets: int):
 PROBES = "bucket int, part int, ids binary, counts binary, prints binary, anchors binary"
 
 
-def _anchored(table: pa.Table) -> pa.Table:
-    """Of one bucket, the hashes that hit a block of another document: rows (doc_id, part, prints)."""
-    bucket = table.column("bucket")[0].as_py() if len(table) else 0
-    out = {"doc_id": [], "part": [], "prints": []}
-    if bucket < 0:
-        groups = [(p, unpacked(t.column("ids"), np.int64), unpacked(t.column("counts"), np.int32), unpacked(t.column("prints"), np.uint32)) for t in (table.slice(i, 1) for i in range(len(table))) for p in t.column("part").to_pylist()]
-        groups = [(p, np.repeat(ids, counts), prints) for p, ids, counts, prints in groups]
-    else:
+def _grouped(groups: int, doc: np.ndarray, values: np.ndarray, part: int) -> Iterator[tuple]:
+    """(group of documents, part, ids, counts, values): what goes back to the documents, packed."""
+    order = np.argsort(doc, kind="stable")
+    doc, values = doc[order], values[order]
+    which = (mix(doc.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+    for b, ids, counts, c in _by_bucket(groups, which, doc, {"v": values}) if len(doc) else ():
+        yield b, part, ids, counts, c["v"]
+
+
+def _answers(rows: list[tuple], dtype) -> pa.Table:
+    return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), packed([r[2] for r in rows], np.int64), packed([r[3] for r in rows], np.int32), packed([r[4] for r in rows], dtype)], ["group", "part", "ids", "counts", "found"])
+
+
+ANSWERS = "group int, part int, ids binary, counts binary, found binary"
+
+
+def _gathered(buckets: int, dtype):
+    """Of one group of documents, a row (doc_id, found) each; found as 64-bit hashes."""
+
+    def run(table: pa.Table) -> pa.Table:
+        doc = np.repeat(unpacked(table.column("ids"), np.int64), unpacked(table.column("counts"), np.int32))
+        found = unpacked(table.column("found"), dtype).astype(np.uint64)
+        if dtype is np.uint32:
+            part = np.repeat(table.column("part").to_numpy(), [len(x) // 4 for x in table.column("found").to_pylist()])
+            found = found * np.uint64(buckets) + part.astype(np.uint64)
+        order = np.lexsort((found, doc))
+        doc, found = doc[order], found[order]
+        edges = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, int)
+        return pa.table([pa.array(doc[edges], pa.int64()), packed(np.split(found, edges[1:]) if len(edges) else [], np.uint64)], ["doc_id", "found"])
+
+    return run
+
+
+def _anchored(groups: int):
+    """Of one bucket, the hashes that hit a block of another document."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket, rows = table.column("bucket")[0].as_py(), []
+        if bucket < 0:  # known to repeat
+            for one in (table.slice(i, 1) for i in range(len(table))):
+                doc = np.repeat(unpacked(one.column("ids"), np.int64), unpacked(one.column("counts"), np.int32))
+                rows += _grouped(groups, doc, unpacked(one.column("prints"), np.uint32), one.column("part")[0].as_py())
+            return _answers(rows, np.uint32)
         doc = np.repeat(unpacked(table.column("ids"), np.int64), unpacked(table.column("counts"), np.int32))
         prints = unpacked(table.column("prints"), np.uint32)
         anchor = np.concatenate([np.unpackbits(np.frombuffer(a, np.uint8), count=len(p) // 4).astype(bool) for a, p in zip(table.column("anchors").to_pylist(), table.column("prints").to_pylist(), strict=True)])
@@ -109,15 +144,9 @@ def _anchored(table: pa.Table) -> pa.Table:
         head = np.flatnonzero(np.append(True, prints[1:] != prints[:-1]))
         times = np.diff(np.append(head, len(prints)))
         hit = np.repeat((np.maximum.reduceat(doc, head) > np.minimum.reduceat(doc, head)) & np.logical_or.reduceat(anchor, head), times)
-        groups = [(bucket, doc[hit], prints[hit])]
-    for part, doc, prints in groups:
-        order = np.lexsort((prints, doc))
-        doc, prints = doc[order], prints[order]
-        edges = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, int)
-        out["doc_id"] += doc[edges].tolist()
-        out["part"] += [part] * len(edges)
-        out["prints"] += [p.tobytes() for p in np.split(prints, edges[1:])] if len(edges) else []
-    return pa.table([pa.array(out["doc_id"], pa.int64()), pa.array(out["part"], pa.int32()), pa.array(out["prints"], pa.binary())], list(out))
+        return _answers(list(_grouped(groups, doc[hit], prints[hit], bucket)), np.uint32)
+
+    return run
 
 
 def _windows(buckets: int):
@@ -133,13 +162,12 @@ def _windows(buckets: int):
                 hashes, doc = words.hashes(), words.doc
                 grams = ngrams(hashes, BLOCK)
                 found = np.zeros(len(grams), bool)
-                for k, anchors in enumerate(part.column("anchors")):
+                for k, keys in enumerate(part.column("found").to_pylist()):
                     own = slice(words.first[k], max(words.first[k], min(words.first[k + 1] - BLOCK + 1, len(grams))))
-                    keys = [np.frombuffer(x["prints"].as_py(), np.uint32).astype(np.uint64) * np.uint64(buckets) + np.uint64(x["part"].as_py()) for x in anchors]
                     if keys:
                         g = grams[own]
                         bits = (g // np.uint64(buckets)).astype(np.uint32).astype(np.uint64) * np.uint64(buckets) + g % np.uint64(buckets)
-                        found[own] = np.isin(bits, np.concatenate(keys))
+                        found[own] = np.isin(bits, np.frombuffer(keys, np.uint64))
                 spans, whole = ngrams(hashes, SPAN), within(doc, SPAN)
                 near = np.zeros(len(spans), bool)
                 for back in range(SPAN - BLOCK + 1):
@@ -172,21 +200,21 @@ def _windows(buckets: int):
 WINDOWS = "bucket int, ids binary, counts binary, windows binary"
 
 
-def _repeats(table: pa.Table) -> pa.Table:
+def _repeats(groups: int):
     """Of one bucket, the windows of each document that a document with a smaller id has too."""
-    known = len(table) and table.column("bucket")[0].as_py() < 0
-    doc = np.repeat(unpacked(table.column("ids"), np.int64), unpacked(table.column("counts"), np.int32))
-    g = unpacked(table.column("windows"), np.uint64)
-    if not known and len(g):
-        order = np.argsort(g, kind="stable")
-        doc, g = doc[order], g[order]
-        head = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-        later = doc > np.repeat(np.minimum.reduceat(doc, head), np.diff(np.append(head, len(g))))
-        doc, g = doc[later], g[later]
-    order = np.argsort(doc, kind="stable")
-    doc, g = doc[order], g[order]
-    edges = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, int)
-    return pa.table([pa.array(doc[edges], pa.int64()), pa.array([x.tobytes() for x in np.split(g, edges[1:])] if len(edges) else [], pa.binary())], ["doc_id", "windows"])
+
+    def run(table: pa.Table) -> pa.Table:
+        doc = np.repeat(unpacked(table.column("ids"), np.int64), unpacked(table.column("counts"), np.int32))
+        g = unpacked(table.column("windows"), np.uint64)
+        if table.column("bucket")[0].as_py() >= 0:
+            order = np.argsort(g, kind="stable")
+            doc, g = doc[order], g[order]
+            head = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+            later = doc > np.repeat(np.minimum.reduceat(doc, head), np.diff(np.append(head, len(g))))
+            doc, g = doc[later], g[later]
+        return _answers(list(_grouped(groups, doc, g, 0)), np.uint64)
+
+    return run
 
 
 def _kept(batches):
@@ -195,12 +223,11 @@ def _kept(batches):
             words = Words(part.column("text"), NOT_SPACE)
             gone = np.zeros(words.n, bool)
             spans = None
-            for k, lists in enumerate(part.column("windows")):
-                lists = lists.as_py()
-                if lists and words.counts[k] >= SPAN:
+            for k, known in enumerate(part.column("found").to_pylist()):
+                if known and words.counts[k] >= SPAN:
                     spans = ngrams(words.hashes(), SPAN) if spans is None else spans
                     own = slice(words.first[k], words.first[k + 1])
-                    at = np.flatnonzero(np.isin(spans[own.start : own.stop - SPAN + 1], np.frombuffer(b"".join(lists), np.uint64)))
+                    at = np.flatnonzero(np.isin(spans[own.start : own.stop - SPAN + 1], np.frombuffer(known, np.uint64)))
                     gone[own] = spans_flagged(at, SPAN, own.stop - own.start)
             texts = []
             for k in range(words.docs):
@@ -222,14 +249,13 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     named = docs.where(F.col("doc_id").isNotNull())
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    anchors = named.mapInArrow(_probes(buckets), PROBES).groupBy("bucket").applyInArrow(_anchored, "doc_id long, part int, prints binary")
-    anchors = stored(anchors, "anchors")
-    lists = anchors.groupBy("doc_id").agg(F.collect_list(F.struct("part", "prints")).alias("anchors"))
-    found = named.join(lists.hint("shuffle_merge"), "doc_id").mapInArrow(_windows(buckets), WINDOWS)
-    repeats = stored(found.groupBy("bucket").applyInArrow(_repeats, "doc_id long, windows binary"), "repeats")
+    gathered = lambda answers, dtype: answers.groupBy("group").applyInArrow(_gathered(buckets, dtype), "doc_id long, found binary")
+    anchors = stored(named.mapInArrow(_probes(buckets), PROBES).groupBy("bucket").applyInArrow(_anchored(buckets), ANSWERS), "anchors")
+    found = named.join(gathered(anchors, np.uint32).hint("shuffle_merge"), "doc_id").select("doc_id", "text", "found").mapInArrow(_windows(buckets), WINDOWS)
+    repeats = stored(found.groupBy("bucket").applyInArrow(_repeats(buckets), ANSWERS), "repeats")
     dropped(anchors)
-    lists = repeats.groupBy("doc_id").agg(F.collect_list("windows").alias("windows"))
-    return docs.join(lists.hint("shuffle_merge"), "doc_id", "left").select("doc_id", "text", "windows").mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept string")
+    lists = gathered(repeats, np.uint64)
+    return docs.join(lists.hint("shuffle_merge"), "doc_id", "left").select("doc_id", "text", "found").mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def report(kept: DataFrame) -> DataFrame:
