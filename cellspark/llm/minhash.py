@@ -4,10 +4,10 @@ Every document's set of 5-word shingles gets 125 minima. Full minima, five at a
 candidates; of each minimum only the low 4 bits are kept, packed, to estimate the similarity of a candidate pair
 from bit counts, corrected for chance collisions. What may reach the threshold is confirmed on the full sets.
 
-Equal sets are one node from the start. In each bucket first all nodes are compared with the least one, and the
-confirmed links give components. Then, in buckets that still hold several components, nodes of different
-components are compared with each other, as arrays within the bucket, and only estimates that pass become rows.
-So copies are not expanded into pairs and no link between different texts is lost."""
+Equal sets are one node from the start. In each bucket, nodes whose estimates reach the threshold are first joined
+by as few pairs as it takes; the confirmed ones give components. Then, in buckets that still hold several components,
+all nodes of different components are compared, as arrays within the bucket, and every pair that may be a link is
+confirmed. So copies are not expanded into pairs and no link between different texts is lost."""
 
 from __future__ import annotations
 
@@ -23,8 +23,8 @@ from .store import dropped, stored
 
 WORDS, BANDS, ROWS, BITS = 5, 25, 5, 4
 HASHES = BANDS * ROWS
-#: A pair is confirmed on full sets if its estimate is within five standard deviations of the threshold.
-MARGIN = 0.17
+#: A pair is confirmed on full sets if its estimate is within 4.5 standard deviations of the threshold.
+MARGIN = 0.15
 #: Nodes of a bucket that are compared at once; larger buckets are cut into blocks and each two blocks compared.
 BLOCK = 1024
 #: Jaccard threshold as the contract states it: 100 * intersection >= 85 * union.
@@ -115,19 +115,6 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1)
 
 
-def _near(least: float):
-    """Keeps pairs whose estimate is not below least."""
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                keep = estimate(_matrix(batch.column("a_bits")), _matrix(batch.column("b_bits"))) >= least
-                out = batch.filter(pa.array(keep))
-                yield pa.RecordBatch.from_arrays([out.column("a"), out.column("b")], ["a", "b"])
-
-    return run
-
-
 def _confirmed(per_cent: int):
     def run(batches):
         for batch in batches:
@@ -155,40 +142,51 @@ def _sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(wanted.hint("shuffle_merge"), "doc_id", "left_semi").mapInArrow(run, "doc_id long, set binary")
 
 
-def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, per_cent: int) -> DataFrame:
+def _links(docs: DataFrame, near: DataFrame, per_cent: int) -> DataFrame:
     """Those of the candidate pairs (a < b) that are links, confirmed on full sets."""
-    bits = nodes.select("doc_id", "bits")
-    both = pairs.join(bits.select(F.col("doc_id").alias("a"), F.col("bits").alias("a_bits")), "a").join(bits.select(F.col("doc_id").alias("b"), F.col("bits").alias("b_bits")), "b")
-    near = stored(both.select("a", "b", "a_bits", "b_bits").mapInArrow(_near(per_cent / 100 - MARGIN), "a long, b long").distinct(), "near")
     sets = stored(_sets(docs, near), "sets")
     full = near.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("a_set")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("b_set")), "b")
     links = stored(full.select("a", "b", "a_set", "b_set").mapInArrow(_confirmed(per_cent), "a long, b long"), "links")
-    dropped(near)
     dropped(sets)
     return links
 
 
-def _across(least: float):
-    """Pairs of nodes of different components in two blocks of a bucket (or in one), by estimate."""
+def _across(least: float, per_cent: int, forest: bool):
+    """Pairs of nodes of different components in two blocks of a bucket (or in one), whose sizes and estimate allow a
+    link. With forest, only as many of them as join the nodes."""
 
     def run(table: pa.Table) -> pa.Table:
-        id_, component, block = (table.column(c).to_numpy() for c in ("doc_id", "component", "block"))
+        id_, component, block, n = (table.column(c).to_numpy() for c in ("doc_id", "component", "block", "n_shingles"))
         bits = _matrix(table.column("bits"))
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        component = np.unique(component, return_inverse=True)[1]
         a, b = [], []
         for x in left:
-            others = right[(component[right] != component[x]) & (id_[right] > id_[x] if i == j else id_[right] != id_[x])]
-            if len(others):
-                others = others[estimate(bits[x], bits[others]) >= least]
-                a.append(np.minimum(id_[x], id_[others]))
-                b.append(np.maximum(id_[x], id_[others]))
+            sizes = np.minimum(n[right], n[x]) * 100 >= per_cent * np.maximum(n[right], n[x])
+            others = right[(component[right] != component[x]) & sizes & (id_[right] > id_[x] if i == j else id_[right] != id_[x])]
+            others = others[estimate(bits[x], bits[others]) >= least]
+            if forest and len(others):
+                others = others[np.unique(component[others], return_index=True)[1]]
+                component[np.isin(component, component[others])] = component[x]
+            a.append(np.minimum(id_[x], id_[others]))
+            b.append(np.maximum(id_[x], id_[others]))
         join = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
         return pa.table([pa.array(join(a), pa.int64()), pa.array(join(b), pa.int64())], ["a", "b"])
 
     return run
 
 
+def _candidates(members: DataFrame, nodes: DataFrame, least: float, per_cent: int, forest: bool) -> DataFrame:
+    """Pairs across the components of each bucket's members (key, doc_id, component)."""
+    per_bucket = Window.partitionBy("key")
+    mixed = members.select("*", F.min("component").over(per_bucket).alias("low"), F.max("component").over(per_bucket).alias("high"), F.count("*").over(per_bucket).alias("n")).where("low < high")
+    own = mixed.withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    own = own.join(nodes.select("doc_id", "bits", "n_shingles"), "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = own.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "component", "block", "bits", "n_shingles")
+    return own.groupBy("key", "i", "j").applyInArrow(_across(least, per_cent, forest), "a long, b long").distinct()
+
+
 def linked(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, a row for each row of docs.
 
@@ -198,25 +196,17 @@ def linked(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
     spark = docs.sparkSession
     found = stored(signatures(docs), "signatures")
     full = found.where("digest is not null and doc_id is not null")
-    classes = full.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
+    classes = full.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("n_shingles").alias("n_shingles"))
     nodes = stored(classes, "nodes")
 
-    per_bucket = Window.partitionBy("key")
-    members = nodes.select(F.explode("bands").alias("key"), "doc_id").select("key", "doc_id", F.min("doc_id").over(per_bucket).alias("a"), F.max("doc_id").over(per_bucket).alias("z")).where("a < z")
-    members = stored(members.select("key", "doc_id", "a"), "members")
-    pairs = members.where("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-    first = _links(docs, nodes, pairs, per_cent)
+    members = nodes.select(F.explode("bands").alias("key"), "doc_id", F.col("doc_id").alias("component"))
+    pairs = stored(_candidates(members, nodes, per_cent / 100, per_cent, True), "pairs")
+    first = _links(docs, pairs, per_cent)
     stars = stored(components(first), "stars") if first.head(1) else spark.createDataFrame([], "node long, component long")
 
-    labelled = members.select("key", "doc_id").join(stars.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    per_bucket = Window.partitionBy("key")
-    mixed = labelled.select("*", F.min("component").over(per_bucket).alias("low"), F.max("component").over(per_bucket).alias("high"), F.count("*").over(per_bucket).alias("n")).where("low < high")
-    blocks = F.ceil(F.col("n") / BLOCK)
-    own = mixed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).join(nodes.select("doc_id", "bits"), "doc_id")
-    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    own = own.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "component", "block", "bits")
-    across = own.groupBy("key", "i", "j").applyInArrow(_across(per_cent / 100 - MARGIN), "a long, b long").distinct()
-    more = _links(docs, nodes, across, per_cent)
+    labelled = members.drop("component").join(stars.withColumnRenamed("node", "doc_id").hint("shuffle_merge"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    across = _candidates(labelled, nodes, per_cent / 100 - MARGIN, per_cent, False)
+    more = _links(docs, stored(across.join(pairs, ["a", "b"], "left_anti"), "pairs"), per_cent)
 
     edges = first.union(more)
     whole = stored(components(edges), "components") if edges.head(1) else stars
