@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.lineage import cut
+
 #: Lengths of cell barcode and molecular tag by kit.
 KITS = {"3prime:v3": (16, 12), "3prime:v2": (16, 10), "5prime:v1": (16, 10)}
 
@@ -25,7 +27,8 @@ def filter_barcodes(reads: DataFrame, whitelist: DataFrame) -> DataFrame:
 def correct_barcodes(reads: DataFrame, whitelist: DataFrame) -> DataFrame:
     """(barcode, corrected): unknown barcodes that differ in one place from exactly one known one."""
     unknown = reads.select("barcode").distinct().join(whitelist.select("barcode"), "barcode", "left_anti")
-    wild = lambda df, name: df.select(F.col("barcode").alias(name), F.explode(F.transform(F.sequence(F.lit(1), F.length("barcode")), lambda i: F.concat(F.substring("barcode", F.lit(1), i - 1), F.lit("*"), F.substring("barcode", i + 1, F.length("barcode"))))).alias("key"))
+    place = F.sequence(F.lit(1), F.length("code"))
+    wild = lambda df, name: df.select(F.col("barcode").alias("code")).select(F.col("code").alias(name), F.explode(F.transform(place, lambda i: F.concat(F.substring("code", F.lit(1), i - 1), F.lit("*"), F.substring("code", i + 1, F.length("code"))))).alias("key"))
     hits = wild(unknown, "barcode").join(wild(whitelist, "known"), "key").select("barcode", "known").distinct()
     return hits.groupBy("barcode").agg(F.count("*").alias("n"), F.min("known").alias("corrected")).where("n = 1").select("barcode", "corrected")
 
@@ -61,7 +64,7 @@ def cell_cycle_phase(values: DataFrame, markers: list[tuple[int, str]], n_genes:
     score = {}
     for p, genes in sums.items():
         own = F.sum(F.when(F.col("gene").isin(genes), F.col("value")).otherwise(0.0))
-        score[p] = own / len(genes) - (total - own) / (n_genes - len(genes))
+        score[p] = F.round(own / len(genes) - (total - own) / (n_genes - len(genes)), 9)  # equal scores stay equal in any order of sums
     out = values.groupBy("cell").agg(score["S"].alias("s_score"), score["G2M"].alias("g2m_score"))
     phase = F.when((F.col("s_score") < 0) & (F.col("g2m_score") < 0), "G1").when(F.col("s_score") >= F.col("g2m_score"), "S").otherwise("G2M")
     return out.withColumn("phase", phase)
@@ -96,14 +99,14 @@ def knn_graph(cells: DataFrame, k: int = 10, blocks: int = 8) -> DataFrame:
 def pseudotime(graph: DataFrame, root: int, rounds: int = 12) -> DataFrame:
     """(id, pseudotime): shortest-path length from the root over the neighbour graph (both ways), scaled to 0..1."""
     edges = graph.select(F.col("id").alias("a"), F.col("neighbour").alias("b"), F.sqrt("d2").alias("d"))
-    edges = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).groupBy("a", "b").agg(F.min("d").alias("d")).checkpoint()
+    edges = cut(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).groupBy("a", "b").agg(F.min("d").alias("d")))
     now = edges.select(F.col("a").alias("id")).distinct().where(F.col("id") == root).withColumn("dist", F.lit(0.0))
     mark = None
     while True:
         for _ in range(rounds // 4):
             step = now.join(edges, now["id"] == edges["a"]).select(F.col("b").alias("id"), (F.col("dist") + F.col("d")).alias("dist"))
             now = now.union(step).groupBy("id").agg(F.min("dist").alias("dist"))
-        now = now.checkpoint()
+        now = cut(now)
         after = now.agg(F.count("*"), F.round(F.sum("dist"), 9)).first()
         if after == mark:
             break

@@ -53,7 +53,7 @@ def region_props(components: DataFrame) -> DataFrame:
 
 def shape_features(components: DataFrame) -> DataFrame:
     """Axis lengths (4 times the root of the moments' eigenvalues) and orientation of each component."""
-    px = components.select(*PLANE, "component", F.col("y").cast("double").alias("y"), F.explode(F.sequence("x0", "x1")).cast("double").alias("x"))
+    px = components.select(*PLANE, "component", F.col("y").cast("double").alias("y"), F.explode(F.transform(F.sequence("x0", "x1"), lambda v: v.cast("double"))).alias("x"))
     m = px.groupBy(*PLANE, "component").agg(F.count("*").alias("area"), F.var_pop("y").alias("a"), F.var_pop("x").alias("c"), F.covar_pop("y", "x").alias("b"))
     half, root = (F.col("a") + F.col("c")) / 2, F.sqrt(F.pow((F.col("a") - F.col("c")) / 2, 2) + F.pow("b", 2))
     return m.select(*PLANE, "component", "area", (4 * F.sqrt(half + root)).alias("major_axis_length"), (4 * F.sqrt(F.greatest(half - root, F.lit(0.0)))).alias("minor_axis_length"), (0.5 * F.atan2(2 * F.col("b"), F.col("a") - F.col("c"))).alias("orientation"))
@@ -114,7 +114,7 @@ def flooded(components: DataFrame, width: int) -> DataFrame:
         py, px = np.nonzero(peak)
         markers = np.zeros(mask.shape, np.int64)
         if len(py):
-            root = kernels.runs_components(py, px, px, 4 + 4)
+            root = kernels.runs_components(py, px, px, 8)
             joined = _side_by_side(py, px, root)
             markers[py, px] = np.unique(joined, return_inverse=True)[1] + 1
         label = kernels.watershed(-d, markers, mask)

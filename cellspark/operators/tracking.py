@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import kernels
+from ..plans.lineage import cut
 
 
 def objects_from_regions(regions: DataFrame) -> DataFrame:
@@ -78,12 +79,17 @@ def _islands(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         root = after
 
 
-def assign_track_ids(objects: DataFrame, links: DataFrame, rounds: int = 10) -> DataFrame:
-    """(movie, t, ID, track_id): the track is its first object's (t, ID), found by pointer doubling; 2**rounds frames at most."""
+def assign_track_ids(objects: DataFrame, links: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(movie, t, ID, track_id): the track is its first object's (t, ID), found by pointer doubling, in as many rounds as
+    the number of frames has bits; each round is a checkpoint."""
     key = lambda t, i: F.concat_ws(":", F.lpad(t.cast("string"), 6, "0"), i.cast("string"))
     back = links.select("movie", key(F.col("t") + 1, F.col("b")).alias("k"), key(F.col("t"), F.col("a")).alias("p"))
     now = objects.select("movie", "t", "ID", key(F.col("t"), F.col("ID")).alias("k")).join(back, ["movie", "k"], "left").select("movie", "t", "ID", "k", F.coalesce("p", "k").alias("p"))
+    if rounds is None:
+        first, last = objects.agg(F.min("t"), F.max("t")).first()
+        rounds = max(1, ((last or 0) - (first or 0)).bit_length())
     for _ in range(rounds):
+        now = cut(now)
         up = now.select("movie", F.col("k").alias("p"), F.col("p").alias("pp"))
         now = now.join(up, ["movie", "p"]).select("movie", "t", "ID", "k", F.col("pp").alias("p"))
     return now.select("movie", "t", "ID", F.col("p").alias("track_id"))
@@ -132,11 +138,13 @@ def track_bayes(objects: DataFrame, radius: float = 50.0, appearance: float = 0.
     return objects.select("movie", "t", "ID", "x", "y", "area").groupBy("movie").applyInArrow(run, "movie string, t int, ID long, track long")
 
 
-def lineage(tracks: DataFrame, splits: DataFrame, rounds: int = 8) -> DataFrame:
-    """(movie, track_id, parent, root); splits holds (movie, track_id, parent). A root's parent is itself."""
+def lineage(tracks: DataFrame, splits: DataFrame, rounds: int = 5) -> DataFrame:
+    """(movie, track_id, parent, root); splits holds (movie, track_id, parent). A root's parent is itself.
+    Chains of up to 2**rounds tracks are followed."""
     own = tracks.select("movie", "track_id").distinct().join(splits, ["movie", "track_id"], "left").select("movie", "track_id", F.coalesce("parent", "track_id").alias("parent"))
     now = own.withColumn("root", F.col("parent"))
     for _ in range(rounds):
+        now = cut(now)
         up = now.select("movie", F.col("track_id").alias("root"), F.col("root").alias("above"))
         now = now.join(up, ["movie", "root"]).select("movie", "track_id", "parent", F.col("above").alias("root"))
     return now

@@ -1,4 +1,432 @@
-"""Queries and the SQL that gives the same rows."""
+"""Queries over the given tables, and the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import expression as ex
+from ..operators import intensity as im
+from ..operators import segment as sg
+from ..operators import tracking as tr
+from ..sources import files
+from ..sources import standins as st
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+SIDE = st.SIDE
+MIN_SIZE = 50
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df, *columns, digits=6):
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+def flat(lines, *keep):
+    """Pixels as rows, for comparison."""
+    return im.exploded(lines).select("t", "channel", "y", "x", *keep, "v")
+
+
+#: Pixels of the stand-in planes.
+PX = f"""f AS (SELECT CAST(FLOOR(COUNT(*)/{SIDE}) AS INT) nf FROM embeddings),
+e AS (SELECT CAST(FLOOR(vec_id/{SIDE}) AS INT) bt, CAST(vec_id%{SIDE} AS INT) y, embedding FROM embeddings),
+s AS (SELECT CAST((e.bt - c.channel + 2*f.nf) % f.nf AS INT) t, c.channel, e.y, e.embedding FROM e CROSS JOIN f CROSS JOIN (VALUES (0),(1),(2),(3)) c(channel) WHERE e.bt < f.nf),
+u AS (SELECT t, channel, y, CAST(generate_subscripts(embedding,1)-1 AS INT) x, unnest(embedding) e FROM s),
+px AS (SELECT t, channel, y, x, FLOOR((CAST(e AS DOUBLE)+1.0)*1000.0) v FROM u)"""
+WITH = f"WITH {PX} "
+NORM = f"""pc AS (SELECT t, channel, CASE channel WHEN 3 THEN MIN(v) ELSE quantile_cont(v, 0.5) END p_lo, CASE channel WHEN 3 THEN MAX(v) ELSE quantile_cont(v, 0.998) END p_hi FROM px GROUP BY t, channel),
+nm AS (SELECT t, channel, y, x, FLOOR(255 * CASE WHEN p_hi = p_lo THEN CASE WHEN v > p_lo THEN 1.0 ELSE 0.0 END ELSE GREATEST(0.0, LEAST(1.0, (v - p_lo)/(p_hi - p_lo))) END) v FROM px JOIN pc USING (t, channel))"""
+
+
+@query(WITH + "SELECT t, channel, t + 1 AS file_number, COUNT(*) n, SUM(v) total FROM px WHERE t >= 1 AND t < 4 GROUP BY t, channel")
+def read_planes(spark, d):
+    lines = im.planes_between(st.scanlines(spark, d), 1, 4)
+    return lines.select("t", "channel", "file_number", F.explode("pixels").alias("v")).groupBy("t", "channel", "file_number").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+
+
+@query(WITH + """SELECT 'S' AS dim, CAST(0 AS BIGINT) AS start, CAST(1 AS BIGINT) AS size UNION ALL SELECT 'T', MIN(t), COUNT(DISTINCT t) FROM px UNION ALL SELECT 'C', MIN(channel), COUNT(DISTINCT channel) FROM px
+UNION ALL SELECT 'Y', MIN(y), COUNT(DISTINCT y) FROM px UNION ALL SELECT 'X', 0, MAX(x) + 1 FROM px""")
+def dims_shape(spark, d):
+    return im.dims_shape(st.scanlines(spark, d))
+
+
+@query(WITH + "SELECT t, channel, y, x - 5 AS x, v FROM px WHERE y >= 3 AND y < 13 AND x >= 5 AND x < 25")
+def crop(spark, d):
+    return flat(im.crop(st.scanlines(spark, d), 3, 13, 5, 25))
+
+
+@query(WITH + "SELECT t, channel, CAST(LEAST(FLOOR(y/10), 5) * 5 + LEAST(FLOOR(x/12), 4) AS BIGINT) tile, COUNT(*) n, SUM(v) total FROM px GROUP BY 1, 2, 3")
+def tile_id(spark, d):
+    px = im.exploded(st.scanlines(spark, d))
+    return px.groupBy("t", "channel", im.tile_of(F.col("y"), F.col("x"), SIDE, SIDE).cast("long").alias("tile")).agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+
+
+@query(WITH + "SELECT t, COUNT(*) n FROM s WHERE t < (SELECT MAX(t) FROM s) GROUP BY t")
+def drop_last_timepoint(spark, d):
+    return im.without_last(st.scanlines(spark, d)).groupBy("t").agg(F.count("*").alias("n"))
+
+
+@query(WITH + "SELECT label, t, COUNT(*) n FROM (SELECT t, DENSE_RANK() OVER (ORDER BY t) label, y FROM s) WHERE label > 1 GROUP BY 1, 2".replace("label, y FROM s) WHERE label > 1", "lb, y FROM s) WHERE lb > 1").replace("SELECT label, t", "SELECT CAST(lb AS INT) AS label, t"))
+def processing_frames(spark, d):
+    return im.processing_frames(st.scanlines(spark, d)).groupBy("label", "t").agg(F.count("*").alias("n"))
+
+
+@query(WITH + "SELECT CASE channel WHEN 0 THEN 'TagGFP' WHEN 1 THEN 'MKate' WHEN 2 THEN 'Cy5' ELSE 'Oblique' END AS name, COUNT(*) n FROM s GROUP BY 1")
+def channel_name(spark, d):
+    names = F.create_map(*[F.lit(x) for c in st.CHANNELS for x in c[:2]])
+    return st.scanlines(spark, d).groupBy(names[F.col("channel")].alias("name")).agg(F.count("*").alias("n"))
+
+
+@query(WITH + "SELECT t, channel, y, CAST(x/10 AS INT) x, v FROM px WHERE t % 2 = 0 AND y % 10 = 0 AND x % 10 = 0")
+def subsample(spark, d):
+    return flat(im.subsample(st.scanlines(spark, d), 2))
+
+
+@query(WITH + "SELECT t, CAST(t * 20 AS INT) AS elapsed_min, COUNT(*) n FROM s GROUP BY 1, 2")
+def elapsed(spark, d):
+    return st.scanlines(spark, d).groupBy("t", (F.col("t") * 20).alias("elapsed_min")).agg(F.count("*").alias("n"))
+
+
+@query(WITH + f", {NORM} SELECT t, channel, ROUND(p_lo, 6) p_lo, ROUND(p_hi, 6) p_hi FROM pc")
+def plane_percentiles(spark, d):
+    return rounded(im.plane_percentiles(st.scanlines(spark, d), *im.channel_range(st.CHANNELS)), "p_lo", "p_hi").select("t", "channel", "p_lo", "p_hi")
+
+
+@query(WITH + f", {NORM} SELECT t, channel, y, CAST(SUM(v) AS BIGINT) total, CAST(MAX(v) AS INT) top FROM nm WHERE channel < 3 GROUP BY 1, 2, 3")
+def normalize_channel(spark, d):
+    lines = im.norm_by(st.scanlines(spark, d).where("channel < 3"), F.lit(50.0), F.lit(99.8))
+    px = flat(lines.withColumn("pixels", im.to_uint(F.col("pixels"))))
+    return px.groupBy("t", "channel", "y").agg(F.sum("v").alias("total"), F.max("v").alias("top"))
+
+
+@query(WITH + f", {NORM}, al AS (SELECT * FROM nm UNION ALL SELECT a.t, 4, a.y, a.x, a.v*0.5 + b.v*0.5 FROM nm a JOIN nm b USING (t, y, x) WHERE a.channel = 0 AND b.channel = 1) SELECT t, channel, y, SUM(v) total FROM al GROUP BY 1, 2, 3")
+def normalize_frame(spark, d):
+    return flat(im.normalize_frame(st.scanlines(spark, d), st.CHANNELS)).groupBy("t", "channel", "y").agg(F.sum("v").alias("total"))
+
+
+@query(WITH + "SELECT a.t, a.y, a.x, a.v*0.5 + b.v*0.5 AS v FROM px a JOIN px b USING (t, y, x) WHERE a.channel = 0 AND b.channel = 1")
+def merge_channels(spark, d):
+    return flat(im.merge_channels(st.scanlines(spark, d), 0, 1)).drop("channel")
+
+
+def _rgb(df):
+    return df.select("t", "y", F.posexplode(F.arrays_zip("r", "g", "b")).alias("x", "p")).select("t", "y", "x", "p.r", "p.g", "p.b")
+
+
+RGB = "rgb AS (SELECT t, y, x, MAX(v) FILTER (channel = 0) r, MAX(v) FILTER (channel = 1) g, MAX(v) FILTER (channel = 2) b FROM px GROUP BY 1, 2, 3)"
+
+
+@query(WITH + f", {RGB} SELECT t, y, x, r, g, b FROM rgb")
+def stack_rgb(spark, d):
+    return _rgb(im.stack_rgb(st.scanlines(spark, d)))
+
+
+@query(WITH + f", {RGB} SELECT t, y, x, r + g AS r, g + b AS g, r + b AS b FROM rgb")
+def recolor_cmy(spark, d):
+    return _rgb(im.recolor_cmy(im.stack_rgb(st.scanlines(spark, d))))
+
+
+@query(WITH + "SELECT t, y, x, 0.0 AS r, v AS g, 0.0 AS b FROM px WHERE channel = 2")
+def false_color(spark, d):
+    return _rgb(im.false_color(st.scanlines(spark, d).where("channel = 2"), "G"))
+
+
+@query(WITH + "SELECT t, channel, y, x, ROUND(v / SQRT(SUM(v*v) OVER (PARTITION BY t, channel, y)), 6) v FROM px")
+def row_l2_normalize(spark, d):
+    return rounded(flat(im.row_l2(st.scanlines(spark, d))), "v")
+
+
+_W = ",".join(f"({k - 8},{w!r})" for k, w in enumerate(im.gaussian_weights()))
+L2 = "l2 AS (SELECT t, channel, y, x, v / SQRT(SUM(v*v) OVER (PARTITION BY t, channel, y)) v FROM px)"
+BLUR = f"""{L2}, w(k, w) AS (VALUES {_W}),
+h AS (SELECT i.t, i.channel, i.y, i.x, SUM(j.v * w) v FROM l2 i CROSS JOIN w JOIN l2 j ON j.t = i.t AND j.channel = i.channel AND j.y = i.y AND j.x = GREATEST(0, LEAST({SIDE - 1}, i.x + k)) GROUP BY 1, 2, 3, 4),
+bl AS (SELECT i.t, i.channel, i.y, i.x, SUM(j.v * w) v FROM h i CROSS JOIN w JOIN h j ON j.t = i.t AND j.channel = i.channel AND j.x = i.x AND j.y = GREATEST(0, LEAST({SIDE - 1}, i.y + k)) GROUP BY 1, 2, 3, 4)"""
+
+
+@query(WITH + f", {BLUR} SELECT t, channel, y, ROUND(SUM(v), 5) total, ROUND(MAX(v), 6) top FROM bl GROUP BY 1, 2, 3")
+def gaussian_blur(spark, d):
+    px = flat(im.gaussian_blur(im.row_l2(st.scanlines(spark, d))))
+    return rounded(rounded(px.groupBy("t", "channel", "y").agg(F.sum("v").alias("total"), F.max("v").alias("top")), "top"), "total", digits=5)
+
+
+@query(WITH + "SELECT t, channel, CAST(FLOOR(y/2) AS INT) y, CAST(FLOOR(x/2) AS INT) x, AVG(v) v FROM px GROUP BY 1, 2, 3, 4")
+def downscale_mosaic(spark, d):
+    return im.downscale(st.scanlines(spark, d)).select("t", "channel", "y", "x", "v")
+
+
+OTSU = """mm AS (SELECT t, channel, MIN(v) lo, MAX(v) hi FROM px GROUP BY 1, 2),
+hb AS (SELECT t, channel, lo, hi, CAST(LEAST(FLOOR((v - lo)/(hi - lo)*256), 255) AS INT) bin, COUNT(*) n FROM px JOIN mm USING (t, channel) GROUP BY ALL),
+hm AS (SELECT *, lo + (bin + 0.5)*(hi - lo)/256 AS mid FROM hb),
+hs AS (SELECT *, SUM(n) OVER k w0, SUM(n*mid) OVER k s0, SUM(n) OVER p w, SUM(n*mid) OVER p s FROM hm WINDOW k AS (PARTITION BY t, channel ORDER BY bin), p AS (PARTITION BY t, channel)),
+ov AS (SELECT *, CASE WHEN w > w0 THEN w0*(w - w0)*POWER(s0/w0 - (s - s0)/(w - w0), 2) ELSE -1 END var FROM hs),
+ot AS (SELECT t, channel, mid AS threshold FROM ov QUALIFY ROW_NUMBER() OVER (PARTITION BY t, channel ORDER BY var DESC, bin) = 1)"""
+
+
+@query(WITH + f", {OTSU} SELECT t, channel, ROUND(threshold, 6) threshold FROM ot")
+def otsu_threshold(spark, d):
+    return rounded(im.otsu_threshold(st.scanlines(spark, d)).select("t", "channel", "threshold"), "threshold")
+
+
+@query(WITH + f", {OTSU} SELECT t, channel, y, COUNT(*) n FROM px JOIN ot USING (t, channel) WHERE v > threshold GROUP BY 1, 2, 3")
+def apply_threshold(spark, d):
+    lines = st.scanlines(spark, d)
+    masks = im.above(lines, im.otsu_threshold(lines))
+    return masks.select("t", "channel", "y", F.size(F.filter("mask", lambda m: m)).cast("long").alias("n")).where("n > 0")
+
+
+def _mask(spark, d):
+    """Channel 0 above a fixed value: many small islands."""
+    lines = st.scanlines(spark, d).where("channel = 0")
+    return lines.withColumn("mask", F.transform("pixels", lambda v: v > 1048)).drop("pixels")
+
+
+RUNS = f"""fg AS (SELECT t, y, x, x - ROW_NUMBER() OVER (PARTITION BY t, y ORDER BY x) g FROM px WHERE channel = 0 AND v > 1048),
+rn AS (SELECT t, y, CAST(MIN(x) AS INT) x0, CAST(MAX(x) AS INT) x1, t*{SIDE * SIDE} + y*{SIDE} + MIN(x) AS id FROM fg GROUP BY t, y, g)"""
+
+
+def _islands(k: int) -> str:
+    """Islands of runs by transitive closure; comp is the least raster index."""
+    return f"""WITH RECURSIVE {PX}, {RUNS},
+ed AS (SELECT a.id a, b.id b FROM rn a JOIN rn b ON a.t = b.t AND abs(a.y - b.y) = 1 AND a.x0 <= b.x1 + {k} AND b.x0 <= a.x1 + {k}),
+reach(a, b) AS (SELECT id, id FROM rn UNION SELECT r.a, ed.b FROM reach r JOIN ed ON r.b = ed.a),
+co AS (SELECT rn.*, c - t*{SIDE * SIDE} AS component FROM rn JOIN (SELECT a, MIN(b) c FROM reach GROUP BY a) ON a = id) """
+
+
+@query(WITH + f", {RUNS} SELECT t, y, x0, x1 FROM rn")
+def mask_runs(spark, d):
+    return sg.mask_runs(_mask(spark, d)).select("t", "y", "x0", "x1")
+
+
+def _components(spark, d, k):
+    return sg.connected_components(sg.mask_runs(_mask(spark, d)), k, SIDE)
+
+
+@query(_islands(0) + "SELECT t, y, x0, x1, CAST(component AS BIGINT) component FROM co")
+def connected_components_4(spark, d):
+    return _components(spark, d, 4).select("t", "y", "x0", "x1", "component")
+
+
+@query(_islands(1) + "SELECT t, y, x0, x1, CAST(component AS BIGINT) component FROM co")
+def connected_components_8(spark, d):
+    return _components(spark, d, 8).select("t", "y", "x0", "x1", "component")
+
+
+@query(_islands(0) + "SELECT t, CAST(component AS BIGINT) component, CAST(SUM(x1 - x0 + 1) AS BIGINT) area FROM co GROUP BY 1, 2 HAVING SUM(x1 - x0 + 1) >= 5")
+def remove_small_objects(spark, d):
+    return sg.remove_small_objects(_components(spark, d, 4), 5).groupBy("t", "component").agg(F.sum(F.expr("x1 - x0 + 1")).alias("area"))
+
+
+@query(_islands(0) + """, pp AS (SELECT t, component, y, UNNEST(generate_series(x0, x1)) x FROM co)
+SELECT t, CAST(component AS BIGINT) component, COUNT(*) area, ROUND(AVG(y), 6) centroid_0, ROUND(AVG(x), 6) centroid_1, MIN(y) bbox_0, CAST(MIN(x) AS INT) bbox_1, MAX(y) + 1 bbox_2, CAST(MAX(x) + 1 AS INT) bbox_3 FROM pp GROUP BY 1, 2""")
+def region_props(spark, d):
+    return rounded(sg.region_props(_components(spark, d, 4)).drop("sample", "replicate", "channel"), "centroid_0", "centroid_1")
+
+
+@query(_islands(0) + """, pp AS (SELECT t, component, y, UNNEST(generate_series(x0, x1)) x FROM co), mo AS (SELECT t, component, COUNT(*) area, VAR_POP(y) a, VAR_POP(x) c, COVAR_POP(y, x) b FROM pp GROUP BY 1, 2 HAVING COUNT(*) >= 5)
+SELECT t, CAST(component AS BIGINT) component, area, ROUND(4*SQRT((a + c)/2 + SQRT(POWER((a - c)/2, 2) + b*b)), 4) major, ROUND(4*SQRT(GREATEST((a + c)/2 - SQRT(POWER((a - c)/2, 2) + b*b), 0)), 4) minor FROM mo""")
+def shape_features(spark, d):
+    out = sg.shape_features(sg.remove_small_objects(_components(spark, d, 4), 5))
+    return out.select("t", "component", "area", F.round("major_axis_length", 4).alias("major"), F.round("minor_axis_length", 4).alias("minor"))
+
+
+@query(_islands(1) + "SELECT t, COUNT(DISTINCT component) cell_count FROM co GROUP BY t")
+def cell_count(spark, d):
+    return sg.binary_counts(_components(spark, d, 4), _mask(spark, d), SIDE).select("t", "cell_count")
+
+
+@query(WITH + """, fg AS (SELECT t, y, x, v > 1048 m FROM px WHERE channel = 0 AND t = 0)
+SELECT a.t, a.y, a.x, ROUND(SQRT(MIN((a.y - b.y)*(a.y - b.y) + (a.x - b.x)*(a.x - b.x))), 6) distance FROM fg a JOIN fg b ON a.m AND NOT b.m GROUP BY 1, 2, 3""")
+def distance_transform(spark, d):
+    runs = sg.mask_runs(_mask(spark, d).where("t = 0"))
+    return rounded(sg.flooded(sg.connected_components(runs, 4, SIDE), SIDE).select("t", "y", "x", "distance"), "distance")
+
+
+def _kept(spark, d):
+    return sg.foreground(st.scanlines(spark, d), SIDE, MIN_SIZE)
+
+
+@query()
+def channel_counts(spark, d):
+    lines = im.normalize_frame(st.scanlines(spark, d), st.CHANNELS).where("channel <> 3")
+    return sg.channel_counts(lines, SIDE, MIN_SIZE)
+
+
+@query()
+def segment(spark, d):
+    return sg.flooded(_kept(spark, d), SIDE)
+
+
+@query()
+def local_peaks(spark, d):
+    return sg.flooded(_kept(spark, d), SIDE).where("peak").select("t", "channel", "y", "x", "distance")
+
+
+@query()
+def watershed_count(spark, d):
+    return sg.watershed_count(sg.flooded(_kept(spark, d), SIDE))
+
+
+@query()
+def label_boundaries(spark, d):
+    return sg.label_boundaries(sg.flooded(_kept(spark, d), SIDE)).select("t", "channel", "y", "x", "label")
+
+
+@query()
+def solidity(spark, d):
+    return rounded(sg.solidity(_kept(spark, d)), "solidity")
+
+
+@query("SELECT event_id % 16 AS scene, c.condition, COUNT(*) n FROM events JOIN (VALUES (1,'control'),(7,'control'),(13,'control'),(2,'PRRX1'),(3,'PRRX1'),(14,'MYOD1'),(15,'MYOD1'),(8,'both'),(9,'both'),(11,'both')) c(scene, condition) ON event_id % 16 = c.scene GROUP BY 1, 2")
+def tag_condition(spark, d):
+    scenes = spark.createDataFrame(st.SCENES, "scene long, condition string")
+    rows = st.table(spark, d, "events").withColumn("scene", F.col("event_id") % 16)
+    return rows.join(F.broadcast(scenes), "scene").groupBy("scene", "condition").agg(F.count("*").alias("n"))
+
+
+OBJ = "ob AS (SELECT event_type movie, CAST(EXTRACT(day FROM ts) AS INT) t, CAST(event_id AS BIGINT) id, value*4.0 x, CAST(json_extract_string(props, '$.k') AS DOUBLE)*12 y, CAST(50 + event_id % 100 AS BIGINT) area FROM events)"
+CAND = f"{OBJ}, ca AS (SELECT a.movie, a.t, a.id a, b.id b, (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) d2 FROM ob a JOIN ob b ON a.movie = b.movie AND b.t = a.t + 1 WHERE (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) <= 2500)"
+MUTUAL = f"{CAND}, mu AS (SELECT * FROM ca QUALIFY ROW_NUMBER() OVER (PARTITION BY movie, t, a ORDER BY d2, b) = 1 AND ROW_NUMBER() OVER (PARTITION BY movie, t, b ORDER BY d2, a) = 1)"
+
+
+@query(f"WITH {OBJ} SELECT movie, t, id AS \"ID\", ROUND(x, 6) x, ROUND(y, 6) y, area, ROUND(LEAST(x, 1600 - x, y, 1200 - y), 6) dist_to_border FROM ob WHERE x >= 0 AND x < 1600 AND y >= 0 AND y < 1200")
+def within_volume(spark, d):
+    return rounded(tr.within_volume(st.objects(spark, d)), "x", "y", "dist_to_border")
+
+
+@query(f"WITH {CAND} SELECT movie, t, a, b, ROUND(d2, 4) d2 FROM ca")
+def link_candidates(spark, d):
+    return rounded(tr.link_candidates(st.objects(spark, d)), "d2", digits=4)
+
+
+@query(f"WITH {MUTUAL} SELECT movie, t, a, b FROM mu")
+def link_mutual(spark, d):
+    return tr.link_mutual(tr.link_candidates(st.objects(spark, d))).drop("d2")
+
+
+@query(f"""WITH RECURSIVE {MUTUAL}, ch(movie, t, id, rt, ri) AS (SELECT o.movie, o.t, o.id, o.t, o.id FROM ob o WHERE NOT EXISTS (SELECT 1 FROM mu WHERE mu.movie = o.movie AND mu.t = o.t - 1 AND mu.b = o.id)
+UNION ALL SELECT ch.movie, ch.t + 1, mu.b, rt, ri FROM ch JOIN mu ON mu.movie = ch.movie AND mu.t = ch.t AND mu.a = ch.id) SELECT movie, t, id AS "ID", LPAD(CAST(rt AS VARCHAR), 6, '0') || ':' || CAST(ri AS VARCHAR) track_id FROM ch""")
+def assign_track_ids(spark, d):
+    return _tracks(spark, d)[1]
+
+
+def _tracks(spark, d):
+    objects = st.objects(spark, d)
+    return objects, tr.assign_track_ids(objects, tr.link_mutual(tr.link_candidates(objects)))
+
+
+@query()
+def link_optimal(spark, d):
+    return rounded(tr.link_optimal(tr.link_candidates(st.objects(spark, d))), "d2")
+
+
+@query()
+def track_bayes(spark, d):
+    return tr.track_bayes(st.objects(spark, d))
+
+
+@query()
+def lineage(spark, d):
+    tracks = tr.tracks_long(*_tracks(spark, d))
+    return tr.lineage(tracks, tr.stitch(tracks).select("movie", "track_id", "parent"))
+
+
+@query()
+def write_tracks(spark, d):
+    tracks = tr.tracks_long(*_tracks(spark, d))
+    return files.track_rows(tracks, tr.lineage(tracks, tr.stitch(tracks).select("movie", "track_id", "parent")))
+
+
+ACGT = "TRANSLATE(md5(CAST({} AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT')"
+READS = f"""sq AS (SELECT l_linenumber, CAST(l_partkey % 20 AS INT) gene, SUBSTR({ACGT.format('o_custkey')}, 1, 16) || SUBSTR({ACGT.format('l_suppkey % 10')}, 1, 12) || {ACGT.format('l_partkey % 20')} s0 FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+rd AS (SELECT CASE WHEN l_linenumber = 7 THEN 'N' || SUBSTR(s0, 2) ELSE s0 END seq, gene FROM sq),
+bc AS (SELECT SUBSTR(seq, 1, 16) barcode, SUBSTR(seq, 17, 12) umi, SUBSTR(seq, 29) insert_, gene FROM rd),
+wl AS (SELECT SUBSTR({ACGT.format('c_custkey')}, 1, 16) barcode, c_mktsegment segment FROM customer WHERE c_custkey % 10 <> 0),
+ok AS (SELECT * FROM bc WHERE barcode IN (SELECT barcode FROM wl)),
+cm AS (SELECT barcode cell, gene, COUNT(DISTINCT umi) n FROM ok GROUP BY 1, 2)"""
+
+
+def _reads(spark, d):
+    return ex.extract_barcodes(st.reads(spark, d))
+
+
+def _matrix(spark, d):
+    return ex.count_matrix(ex.filter_barcodes(_reads(spark, d), st.whitelist(spark, d)))
+
+
+@query(f"WITH {READS} SELECT barcode, umi, COUNT(*) n, COUNT(DISTINCT insert_) inserts FROM bc GROUP BY 1, 2")
+def extract_barcodes(spark, d):
+    return _reads(spark, d).groupBy("barcode", "umi").agg(F.count("*").alias("n"), F.count_distinct("insert").alias("inserts"))
+
+
+@query(f"WITH {READS} SELECT barcode, COUNT(*) n FROM ok GROUP BY 1")
+def filter_barcodes(spark, d):
+    return ex.filter_barcodes(_reads(spark, d), st.whitelist(spark, d)).groupBy("barcode").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {READS}, un AS (SELECT DISTINCT barcode FROM bc WHERE barcode NOT IN (SELECT barcode FROM wl)), hit AS (SELECT un.barcode, wl.barcode known FROM un JOIN (SELECT DISTINCT barcode FROM wl) wl ON hamming(un.barcode, wl.barcode) = 1)
+SELECT barcode, MIN(known) corrected FROM hit GROUP BY 1 HAVING COUNT(*) = 1""")
+def correct_barcodes(spark, d):
+    return ex.correct_barcodes(_reads(spark, d), st.whitelist(spark, d))
+
+
+@query(f"WITH {READS} SELECT cell, gene, n FROM cm")
+def count_matrix(spark, d):
+    return _matrix(spark, d)
+
+
+@query(f"WITH {READS} SELECT cell, CAST(SUM(n) AS BIGINT) molecules FROM cm GROUP BY 1 ORDER BY molecules DESC, cell LIMIT 100")
+def call_cells(spark, d):
+    return ex.call_cells(_matrix(spark, d))
+
+
+@query(f"WITH {READS} SELECT cell, COUNT(DISTINCT gene) n_genes FROM cm GROUP BY 1")
+def genes_per_cell(spark, d):
+    return ex.genes_per_cell(_matrix(spark, d))
+
+
+COND = "CASE segment WHEN 'AUTOMOBILE' THEN 'MYOD1' WHEN 'BUILDING' THEN 'PRRX1' WHEN 'FURNITURE' THEN 'MYOD1+PRRX1' ELSE 'control' END"
+
+
+@query(f"WITH {READS}, cd AS (SELECT barcode cell, {COND} AS condition FROM wl) SELECT condition, COUNT(DISTINCT gene) n_genes FROM cm JOIN cd USING (cell) GROUP BY ROLLUP (condition)")
+def genes_expressed(spark, d):
+    conditions = st.whitelist(spark, d).select(F.col("barcode").alias("cell"), F.expr(COND).alias("condition"))
+    return ex.genes_expressed(_matrix(spark, d), conditions)
+
+
+@query(f"WITH {READS} SELECT cell, gene, ROUND(LN(1 + n*10000.0/SUM(n) OVER (PARTITION BY cell)), 6) AS value FROM cm")
+def log_normalize(spark, d):
+    return rounded(ex.log_normalize(_matrix(spark, d)), "value")
+
+
+MARKERS = [(g, "G1") for g in range(3)] + [(g, "S") for g in range(3, 7)] + [(g, "G2M") for g in range(7, 11)]
+
+
+@query(f"""WITH {READS}, ln AS (SELECT cell, gene, LN(1 + n*10000.0/SUM(n) OVER (PARTITION BY cell)) v FROM cm),
+sc AS (SELECT cell, SUM(CASE WHEN gene BETWEEN 3 AND 6 THEN v ELSE 0 END) s, SUM(CASE WHEN gene BETWEEN 7 AND 10 THEN v ELSE 0 END) g, SUM(v) w FROM ln GROUP BY 1), s2 AS (SELECT cell, ROUND(s/4 - (w - s)/16, 9) s, ROUND(g/4 - (w - g)/16, 9) g FROM sc)
+SELECT cell, ROUND(s, 6) s_score, ROUND(g, 6) g2m_score, CASE WHEN s < 0 AND g < 0 THEN 'G1' WHEN s >= g THEN 'S' ELSE 'G2M' END phase FROM s2""")
+def cell_cycle_phase(spark, d):
+    return rounded(ex.cell_cycle_phase(ex.log_normalize(_matrix(spark, d)), MARKERS, 20), "s_score", "g2m_score")
+
+
+def _cells(spark, d):
+    return st.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+
+
+@query("""WITH u AS (SELECT vec_id, generate_subscripts(embedding, 1) k, CAST(unnest(embedding) AS DOUBLE) v FROM embeddings), dd AS (SELECT a.vec_id id, b.vec_id neighbour, SUM((a.v - b.v)*(a.v - b.v)) d2 FROM u a JOIN u b ON a.k = b.k AND a.vec_id <> b.vec_id GROUP BY 1, 2)
+SELECT id, neighbour, ROUND(d2, 6) d2 FROM dd QUALIFY ROW_NUMBER() OVER (PARTITION BY id ORDER BY d2, neighbour) <= 10""")
+def knn_graph(spark, d):
+    return rounded(ex.knn_graph(_cells(spark, d)), "d2")
+
+
+@query()
+def pseudotime(spark, d):
+    return rounded(ex.pseudotime(ex.knn_graph(_cells(spark, d)), 0), "pseudotime")
