@@ -93,49 +93,42 @@ def _probes(buckets: int):
 PROBES = "bucket int, part int, ids binary, counts binary, prints binary, anchors binary"
 
 
-def _grouped(groups: int, doc: np.ndarray, values: np.ndarray, part: int) -> Iterator[tuple]:
-    """(group of documents, part, ids, counts, values): what goes back to the documents, packed."""
+def _grouped(groups: int, doc: np.ndarray, values: np.ndarray) -> Iterator[tuple]:
+    """(group of documents, ids, counts, values): what goes back to the documents, packed."""
     order = np.argsort(doc, kind="stable")
     doc, values = doc[order], values[order]
     which = (mix(doc.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
     for b, ids, counts, c in _by_bucket(groups, which, doc, {"v": values}) if len(doc) else ():
-        yield b, part, ids, counts, c["v"]
+        yield b, ids, counts, c["v"]
 
 
-def _answers(rows: list[tuple], dtype) -> pa.Table:
-    return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), packed([r[2] for r in rows], np.int64), packed([r[3] for r in rows], np.int32), packed([r[4] for r in rows], dtype)], ["group", "part", "ids", "counts", "found"])
+def _answers(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array([r[0] for r in rows], pa.int32()), packed([r[1] for r in rows], np.int64), packed([r[2] for r in rows], np.int32), packed([r[3] for r in rows], np.uint64)], ["group", "ids", "counts", "found"])
 
 
-ANSWERS = "group int, part int, ids binary, counts binary, found binary"
+ANSWERS = "group int, ids binary, counts binary, found binary"
 
 
-def _gathered(buckets: int, dtype):
+def _gathered(table: pa.Table) -> pa.Table:
     """Of one group of documents, a row (doc_id, found) each; found as 64-bit hashes."""
-
-    def run(table: pa.Table) -> pa.Table:
-        doc = np.repeat(unpacked(table.column("ids"), np.int64), unpacked(table.column("counts"), np.int32))
-        found = unpacked(table.column("found"), dtype).astype(np.uint64)
-        if dtype is np.uint32:
-            part = np.repeat(table.column("part").to_numpy(), [len(x) // 4 for x in table.column("found").to_pylist()])
-            found = found * np.uint64(buckets) + part.astype(np.uint64)
-        order = np.lexsort((found, doc))
-        doc, found = doc[order], found[order]
-        edges = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, int)
-        return pa.table([pa.array(doc[edges], pa.int64()), packed(np.split(found, edges[1:]) if len(edges) else [], np.uint64)], ["doc_id", "found"])
-
-    return run
+    doc = np.repeat(unpacked(table.column("ids"), np.int64), unpacked(table.column("counts"), np.int32))
+    found = unpacked(table.column("found"), np.uint64)
+    order = np.lexsort((found, doc))
+    doc, found = doc[order], found[order]
+    edges = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, int)
+    return pa.table([pa.array(doc[edges], pa.int64()), packed(np.split(found, edges[1:]) if len(edges) else [], np.uint64)], ["doc_id", "found"])
 
 
 def _anchored(groups: int):
     """Of one bucket, the hashes that hit a block of another document."""
 
     def run(table: pa.Table) -> pa.Table:
-        bucket, rows = table.column("bucket")[0].as_py(), []
-        if bucket < 0:  # known to repeat
-            for one in (table.slice(i, 1) for i in range(len(table))):
-                doc = np.repeat(unpacked(one.column("ids"), np.int64), unpacked(one.column("counts"), np.int32))
-                rows += _grouped(groups, doc, unpacked(one.column("prints"), np.uint32), one.column("part")[0].as_py())
-            return _answers(rows, np.uint32)
+        bucket = table.column("bucket")[0].as_py()
+        if bucket < 0:  # known to repeat; hashes of all buckets
+            part = np.repeat(table.column("part").to_numpy(), [len(x) // 4 for x in table.column("prints").to_pylist()])
+            doc = np.repeat(unpacked(table.column("ids"), np.int64), unpacked(table.column("counts"), np.int32))
+            whole = unpacked(table.column("prints"), np.uint32).astype(np.uint64) * np.uint64(groups) + part.astype(np.uint64)
+            return _answers(list(_grouped(groups, doc, whole)))
         doc = np.repeat(unpacked(table.column("ids"), np.int64), unpacked(table.column("counts"), np.int32))
         prints = unpacked(table.column("prints"), np.uint32)
         anchor = np.concatenate([np.unpackbits(np.frombuffer(a, np.uint8), count=len(p) // 4).astype(bool) for a, p in zip(table.column("anchors").to_pylist(), table.column("prints").to_pylist(), strict=True)])
@@ -144,7 +137,7 @@ def _anchored(groups: int):
         head = np.flatnonzero(np.append(True, prints[1:] != prints[:-1]))
         times = np.diff(np.append(head, len(prints)))
         hit = np.repeat((np.maximum.reduceat(doc, head) > np.minimum.reduceat(doc, head)) & np.logical_or.reduceat(anchor, head), times)
-        return _answers(list(_grouped(groups, doc[hit], prints[hit], bucket)), np.uint32)
+        return _answers(list(_grouped(groups, doc[hit], prints[hit].astype(np.uint64) * np.uint64(groups) + np.uint64(bucket))))
 
     return run
 
@@ -212,7 +205,7 @@ def _repeats(groups: int):
             head = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
             later = doc > np.repeat(np.minimum.reduceat(doc, head), np.diff(np.append(head, len(g))))
             doc, g = doc[later], g[later]
-        return _answers(list(_grouped(groups, doc, g, 0)), np.uint64)
+        return _answers(list(_grouped(groups, doc, g)))
 
     return run
 
@@ -249,12 +242,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     named = docs.where(F.col("doc_id").isNotNull())
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    gathered = lambda answers, dtype: answers.groupBy("group").applyInArrow(_gathered(buckets, dtype), "doc_id long, found binary")
+    gathered = lambda answers: answers.groupBy("group").applyInArrow(_gathered, "doc_id long, found binary")
     anchors = stored(named.mapInArrow(_probes(buckets), PROBES).groupBy("bucket").applyInArrow(_anchored(buckets), ANSWERS), "anchors")
-    found = named.join(gathered(anchors, np.uint32).hint("shuffle_merge"), "doc_id").select("doc_id", "text", "found").mapInArrow(_windows(buckets), WINDOWS)
+    found = named.join(gathered(anchors).hint("shuffle_merge"), "doc_id").select("doc_id", "text", "found").mapInArrow(_windows(buckets), WINDOWS)
     repeats = stored(found.groupBy("bucket").applyInArrow(_repeats(buckets), ANSWERS), "repeats")
     dropped(anchors)
-    lists = gathered(repeats, np.uint64)
+    lists = gathered(repeats)
     return docs.join(lists.hint("shuffle_merge"), "doc_id", "left").select("doc_id", "text", "found").mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept string")
 
 
