@@ -6,8 +6,9 @@ from bit counts, corrected for chance collisions. What may reach the threshold i
 
 Equal sets are one node from the start. In each bucket, nodes whose estimates reach the threshold are first joined
 by as few pairs as it takes; the confirmed ones give components. Then, in buckets that still hold several components,
-all nodes of different components are compared, as arrays within the bucket, and every pair that may be a link is
-confirmed. So copies are not expanded into pairs and no link between different texts is lost."""
+all nodes of different components that may be linked are compared on their full sets within the bucket, each pair in
+the first bucket that it shares; what comes out are only as many links as join them. So neither copies nor candidates
+are expanded into rows of pairs, and no link between different texts is lost."""
 
 from __future__ import annotations
 
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .arrays import NOT_SPACE, Words, mix, ngrams, packed, slices, within
+from .arrays import NOT_SPACE, Words, isin_sorted, mix, ngrams, packed, slices, within
 from .components import components
 from .store import dropped, stored
 
@@ -25,8 +26,11 @@ WORDS, BANDS, ROWS, BITS = 5, 25, 5, 4
 HASHES = BANDS * ROWS
 #: A pair is confirmed on full sets if its estimate is within 4.5 standard deviations of the threshold.
 MARGIN = 0.15
-#: Nodes of a bucket that are compared at once; larger buckets are cut into blocks and each two blocks compared.
-BLOCK = 1024
+#: Nodes of a bucket that are compared at once, and their shingles; larger buckets are cut into blocks and each two
+#: blocks compared.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
+#: Full sets that one is compared with at once.
+AT_ONCE = 64
 #: Jaccard threshold as the contract states it: 100 * intersection >= 85 * union.
 PER_CENT = 85
 
@@ -129,8 +133,8 @@ def _confirmed(per_cent: int):
     return run
 
 
-def _sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The full shingle sets of the documents in pairs."""
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The full shingle sets of the documents with the wanted doc_id."""
 
     def run(batches):
         for batch in batches:
@@ -138,53 +142,114 @@ def _sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 keys, first = shingles(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), packed(np.split(keys, first[1:-1]), np.uint64)], ["doc_id", "set"])
 
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    return docs.select("doc_id", "text").join(wanted.hint("shuffle_merge"), "doc_id", "left_semi").mapInArrow(run, "doc_id long, set binary")
+    return docs.select("doc_id", "text").join(wanted.distinct().hint("shuffle_merge"), "doc_id", "left_semi").mapInArrow(run, "doc_id long, set binary")
 
 
 def _links(docs: DataFrame, near: DataFrame, per_cent: int) -> DataFrame:
     """Those of the candidate pairs (a < b) that are links, confirmed on full sets."""
-    sets = stored(_sets(docs, near), "sets")
+    sets = stored(_sets(docs, near.select(F.explode(F.array("a", "b")).alias("doc_id"))), "sets")
     full = near.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("a_set")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("b_set")), "b")
     links = stored(full.select("a", "b", "a_set", "b_set").mapInArrow(_confirmed(per_cent), "a long, b long"), "links")
     dropped(sets)
     return links
 
 
-def _across(least: float, per_cent: int, forest: bool):
-    """Pairs of nodes of different components in two blocks of a bucket (or in one), whose sizes and estimate allow a
-    link. With forest, only as many of them as join the nodes."""
+class Blocks:
+    """Two blocks of a bucket's nodes, or one: which pairs of different components may be links."""
+
+    def __init__(self, table: pa.Table, least: float, per_cent: int):
+        self.id, component, block, self.n = (table.column(c).to_numpy() for c in ("doc_id", "component", "block", "n_shingles"))
+        self.bits, self.bands = _matrix(table.column("bits")), np.array(table.column("bands").to_pylist(), np.int64)
+        self.key, i, j = (table.column(c)[0].as_py() for c in ("key", "i", "j"))
+        self.left, self.right, self.same = np.flatnonzero(block == i), np.flatnonzero(block == j), i == j
+        self.component = np.unique(component, return_inverse=True)[1]
+        self.least, self.per_cent = least, per_cent
+
+    def partners(self, x: int, once: bool) -> np.ndarray:
+        """Nodes of other components whose size and estimate allow a link with x, the likeliest first. With once,
+        only those that share no earlier band with x, so that all buckets together have each pair one time."""
+        right = self.right
+        sizes = np.minimum(self.n[right], self.n[x]) * 100 >= self.per_cent * np.maximum(self.n[right], self.n[x])
+        right = right[(self.component[right] != self.component[x]) & sizes & (self.id[right] > self.id[x] if self.same else self.id[right] != self.id[x])]
+        likely = estimate(self.bits[x], self.bits[right])
+        order = np.argsort(-likely, kind="stable")
+        right = right[order[likely[order] >= self.least]]
+        if once and len(right):
+            right = right[self.bands[x][(self.bands[right] == self.bands[x]).argmax(1)] == self.key]
+        return right
+
+    def join(self, x: int, others: np.ndarray) -> np.ndarray:
+        """Those of others, one of each component, that tie x to components that it wasn't in; they are one from now on."""
+        others = others[np.unique(self.component[others], return_index=True)[1]]
+        self.component[np.isin(self.component, self.component[others])] = self.component[x]
+        return others
+
+
+def _pairs(id_: np.ndarray, found: list[tuple[int, np.ndarray]]) -> pa.Table:
+    a = np.concatenate([np.zeros(0, np.int64), *(np.minimum(id_[x], id_[others]) for x, others in found)])
+    b = np.concatenate([np.zeros(0, np.int64), *(np.maximum(id_[x], id_[others]) for x, others in found)])
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _forest(per_cent: int):
+    """As few pairs as join the nodes whose estimates reach the threshold."""
+
+    def run(table: pa.Table) -> pa.Table:
+        blocks, found = Blocks(table, per_cent / 100, per_cent), []
+        for x in blocks.left:
+            if len(others := blocks.partners(x, False)):
+                found.append((x, blocks.join(x, others)))
+        return _pairs(blocks.id, found)
+
+    return run
+
+
+def _active(least: float, per_cent: int):
+    """The rows of nodes that have a partner to be compared with in full."""
+
+    def run(table: pa.Table) -> pa.Table:
+        blocks = Blocks(table, least, per_cent)
+        active = np.zeros(table.num_rows, bool)
+        for x in blocks.left:
+            others = blocks.partners(x, True)
+            active[others] = True
+            active[x] |= len(others) > 0
+        return table.filter(pa.array(active))
+
+    return run
+
+
+def _compared(least: float, per_cent: int):
+    """As few links, confirmed on full sets, as join what is linked."""
 
     def run(table: pa.Table) -> pa.Table:
-        id_, component, block, n = (table.column(c).to_numpy() for c in ("doc_id", "component", "block", "n_shingles"))
-        bits = _matrix(table.column("bits"))
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        component = np.unique(component, return_inverse=True)[1]
-        a, b = [], []
-        for x in left:
-            sizes = np.minimum(n[right], n[x]) * 100 >= per_cent * np.maximum(n[right], n[x])
-            others = right[(component[right] != component[x]) & sizes & (id_[right] > id_[x] if i == j else id_[right] != id_[x])]
-            others = others[estimate(bits[x], bits[others]) >= least]
-            if forest and len(others):
-                others = others[np.unique(component[others], return_index=True)[1]]
-                component[np.isin(component, component[others])] = component[x]
-            a.append(np.minimum(id_[x], id_[others]))
-            b.append(np.maximum(id_[x], id_[others]))
-        join = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
-        return pa.table([pa.array(join(a), pa.int64()), pa.array(join(b), pa.int64())], ["a", "b"])
+        blocks, found = Blocks(table, least, per_cent), []
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
+        for x in blocks.left:
+            others = blocks.partners(x, True)
+            for at in range(0, len(others), AT_ONCE):
+                some = others[at : at + AT_ONCE]
+                some = some[blocks.component[some] != blocks.component[x]]
+                if not len(some):
+                    continue
+                size = np.array([len(sets[k]) for k in some])
+                shared = isin_sorted(np.concatenate([sets[k] for k in some]), sets[x])[0]
+                both = np.add.reduceat(shared.astype(np.int64), np.cumsum(size) - size)
+                some = some[100 * both >= per_cent * (len(sets[x]) + size - both)]
+                if len(some):
+                    found.append((x, blocks.join(x, some)))
+        return _pairs(blocks.id, found)
 
     return run
 
 
-def _candidates(members: DataFrame, nodes: DataFrame, least: float, per_cent: int, forest: bool) -> DataFrame:
-    """Pairs across the components of each bucket's members (key, doc_id, component)."""
+def _blocks(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The nodes of each two blocks of each bucket whose members (key, doc_id, component, n_shingles) are of several components."""
     per_bucket = Window.partitionBy("key")
-    mixed = members.select("*", F.min("component").over(per_bucket).alias("low"), F.max("component").over(per_bucket).alias("high"), F.count("*").over(per_bucket).alias("n")).where("low < high")
-    own = mixed.withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    own = own.join(nodes.select("doc_id", "bits", "n_shingles"), "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    own = own.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "component", "block", "bits", "n_shingles")
-    return own.groupBy("key", "i", "j").applyInArrow(_across(least, per_cent, forest), "a long, b long").distinct()
+    mixed = members.select("*", F.min("component").over(per_bucket).alias("low"), F.max("component").over(per_bucket).alias("high"), F.count("*").over(per_bucket).alias("n"), F.sum("n_shingles").over(per_bucket).alias("total")).where("low < high")
+    own = mixed.withColumn("blocks", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES))).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    own = own.drop("n_shingles").join(nodes.select("doc_id", "bits", "bands", "n_shingles"), "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return own.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "component", "block", "bits", "bands", "n_shingles")
 
 
 def linked(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
@@ -199,14 +264,19 @@ def linked(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
     classes = full.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("n_shingles").alias("n_shingles"))
     nodes = stored(classes, "nodes")
 
-    members = nodes.select(F.explode("bands").alias("key"), "doc_id", F.col("doc_id").alias("component"))
-    pairs = stored(_candidates(members, nodes, per_cent / 100, per_cent, True), "pairs")
+    members = nodes.select(F.explode("bands").alias("key"), "doc_id", F.col("doc_id").alias("component"), "n_shingles")
+    pairs = stored(_blocks(members, nodes).groupBy("key", "i", "j").applyInArrow(_forest(per_cent), "a long, b long").distinct(), "pairs")
     first = _links(docs, pairs, per_cent)
     stars = stored(components(first), "stars") if first.head(1) else spark.createDataFrame([], "node long, component long")
 
-    labelled = members.drop("component").join(stars.withColumnRenamed("node", "doc_id").hint("shuffle_merge"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    across = _candidates(labelled, nodes, per_cent / 100 - MARGIN, per_cent, False)
-    more = _links(docs, stored(across.join(pairs, ["a", "b"], "left_anti"), "pairs"), per_cent)
+    labelled = members.drop("component").join(stars.withColumnRenamed("node", "doc_id").hint("shuffle_merge"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"), "n_shingles")
+    least, rest = per_cent / 100 - MARGIN, _blocks(labelled, nodes)
+    active = stored(rest.groupBy("key", "i", "j").applyInArrow(_active(least, per_cent), rest.schema), "active")
+    sets = stored(_sets(docs, active.select("doc_id")), "sets")
+    compared = active.join(sets.hint("shuffle_merge"), "doc_id").groupBy("key", "i", "j").applyInArrow(_compared(least, per_cent), "a long, b long")
+    more = stored(compared.distinct(), "links")
+    for table in (active, sets):
+        dropped(table)
 
     edges = first.union(more)
     whole = stored(components(edges), "components") if edges.head(1) else stars
