@@ -157,12 +157,12 @@ def _postings(shared, buckets: int):
         for own in np.split(order, edges[1:]):
             new = np.flatnonzero(np.append(True, pair[own][1:] != pair[own][:-1]))
             first = own[new]
-            for c, x in zip(columns, (bucket[own[0]], np.diff(v[first], prepend=np.uint32(0)), w[first], np.diff(np.append(new, len(own))), doc[own], np.minimum(times[own], 65535)), strict=True):
+            for c, x in zip(columns, (bucket[own[0]], np.diff(v[first], prepend=np.uint32(0)), w[first], np.diff(np.append(new, len(own))), doc[own], times[own]), strict=True):
                 c.append(x)
         n = len(edges)
         short = np.uint16 if len(ids) < 1 << 16 else np.uint32
         deltas = [np.diff(ids, prepend=0)] * n
-        kinds = (np.uint32, np.uint32, np.uint32, short, np.uint16)
+        kinds = (np.uint32, np.uint32, np.uint32, short, np.uint32)
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(_squeezed(c, k) for c, k in zip(columns[1:], kinds, strict=True)), _squeezed(deltas, np.int64), _squeezed([folds] * n, np.uint8)], ["bucket", "v", "w", "n", "doc", "times", "ids", "folds"])
 
     def run(batches):
@@ -191,7 +191,7 @@ def _row(row: dict) -> dict:
     folds = _plain(row["folds"], np.uint8)
     out = {k: _plain(row[k], np.uint32) for k in ("v", "w", "n")}
     out["v"] = np.cumsum(out["v"], dtype=np.uint32)
-    out |= {"doc": _plain(row["doc"], np.uint16 if len(folds) < 1 << 16 else np.uint32), "times": _plain(row["times"], np.uint16), "folds": folds}
+    out |= {"doc": _plain(row["doc"], np.uint16 if len(folds) < 1 << 16 else np.uint32), "times": _plain(row["times"], np.uint32), "folds": folds}
     out["ids"] = np.cumsum(_plain(row["ids"], np.int64))
     out["of"] = np.repeat(np.arange(len(out["v"])), out["n"])
     return out

@@ -108,6 +108,15 @@ def test_ngram_likes_what_it_has_seen(spark):
     assert out[1]["score"] > out[1]["base_score"] and out[1]["score"] > out[1000]["score"] * 0.9
 
 
+def test_ngram_counts_every_repeat_of_a_pair(spark):
+    out = {}
+    for n in (60_000, 120_000):
+        rows = [(k, "one two three") for k in range(20)] + [(100, "word " * n)]
+        out[n] = {r["doc_id"]: r for r in ngram.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect()}[100]
+    assert [out[n]["n_tokens"] for n in out] == [60_001, 120_001]
+    assert out[120_000]["score"] / out[60_000]["score"] == pytest.approx(2, rel=0.01)
+
+
 def test_merkle(rows, docs, nothing):
     text = dict(rows)
     ids = sorted(text, reverse=True)
