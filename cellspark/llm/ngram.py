@@ -2,9 +2,10 @@
 
 p(w | v) mixes the maximum-likelihood estimates c(v,w)/c(v) and c(w)/N with a uniform share. The weights depend on
 how frequent the context v is (powers of two) and are learned by expectation-maximisation: counts without one fold
-of the training documents, mixed so that this fold becomes likeliest. The commonest 2**19 words are classes of their
-own; all others make one class, within which a word has its exact count (plus one) as its share. Every count is over
-all training documents.
+of the training documents, mixed so that this fold becomes likeliest. Every count is over all training documents, and
+every distinct pair is counted. The commonest 2**19 words have short codes and their counts broadcast; all others
+travel as hashes, and the buckets that hold them get their counts by a join. The scores do not depend on the number of
+codes.
 
 Pairs travel as packed arrays by a hash of the pair, with the documents that hold them, so that counting and
 scoring share one exchange. Pairs of two very common words are counted beforehand and their document lists stay
@@ -23,8 +24,10 @@ from .labels import fold
 from .store import stored
 
 FOLDS, HELD_OUT, MIXING = 7, 2, 3
-#: Words with a class of their own; the commonest of them, whose pairs are counted beforehand.
+#: Words with a code of their own; the commonest of them, whose pairs are counted beforehand.
 HEAD, HOT = 1 << 19, 512
+#: Codes from here on are places in a list of hashes of words outside the head.
+TAIL = 1 << 31
 END = mix(np.array([0xE0D], np.uint64))[0]
 #: Tokens that a task gathers before it sends them out by bucket; buckets at least.
 SEND, BUCKETS = 500_000, 64
@@ -55,7 +58,7 @@ def _unigrams(batches):
 
 
 class Vocabulary:
-    """Classes: 0 for all words outside the head, then the head's words, commonest first."""
+    """Classes: the head's words from 1, commonest first; 0 stands for any word outside the head."""
 
     def __init__(self, table: pa.Table, total: int, total_mixing: int, types: int):
         words = table.column("word").to_numpy().view(np.uint64)
@@ -63,12 +66,9 @@ class Vocabulary:
         order = np.lexsort((words, -n))
         words, n, m = words[order], n[order], m[order]
         self.total, self.total_mixing, self.types = total, total_mixing, types
-        self.n = np.append(total - n.sum(), n)
-        self.mixing = np.append(total_mixing - m.sum(), m)
+        self.n, self.mixing = np.append(0, n), np.append(0, m)
         by_hash = np.argsort(words)
         self.words, self.classes = words[by_hash], by_hash + 1
-        #: Denominator of a word's share within class 0.
-        self.rest = int(self.n[0]) + types - len(words) + 1
 
     def of(self, h: np.ndarray) -> np.ndarray:
         if not len(self.words):
@@ -83,8 +83,14 @@ def _pairs(vocabulary: Vocabulary, c: np.ndarray) -> np.ndarray:
     return np.append(vocabulary.of(np.array([END]))[0], c[:-1])
 
 
-def _facts(shared):
-    """Rows (kind, doc_id, a, b, x). 0: counts of a pair of hot words; 1: a word outside the head; 2: sums of a row."""
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of the pairs of a word outside the head, as pmod() of the hash."""
+    return h.view(np.int64) % np.int64(buckets)
+
+
+def _facts(shared, buckets: int):
+    """Rows (kind, doc_id, a, b, x). 0: counts of a pair of hot words; 1: a word outside the head; 2: sums of a row; 3: a
+    word outside the head whose counts are needed in another one's bucket."""
 
     def rows(kind, doc_id, a, b, x):
         n = len(a)
@@ -113,6 +119,12 @@ def _facts(shared):
                     order = rare[np.lexsort((h[rare], doc[rare]))]
                     new = np.flatnonzero(np.append(True, (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])))
                     yield rows(1, ids[doc[order][new]], h[order][new].view(np.int64), np.diff(np.append(new, len(order))), 0)
+                    after = rare[v[rare] == 0]
+                    word, bucket = np.append(END, h[:-1])[after], _bucket(h[after], buckets)
+                    order = np.lexsort((bucket, word))
+                    word, bucket = word[order], bucket[order]
+                    new = np.append(True, (word[1:] != word[:-1]) | (bucket[1:] != bucket[:-1]))[: len(word)]
+                    yield rows(3, 0, word[new].view(np.int64), bucket[new], 0)
         cells = np.flatnonzero(hot[0])
         if len(cells):
             yield rows(0, hot[1][cells], cells, hot[0][cells], 0)
@@ -137,42 +149,54 @@ def _rows(batches):
 
 
 def _postings(shared, buckets: int):
-    """Rows (bucket, v, w, n, doc, times, ids, folds): pairs of a slice of documents, and who has them how often."""
+    """Rows (bucket, v, w, n, doc, times, ids, folds, tail): pairs of a slice of documents, who has them how often, and
+    the words outside the head. Pairs with such a word go to its bucket (the second one's, if both are), others by their codes."""
 
     def send(parts) -> pa.RecordBatch:
         voc = shared.value
         ids, folds = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
         offsets = np.cumsum([0, *(len(p[2]) for p in parts[:-1])])
         doc = np.concatenate([p[1] + o for p, o in zip(parts, offsets, strict=True)])
-        pair = np.concatenate([p[0] for p in parts])
-        both, times = np.unique((pair << np.uint64(24)) | doc.astype(np.uint64), return_counts=True)
-        pair, doc = both >> np.uint64(24), (both & np.uint64((1 << 24) - 1)).astype(np.uint32)
-        v, w = (pair >> np.uint64(20)).astype(np.uint32), (pair & np.uint64((1 << 20) - 1)).astype(np.uint32)
-        hot = (v > 0) & (v <= HOT) & (w > 0) & (w <= HOT)
-        bucket = (mix(pair) % np.uint64(buckets)).astype(np.int64)
+        words, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        codes = voc.of(words)
+        order = np.argsort(np.where(codes > 0, codes, TAIL), kind="stable")
+        words, codes, place = words[order], codes[order].astype(np.uint32), np.empty(len(order), np.uint64)
+        place[order] = np.arange(len(order), dtype=np.uint64)
+        after = place[at]  # texts end with END, so that the last word of the slice is the one before the first
+        pairs, pair = np.unique((np.roll(after, 1) << np.uint64(32)) | after, return_inverse=True)
+        both, times = np.unique((pair.astype(np.uint64) << np.uint64(32)) | doc.astype(np.uint64), return_counts=True)
+        pair, doc = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64((1 << 32) - 1)).astype(np.uint32)
+        v, w = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64((1 << 32) - 1)).astype(np.int64)
+        cv, cw = codes[v], codes[w]
+        hot = (cv > 0) & (cv <= HOT) & (cw > 0) & (cw <= HOT)
+        bucket = (mix((cv.astype(np.uint64) << np.uint64(32)) | cw) % np.uint64(buckets)).astype(np.int64)
+        rare = (cv == 0) | (cw == 0)
+        bucket[rare] = _bucket(words[np.where(cw == 0, w, v)[rare]], buckets)
         bucket[hot] = -1 - int(mix(ids[:1].astype(np.int64).view(np.uint64))[0] % np.uint64(buckets))
+        bucket = bucket[pair]
         order = np.argsort(bucket, kind="stable")
         edges = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0))
-        columns: list[list] = [[] for _ in range(6)]
+        columns: list[list] = [[] for _ in range(7)]
+        first_rare = int(np.searchsorted(codes == 0, True))
         for own in np.split(order, edges[1:]):
             new = np.flatnonzero(np.append(True, pair[own][1:] != pair[own][:-1]))
-            first = own[new]
-            for c, x in zip(columns, (bucket[own[0]], np.diff(v[first], prepend=np.uint32(0)), w[first], np.diff(np.append(new, len(own))), doc[own], times[own]), strict=True):
-                c.append(x)
+            x, y = v[pair[own[new]]], w[pair[own[new]]]
+            tail = np.unique(np.concatenate([x[x >= first_rare], y[y >= first_rare]]))
+            x, y = (np.where(k < first_rare, codes[k], TAIL + np.searchsorted(tail, k)).astype(np.uint32) for k in (x, y))
+            for c, column in zip(columns, (bucket[own[0]], np.diff(x, prepend=np.uint32(0)), y, np.diff(np.append(new, len(own))), doc[own], times[own], words[tail]), strict=True):
+                c.append(column)
         n = len(edges)
         short = np.uint16 if len(ids) < 1 << 16 else np.uint32
         deltas = [np.diff(ids, prepend=0)] * n
         kinds = (np.uint32, np.uint32, np.uint32, short, np.uint32)
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(_squeezed(c, k) for c, k in zip(columns[1:], kinds, strict=True)), _squeezed(deltas, np.int64), _squeezed([folds] * n, np.uint8)], ["bucket", "v", "w", "n", "doc", "times", "ids", "folds"])
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(_squeezed(c, k) for c, k in zip(columns[1:6], kinds, strict=True)), _squeezed(deltas, np.int64), _squeezed([folds] * n, np.uint8), _squeezed(columns[6], np.uint64)], ["bucket", "v", "w", "n", "doc", "times", "ids", "folds", "tail"])
 
     def run(batches):
-        voc, parts, size = shared.value, [], 0
+        parts, size = [], 0
         for batch in batches:
             for part in slices(batch):
                 h, doc, _ = tokens(part)
-                c = voc.of(h)
-                pair = (_pairs(voc, c).astype(np.uint64) << np.uint64(20)) | c.astype(np.uint64)
-                parts.append((pair, doc, part.column("doc_id").to_numpy(zero_copy_only=False), part.column("fold").to_numpy(zero_copy_only=False)))
+                parts.append((h, doc, part.column("doc_id").to_numpy(zero_copy_only=False), part.column("fold").to_numpy(zero_copy_only=False)))
                 size += len(h)
                 if size >= SEND:
                     yield send(parts)
@@ -183,7 +207,8 @@ def _postings(shared, buckets: int):
     return run
 
 
-POSTINGS = "bucket int, v binary, w binary, n binary, doc binary, times binary, ids binary, folds binary"
+POSTINGS = "bucket int, v binary, w binary, n binary, doc binary, times binary, ids binary, folds binary, tail binary"
+COUNTED = f"{POSTINGS}, c binary, m binary, tail_n binary, tail_m binary"
 
 
 def _row(row: dict) -> dict:
@@ -203,26 +228,54 @@ def _local(x: dict, least: int) -> np.ndarray:
     return np.bincount(x["of"][known], x["times"][known], len(x["v"])).astype(np.int64)
 
 
-def _counted(table: pa.Table) -> pa.Table:
-    """Adds each pair's counts over the whole bucket: c (all training documents) and m (those of the mixing fold)."""
-    if table.column("bucket")[0].as_py() < 0:
-        none = pa.array([b""] * len(table), pa.binary())
-        return table.append_column("c", none).append_column("m", none)
+def _counted(table: pa.Table, counts: pa.Table) -> pa.Table:
+    """Adds each pair's counts over the whole bucket, c (all training documents) and m (those of the mixing fold), and
+    those of the words outside the head, from counts (bucket, word, n, mixing)."""
+    if not len(table) or table.column("bucket")[0].as_py() < 0:
+        for name in ("c", "m", "tail_n", "tail_m"):
+            table = table.append_column(name, pa.array([b""] * len(table), pa.binary()))
+        return table
     xs = [_row(r) for r in _rows(table.to_batches())]
-    keys = np.concatenate([(x["v"].astype(np.uint64) << np.uint64(20)) | x["w"] for x in xs])
+    tails = [_plain(t, np.uint64) for t in table.column("tail").to_pylist()]
+    words, place = np.unique(np.concatenate(tails), return_inverse=True)
+    place = np.split(place, np.cumsum([len(t) for t in tails])[:-1])
+
+    def codes(x: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Codes with places among the bucket's words."""
+        out, rare = x.astype(np.uint64), x >= TAIL
+        out[rare] = TAIL + own[x[rare] - np.uint32(TAIL)]
+        return out
+
+    keys = np.concatenate([(codes(x["v"], p) << np.uint64(32)) | codes(x["w"], p) for x, p in zip(xs, place, strict=True)])
     _, at = np.unique(keys, return_inverse=True)
     c, m = (np.bincount(at, np.concatenate([_local(x, k) for x in xs])).astype(np.int64)[at] for k in (1, 2))
     edges = np.cumsum([len(x["v"]) for x in xs])[:-1]
-    return table.append_column("c", _squeezed(np.split(c, edges), np.uint32)).append_column("m", _squeezed(np.split(m, edges), np.uint32))
-
-
-def _with_counts(row: dict, hot: np.ndarray) -> dict:
+    own = np.zeros((2, len(words)), np.int64)
+    if len(words) and len(counts):
+        known, first = np.unique(counts.column("word").to_numpy().view(np.uint64), return_index=True)
+        where = np.minimum(np.searchsorted(known, words), len(known) - 1)
+        for k, name in enumerate(("n", "mixing")):
+            own[k] = np.where(known[where] == words, counts.column(name).to_numpy()[first][where], 0)
+    for name, values in (("c", np.split(c, edges)), ("m", np.split(m, edges)), ("tail_n", [own[0][p] for p in place]), ("tail_m", [own[1][p] for p in place])):
+        table = table.append_column(name, _squeezed(values, np.int64 if name.startswith("tail") else np.uint32))
+    return table
+
+
+def _with_counts(row: dict, voc: Vocabulary, hot: np.ndarray) -> dict:
+    """The arrays of a row, with counts of its pairs (c, m), first words (cv, mv) and second words (cw, mw)."""
     x = _row(row)
     if row["bucket"] < 0:
         cell = (x["v"].astype(np.int64) - 1) * HOT + x["w"] - 1
         x["c"], x["m"] = hot[0][cell], hot[1][cell]
     else:
         x["c"], x["m"] = _plain(row["c"], np.uint32).astype(np.int64), _plain(row["m"], np.uint32).astype(np.int64)
+    for side in ("v", "w"):
+        rare = x[side] >= TAIL
+        for name, head, tail in (("c", voc.n, "tail_n"), ("m", voc.mixing, "tail_m")):
+            counts = head[np.where(rare, 0, x[side])]
+            if rare.any():
+                counts[rare] = _plain(row[tail], np.int64)[x[side][rare] - np.uint32(TAIL)]
+            x[name + side] = counts
     return x
 
 
@@ -249,13 +302,12 @@ def _held_out_table(shared):
     def run(batches):
         voc, hot = shared.value
         for row in _rows(batches):
-            x = _with_counts(row, hot)
+            x = _with_counts(row, voc, hot)
             local = _local(x, 2)
             some = local > 0
-            v, w = x["v"][some], x["w"][some]
-            context = voc.n[v] - voc.mixing[v]
+            context = (x["cv"] - x["mv"])[some]
             p2 = _ratio((x["c"] - x["m"])[some], context)
-            p1 = (voc.n[w] - voc.mixing[w]) / max(voc.total - voc.total_mixing, 1)
+            p1 = (x["cw"] - x["mw"])[some] / max(voc.total - voc.total_mixing, 1)
             cell = (_level(context) * (STEPS + 1) + _step(p2)) * (STEPS + 1) + _step(p1)
             keys, at = np.unique(cell, return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(at, local[some], len(keys)).astype(np.int64))], ["cell", "n"])
@@ -284,12 +336,11 @@ def _scores(shared):
 
     def run(batches):
         voc, hot, weights = shared.value
-        uniform = 1 / len(voc.n)
+        uniform = 1 / (voc.types + 1)
         for row in _rows(batches):
-            x = _with_counts(row, hot)
-            v, w = x["v"], x["w"]
-            mix_ = weights[_level(voc.n[v])]
-            p = mix_[:, 0] * _ratio(x["c"], voc.n[v]) + mix_[:, 1] * voc.n[w] / max(voc.total, 1) + mix_[:, 2] * uniform
+            x = _with_counts(row, voc, hot)
+            mix_ = weights[_level(x["cv"])]
+            p = mix_[:, 0] * _ratio(x["c"], x["cv"]) + mix_[:, 1] * x["cw"] / max(voc.total, 1) + mix_[:, 2] * uniform
             logs = np.bincount(x["doc"], np.log10(p)[x["of"]] * x["times"], len(x["ids"]))
             key = np.bitwise_xor.reduce(mix(x["ids"].view(np.uint64) + np.arange(len(logs), dtype=np.uint64)))
             yield pa.RecordBatch.from_arrays([pa.array([key.view(np.int64)], pa.int64()), pa.array([row["ids"]], pa.binary()), packed([logs], np.float64)], ["slice", "ids", "logs"])
@@ -329,18 +380,22 @@ def scored(docs: DataFrame, head: int = HEAD) -> DataFrame:
     voc = Vocabulary(words.where(F.col("n") >= least).select("word", "n", "mixing").toArrow(), total, total_mixing, types)
     shared = spark.sparkContext.broadcast(voc)
 
-    facts = stored(docs.mapInArrow(_facts(shared), "kind int, doc_id long, a long, b long, x double"), "facts")
+    buckets = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    facts = stored(docs.mapInArrow(_facts(shared, buckets), "kind int, doc_id long, a long, b long, x double"), "facts")
     hot = np.zeros((2, HOT * HOT), np.int64)
     table = facts.where("kind = 0").groupBy("a").agg(F.sum("b").alias("n"), F.sum("doc_id").alias("mixing")).toArrow()
     for k, c in enumerate(("n", "mixing")):
         hot[k][table.column("a").to_numpy()] = table.column(c).to_numpy()
 
-    buckets = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tail = words.where(F.col("n") < least).select("word", "n", "mixing")
+    needed = facts.where("kind = 3").select(F.col("b").cast("int").alias("bucket"), F.col("a").alias("word")).distinct()
+    needed = needed.join(tail.hint("shuffle_merge"), "word").select("bucket", "word", "n", "mixing")
+    counts = tail.select(F.pmod("word", F.lit(buckets)).cast("int").alias("bucket"), "word", "n", "mixing").union(needed)
     postings = docs.mapInArrow(_postings(shared, buckets), POSTINGS)
-    postings = stored(postings.groupBy("bucket").applyInArrow(_counted, POSTINGS + ", c binary, m binary"), "postings")
+    postings = stored(postings.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(_counted, COUNTED), "postings")
     model = spark.sparkContext.broadcast((voc, hot))
     cells = postings.mapInArrow(_held_out_table(model), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    weights = mixed(cells.column("cell").to_numpy(), cells.column("n").to_numpy(), 1 / len(voc.n))
+    weights = mixed(cells.column("cell").to_numpy(), cells.column("n").to_numpy(), 1 / (types + 1))
 
     zero, none = F.lit(0).cast("long"), F.lit(0.0)
     names = ("rows", "n_tokens", "n_known", "base", "score")
@@ -348,7 +403,7 @@ def scored(docs: DataFrame, head: int = HEAD) -> DataFrame:
     own = row(facts.where("kind = 2"), F.lit(1).cast("long"), F.col("a"), F.col("b"), F.col("x"), none)
     rare = facts.where("kind = 1").join(words.select(F.col("word").alias("a"), F.col("n").alias("c")).hint("shuffle_merge"), "a", "left").withColumn("c", F.coalesce("c", zero))
     logs = F.col("b") * F.log10(F.col("c") + 1)
-    rare = row(rare, zero, zero, F.when(F.col("c") > 0, F.col("b")).otherwise(zero), logs, logs - F.col("b") * float(np.log10(voc.rest)))
+    rare = row(rare, zero, zero, F.when(F.col("c") > 0, F.col("b")).otherwise(zero), logs, none)
     pairs = postings.mapInArrow(_scores(spark.sparkContext.broadcast((voc, hot, weights))), "slice long, ids binary, logs binary")
     pairs = pairs.groupBy("slice").applyInArrow(_summed, "doc_id long, score double")
     pairs = row(pairs, zero, zero, zero, none, F.col("score"))

@@ -108,6 +108,13 @@ def test_ngram_likes_what_it_has_seen(spark):
     assert out[1]["score"] > out[1]["base_score"] and out[1]["score"] > out[1000]["score"] * 0.9
 
 
+def test_ngram_scores_do_not_depend_on_the_head(docs):
+    want = sorted(map(tuple, ngram.scored(docs).collect()))
+    for head in (0, 6):
+        for g, w in zip(sorted(map(tuple, ngram.scored(docs, head=head).collect())), want, strict=True):
+            assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:], rel=1e-9)
+
+
 def test_ngram_counts_every_repeat_of_a_pair(spark):
     out = {}
     for n in (60_000, 120_000):
