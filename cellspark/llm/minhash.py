@@ -54,17 +54,17 @@ def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.searchsorted(docs, np.arange(words.docs + 1))
 
 
-def _factors() -> tuple[np.ndarray, np.ndarray]:
-    seeds = mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return seeds[:HASHES] | np.uint64(1), seeds[HASHES:]
+def _factors(hashes: int) -> tuple[np.ndarray, np.ndarray]:
+    seeds = mix(np.arange(1, 2 * hashes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return seeds[:hashes] | np.uint64(1), seeds[hashes:]
 
 
-def minima(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """HASHES minima of each set that is not empty."""
+def minima(keys: np.ndarray, first: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+    """So many minima of each set that is not empty."""
     full = first[:-1][np.diff(first) > 0]
-    out = np.empty((len(full), HASHES), np.uint64)
+    out = np.empty((len(full), hashes), np.uint64)
     if len(full):
-        for k, (a, b) in enumerate(zip(*_factors(), strict=True)):
+        for k, (a, b) in enumerate(zip(*_factors(hashes), strict=True)):
             x = keys * a + b
             x ^= x >> np.uint64(32)
             out[:, k] = np.minimum.reduceat(x, full)
@@ -77,7 +77,7 @@ def low_bits(mins: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8).reshape(len(mins), -1), axis=1)
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def estimate(a: np.ndarray, b: np.ndarray, hashes: int = HASHES) -> np.ndarray:
     """Similarity from packed signatures: share of equal values, less what chance makes equal."""
     x = a ^ b
     shift = BITS // 2
@@ -85,12 +85,12 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         x = x | (x >> np.uint8(shift))
         shift //= 2
     ones = np.uint8(sum(1 << k for k in range(0, 8, BITS)))
-    share = 1 - np.bitwise_count(x & ones).sum(-1) / HASHES
+    share = 1 - np.bitwise_count(x & ones).sum(-1) / hashes
     chance = 2.0**-BITS
     return (share - chance) / (1 - chance)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, n_bands: int = BANDS) -> DataFrame:
     """doc_id, n_shingles, digest (of the set), bands (longs), bits (packed low bits); null digest, bands and bits for empty sets."""
 
     def run(batches):
@@ -99,11 +99,11 @@ def signatures(docs: DataFrame) -> DataFrame:
                 keys, first = shingles(part.column("text"))
                 n = np.diff(first)
                 full = np.flatnonzero(n)
-                mins = minima(keys, first)
-                bands = np.zeros((len(mins), BANDS), np.uint64)
+                mins = minima(keys, first, n_bands * ROWS)
+                bands = np.zeros((len(mins), n_bands), np.uint64)
                 for k in range(ROWS):
                     bands = bands * np.uint64(0xD6E8FEB86659FD93) + mins[:, k::ROWS]
-                bands = mix(bands + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+                bands = mix(bands + np.arange(n_bands, dtype=np.uint64)).view(np.int64)
                 sums = [np.add.reduceat(mix(keys + np.uint64(s)), first[:-1][full]) for s in (1, 2)] if len(full) else [np.zeros(0, np.uint64)] * 2
                 digest, bits = np.stack(sums, 1), low_bits(mins)
                 columns: list[list] = [[None] * part.num_rows for _ in range(3)]
@@ -171,7 +171,7 @@ class Blocks:
         right = self.right
         sizes = np.minimum(self.n[right], self.n[x]) * 100 >= self.per_cent * np.maximum(self.n[right], self.n[x])
         right = right[(self.component[right] != self.component[x]) & sizes & (self.id[right] > self.id[x] if self.same else self.id[right] != self.id[x])]
-        likely = estimate(self.bits[x], self.bits[right])
+        likely = estimate(self.bits[x], self.bits[right], self.bands.shape[1] * ROWS)
         order = np.argsort(-likely, kind="stable")
         right = right[order[likely[order] >= self.least]]
         if once and len(right):
@@ -252,14 +252,14 @@ def _blocks(members: DataFrame, nodes: DataFrame) -> DataFrame:
     return own.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "component", "block", "bits", "bands", "n_shingles")
 
 
-def linked(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
+def linked(docs: DataFrame, per_cent: int = PER_CENT, bands: int = BANDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, a row for each row of docs.
 
     Texts without words have an empty set and are linked with nothing; texts of fewer than five words are one shingle.
     Rows that share a doc_id are one node. A row without doc_id is linked with nothing and kept. Other columns are
-    ignored; an empty table gives no rows."""
+    ignored; an empty table gives no rows. A lower threshold takes more bands to miss as few links."""
     spark = docs.sparkSession
-    found = stored(signatures(docs), "signatures")
+    found = stored(signatures(docs, bands), "signatures")
     full = found.where("digest is not null and doc_id is not null")
     classes = full.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("n_shingles").alias("n_shingles"))
     nodes = stored(classes, "nodes")

@@ -15,8 +15,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id."""
-    kept = minhash.linked(docs).where("not kept").select("doc_id")
+    """Of each group of near duplicates (similarity 0.8 or more) the document with the smallest id."""
+    kept = minhash.linked(docs, per_cent=80, bands=40).where("not kept").select("doc_id")
     return docs.join(kept.hint("shuffle_merge"), "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -235,6 +235,15 @@ def test_classifiers(spark, nothing):
     assert toxicity.toxicity(docs, labels.limit(0)).count() == quality.quality(docs, labels.limit(0)).count() == len(rows)
 
 
+def test_pipeline_drops_near_copies_from_a_similarity_of_80_per_cent(spark):
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(204)]
+    texts = [words, [*words, *(f"x{k}" for k in range(40))], [*words, *(f"y{k}" for k in range(49))], [*words, *(f"z{k}" for k in range(52))]]
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")  # 200 of 240, 249 and 252 shingles
+    assert [r["doc_id"] for r in corpus_pipeline.without_copies(spark, df, "").orderBy("doc_id").collect()] == [0, 3]
+
+
 def test_pipeline_stages_keep_the_columns(spark):
     import os
 
