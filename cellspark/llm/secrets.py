@@ -28,8 +28,8 @@ N = len(CLASSES)
 #: Of 64 random characters so many in each class, as the models' prior with this weight.
 SHARES = [1] * 26 + [26, 10, 2]
 PRIOR = 50.0
-#: Documents to learn from, and the log-likelihood ratio that makes a token a secret.
-SAMPLE_DOCS, RATIO = 20_000, 12.0
+#: The log-likelihood ratio that makes a token a secret.
+RATIO = 12.0
 
 
 def classed(text: Column) -> Column:
@@ -66,18 +66,16 @@ def based(docs: DataFrame) -> DataFrame:
 
 
 def _counts(values: DataFrame) -> DataFrame:
-    """How often each class follows each other one in column v."""
+    """How often each class follows each other one in column v; equal values are counted first."""
+    values = values.where(F.length("v") > 1).groupBy("v").agg(F.count("*").alias("n"))
     c = classed(F.col("v"))
     pairs = F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2)))
-    return values.where(F.length("v") > 1).select(F.explode(pairs).alias("pair")).groupBy("pair").count()
+    return values.select(F.explode(pairs).alias("pair"), "n").groupBy("pair").agg(F.sum("n").alias("count"))
 
 
-def trained(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float]:
-    """The log-likelihood ratio of each pair of classes, learned from about sample_docs documents, chosen by a hash of their ids."""
-    total = docs.count()
-    turn = F.pmod(F.xxhash64("doc_id", F.lit("secrets")), F.lit(1 << 30))
-    sample = docs if total <= sample_docs else docs.where(turn < int((1 << 30) * sample_docs / total))
-    found = based(sample.select("text"))
+def trained(docs: DataFrame) -> list[float]:
+    """The log-likelihood ratio of each pair of classes, learned from all documents."""
+    found = based(docs.select("text"))
     random = found.select(F.explode(F.concat("assign", "access", "hex")["value"]).alias("v")).select(F.regexp_extract("v", r"[A-Za-z0-9+/_=.-]+", 0).alias("v"))
     plain = found.select(F.explode(F.regexp_extract_all(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), HEX, " "), F.lit(IDENTIFIER), F.lit(0))).alias("v"))
     rows = _counts(random).withColumn("random", F.lit(True)).union(_counts(plain).withColumn("random", F.lit(False))).collect()  # two tables of N * N pairs at most

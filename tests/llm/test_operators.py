@@ -198,6 +198,20 @@ def test_secrets(spark, nothing):
     assert secrets.secrets(nothing).count() == 0
 
 
+def test_secrets_learn_from_every_document(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    n = 20_400
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("password=Aa0Aa0Aa0Aa0 ordinary").alias("text"))
+    random, plain = [secrets.PRIOR / secrets.N * s / 64 for s in secrets.SHARES], [secrets.PRIOR / secrets.N / secrets.N] * secrets.N
+    at = secrets.CLASSES.index
+    random[at("A")] += 3 * n  # 0A, three times a value
+    want = math.log(random[at("A")] / sum(random) / (plain[at("A")] / sum(plain)))
+    assert secrets.trained(df)[at("0") * secrets.N + at("A")] == pytest.approx(want, rel=1e-12)
+
+
 def test_warc(spark, tmp_path):
     pages = [(1, "http://a", "<p>x</p>"), (2, "http://b", "<p>x</p>"), (3, None, None), (4, "u", ""), (5, "v", "é" * 700_000), (6, "w\r\nX: y", "WARC/1.1\r\n\r\n"), (7, "z", "<p>x</p>"), (7, "z", "<p>x</p>"), (None, "n", "<p>x</p>")]
     df = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, payload string")
