@@ -250,6 +250,12 @@ def distance_transform(spark, d):
     return rounded(sg.flooded(sg.connected_components(runs, 4, SIDE), SIDE).select("t", "y", "x", "distance"), "distance")
 
 
+@query()
+def distance_transform_planes(spark, d):
+    """distance_transform of every frame."""
+    return rounded(sg.flooded(_components(spark, d, 4), SIDE).select("t", "y", "x", "distance"), "distance")
+
+
 def _kept(spark, d):
     return sg.foreground(st.scanlines(spark, d), SIDE, MIN_SIZE)
 

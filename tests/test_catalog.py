@@ -49,3 +49,19 @@ def test_read_fastq(spark, tmp_path):
         f.write("@r3\nTT\n+\nII\n")
     rows = read_fastq(spark, [str(tmp_path / "a.fastq"), str(tmp_path / "d")]).collect()
     assert sorted((r["read_id"], r["seq"], r["qual"]) for r in rows) == [("r1", "ACGT", "@III"), ("r2", "GG", "II"), ("r3", "TT", "II")]
+
+
+def test_distance_transform_of_every_frame(spark, duck):
+    import numpy as np
+
+    masks = {}
+    for r in catalog._mask(spark, DATA).collect():
+        masks.setdefault(r["t"], {})[r["y"]] = r["mask"]
+    want = {}
+    for t, lines in masks.items():
+        mask = np.array([lines[y] for y in sorted(lines)])
+        back = np.argwhere(~mask)
+        want |= {(t, y, x): float(np.sqrt(((back - (y, x)) ** 2).sum(1).min())) for y, x in np.argwhere(mask).tolist()}
+    got = {(r["t"], r["y"], r["x"]): r["distance"] for r in catalog.QUERIES["distance_transform_planes"](spark, DATA).collect()}
+    assert len({k[0] for k in want}) > 1 and got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-5 for k in want)
