@@ -51,6 +51,23 @@ def test_read_fastq(spark, tmp_path):
     assert sorted((r["read_id"], r["seq"], r["qual"]) for r in rows) == [("r1", "ACGT", "@III"), ("r2", "GG", "II"), ("r3", "TT", "II")]
 
 
+def test_read_fastq_across_splits(spark, tmp_path):
+    from cellspark.sources.files import read_fastq
+
+    want = [(f"r{k}", "ACGT" * (k % 9 + 1), "@+I!" * (k % 9 + 1)) for k in range(400)]
+    (tmp_path / "a.fastq").write_text("".join(f"@{i} x\n{s}\n+\n{q}\n" for i, s, q in want) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = read_fastq(spark, [str(tmp_path / "a.fastq")])
+        assert sorted((r["read_id"], r["seq"], r["qual"]) for r in got.collect()) == sorted(want)
+        (tmp_path / "b.fastq").write_text("@r1\nACGT\n+\nIIII\n@r2\nACGT\n")
+        with pytest.raises(ValueError, match="incomplete"):
+            read_fastq(spark, [str(tmp_path / "b.fastq")])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_distance_transform_of_every_frame(spark, duck):
     import numpy as np
 
