@@ -138,15 +138,17 @@ def track_bayes(objects: DataFrame, radius: float = 50.0, appearance: float = 0.
     return objects.select("movie", "t", "ID", "x", "y", "area").groupBy("movie").applyInArrow(run, "movie string, t int, ID long, track long")
 
 
-def lineage(tracks: DataFrame, splits: DataFrame, rounds: int = 5) -> DataFrame:
+def lineage(tracks: DataFrame, splits: DataFrame) -> DataFrame:
     """(movie, track_id, parent, root); splits holds (movie, track_id, parent). A root's parent is itself.
-    Chains of up to 2**rounds tracks are followed."""
+    Chains of any length are followed, twice as far each round, until no root changes."""
     own = tracks.select("movie", "track_id").distinct().join(splits, ["movie", "track_id"], "left").select("movie", "track_id", F.coalesce("parent", "track_id").alias("parent"))
-    now = own.withColumn("root", F.col("parent"))
-    for _ in range(rounds):
-        now = cut(now)
+    now = cut(own.withColumn("root", F.col("parent")))
+    for _ in range(now.count().bit_length()):  # no chain is longer than that
         up = now.select("movie", F.col("track_id").alias("root"), F.col("root").alias("above"))
-        now = now.join(up, ["movie", "root"]).select("movie", "track_id", "parent", F.col("above").alias("root"))
+        after = cut(now.join(up, ["movie", "root"]).select("movie", "track_id", "parent", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved")))
+        now = after.drop("moved")
+        if not after.where("moved").head(1):
+            break
     return now
 
 

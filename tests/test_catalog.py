@@ -68,6 +68,16 @@ def test_read_fastq_across_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_lineage_of_a_long_chain(spark):
+    from cellspark.operators.tracking import lineage
+
+    n = 150
+    tracks = spark.createDataFrame([("m", f"{k:03}") for k in range(n)], "movie string, track_id string")
+    splits = spark.createDataFrame([("m", f"{k:03}", f"{k - 1:03}") for k in range(1, n)], "movie string, track_id string, parent string")
+    rows = lineage(tracks, splits).collect()
+    assert len(rows) == n and {r["root"] for r in rows} == {"000"}
+
+
 def test_distance_transform_of_every_frame(spark, duck):
     import numpy as np
 
