@@ -2,8 +2,8 @@
 
 Of every document and benchmark item the least 5-gram hash of each 6 consecutive ones is kept. Spans of 10
 shared words hold 6 consecutive 5-grams, so both sides keep the same one of them: joining the fingerprints
-and extending each hit finds every shared span of at least 10 words, and nothing that is not compared in full.
-Items shorter than that guarantee are looked up whole, at every place."""
+and extending each hit finds every shared span of at least 10 words, and nothing but windows whose 64-bit hashes are
+equal over all 10 words. Items shorter than that guarantee are looked up whole, at every place, likewise."""
 
 from __future__ import annotations
 
@@ -16,11 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import ALNUM, Words, isin_sorted, ngrams, slices, unpacked, within
+from .names import own, plain
+from .store import dropped, stored
 
 SPAN, GRAM = 10, 5
 WINDOW = SPAN - GRAM + 1
 #: Benchmark text that is broadcast at once; more goes over the documents in further blocks.
 BLOCK_BYTES = 32 << 20
+#: What an item's id counts for in a block.
+ID_BYTES = 32
 
 
 def winnowed(grams: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -37,12 +41,12 @@ def winnowed(grams: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Fingerprints and windows of a block of benchmark items."""
+    """Fingerprints and windows of a block of different benchmark texts, with the ids of the items that have each."""
 
     def __init__(self, items: pa.Table):
         column = items.column("text").combine_chunks()
         column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-        self.ids = np.array(items.column("item_id").to_pylist(), object)
+        self.ids = items.column("ids").to_pylist()
         words = Words(column, ALNUM, lower=True)
         hashes, doc = words.hashes(), words.doc
         grams, self.spans = ngrams(hashes, GRAM), ngrams(hashes, SPAN)
@@ -100,14 +104,14 @@ def _block(shared):
                 hit = np.cumsum(hit)[:-1] > 0
                 pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
                 edges = np.searchsorted(pairs[:, 0], np.arange(words.docs + 1))
-                before_hits, before_items = (part.column(c).to_pylist() for c in ("hits", "items"))
+                before_hits, before_items = (c.to_pylist() for c in part.columns[-2:])
                 hits, items = [], []
                 for k in range(words.docs):
-                    own = np.flatnonzero(hit[words.first[k] : words.first[k + 1]]).astype(np.int32)
-                    got = {str(self_id) for self_id in index.ids[pairs[edges[k] : edges[k + 1], 1]] if self_id is not None}
+                    here = np.flatnonzero(hit[words.first[k] : words.first[k + 1]]).astype(np.int32)
+                    got = {i for text in pairs[edges[k] : edges[k + 1], 1] for i in index.ids[text]}
                     if before_hits[k]:
-                        own = np.union1d(own, np.frombuffer(before_hits[k], np.int32))
-                    hits.append(own.astype(np.int32).tobytes())
+                        here = np.union1d(here, np.frombuffer(before_hits[k], np.int32))
+                    hits.append(here.astype(np.int32).tobytes())
                     items.append(sorted(got | set(before_items[k] or ())))
                 found = [pa.array(words.counts, pa.int64()), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-3], *found], part.schema.names)
@@ -115,23 +119,30 @@ def _block(shared):
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, keep: Sequence[str] = ("doc_id", "text")) -> DataFrame:
+NAMES = ("n_words", "hits", "items")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, keep: Sequence[str] = ("doc_id", "text"), names: Sequence[str] = NAMES) -> DataFrame:
     """Words of each document that lie in a 10-word window of a benchmark item (or in a whole shorter one).
 
-    Returns the columns keep (text among them), n_words, hits (packed int32 places of hit words) and items (ids as sorted strings), a row for each row of docs.
-    Null and empty texts have no words and no hits; empty items match nothing; items of equal text all count;
+    Returns the columns keep (text among them) and then, under names that keep has not, n_words, hits (packed int32
+    places of hit words) and items (ids as sorted strings), a row for each row of docs. Null and empty texts have no words
+    and no hits; empty items match nothing; items of equal text are indexed once and all count; items of equal id are one;
     an item without id hits but is not listed; other columns of either table are ignored. No benchmark: no hits.
-    Only blocks of about block_bytes of benchmark text are broadcast, one after the other."""
+    Blocks of about block_bytes of different benchmark texts and ids are broadcast, one after the other; a single text
+    may be larger."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = int(total // block_bytes + 1)
-    out = docs.select(*[F.col(f"`{c}`") for c in keep if c not in ("n_words", "hits", "items")], F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
+    items = benchmark.where("text <> ''").select(F.col("item_id").cast("string").alias("id"), "text").groupBy("text").agg(F.collect_set("id").alias("ids"))
+    items = stored(items, "benchmark")
+    total = items.agg(F.sum(F.octet_length("text") + ID_BYTES * F.size("ids"))).first()[0] or 0
+    blocks = 1 if total <= block_bytes else int(2 * total // block_bytes + 1)  # half full, as a hash deals them
+    out = plain(docs.select(*map(own, keep))).select("*", *(F.lit(None).cast(t).alias(n) for n, t in zip(NAMES, ("long", "binary", "array<string>"), strict=True)))
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k) if blocks > 1 else items
         shared = spark.sparkContext.broadcast(Index(block.toArrow()))
         out = out.mapInArrow(_block(shared), out.schema)
-    return out
+    dropped(items)
+    return out.toDF(*keep, *names)
 
 
 def report(found: DataFrame) -> DataFrame:

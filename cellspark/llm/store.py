@@ -7,14 +7,18 @@ import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder named in spark.checkpoint.dir. Only a local master, as in tests, gets one of our own where that is
+    unset; on a cluster no machine's folder would do, so that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="cellspark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -56,3 +60,29 @@ def dropped(df: DataFrame) -> None:
     if files:
         path = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def text_bytes_of(docs: DataFrame) -> int:
+    """Bytes of all texts: what numbers of buckets follow from."""
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+#: A key with more than its SHARE-th part of all rows is joined by broadcast: there are SHARE of them at most.
+SHARE = 1000
+
+
+def with_facts(rows: DataFrame, facts: DataFrame, key: str, spread: str, total: int) -> DataFrame:
+    """rows with the columns of facts, a row for each of some keys, with n, the number of rows that have the key; a left join.
+
+    total is the number of all rows. Rows of a hot key get its facts by broadcast and are then dealt by the column spread,
+    so that no task gets them all; the other keys meet in a shuffle, each with a SHARE-th part of the rows at most."""
+    spark, columns = rows.sparkSession, [c for c in facts.columns if c != key]
+    hot = facts.where(F.col("n") * SHARE > total).collect()
+    if not hot:
+        return rows.join(facts.hint("shuffle_merge"), key, "left")
+    known = spark.createDataFrame(hot, facts.schema).select(key, F.struct(*columns).alias("_hot"))
+    rows = rows.join(F.broadcast(known), key, "left")
+    salt = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(1 << 20)).cast("int"))
+    rest = facts.select(key, F.struct(*columns).alias("_rest"), F.lit(0).alias("_salt"))
+    out = rows.withColumn("_salt", salt).join(rest.hint("shuffle_merge"), [key, "_salt"], "left")
+    return out.select(*rows.columns[:-1], *[F.coalesce(F.col("_hot")[c], F.col("_rest")[c]).alias(c) for c in columns])
