@@ -54,11 +54,33 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         at = to
 
 
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of BYTE_BASE and of its inverse, at least n."""
+    if len(_POWERS[0]) < n:
+        n = max(n, SLICE_BYTES + 1)
+        for k, base in enumerate((BYTE_BASE, np.uint64(pow(int(BYTE_BASE), -1, 1 << 64)))):
+            powers = np.full(n, base)
+            powers[0] = 1
+            _POWERS[k] = np.cumprod(powers)
+    return _POWERS
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ranges of bytes, none empty; equal ranges have equal ones, in every process."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    up, down = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts])
+
+
 class Words:
     """The words of a slice of documents: byte ranges, 64-bit hashes and each document's first word."""
 
-    _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
-
     def __init__(self, column: pa.Array, is_word: np.ndarray, lower: bool = False):
         data, offsets = text_bytes(column)
         self.data = np.take(LOWER, data) if lower else data
@@ -90,23 +112,9 @@ class Words:
         """The place of each word in its document."""
         return np.arange(self.n) - np.repeat(self.first[:-1], self.counts)
 
-    @classmethod
-    def powers(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls._powers[0]) < n:
-            n = max(n, SLICE_BYTES + 1)
-            up, down = np.full(n, BYTE_BASE), np.full(n, np.uint64(pow(int(BYTE_BASE), -1, 1 << 64)))
-            up[0] = down[0] = 1
-            cls._powers = np.cumprod(up), np.cumprod(down)
-        return cls._powers
-
     def hashes(self) -> np.ndarray:
         """64-bit hashes of the words, the same in every process."""
-        if not self.n:
-            return np.zeros(0, np.uint64)
-        up, down = self.powers(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
+        return range_hashes(self.data, self.starts, self.ends)
 
 
 def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
