@@ -5,30 +5,33 @@ candidates; of each minimum only the low 4 bits are kept, packed, to estimate th
 from bit counts, corrected for chance collisions. What may reach the threshold is confirmed on the full sets.
 
 Equal sets are one node from the start. In each bucket, nodes whose estimates reach the threshold are first joined
-by as few pairs as it takes; the confirmed ones give components. Then, in buckets that still hold several components,
-all nodes of different components that may be linked are compared on their full sets within the bucket, each pair in
-the first bucket that it shares; what comes out are only as many links as join them. So neither copies nor candidates
-are expanded into rows of pairs, and no link between different texts is lost."""
+by as few pairs as it takes; the confirmed ones give components. A large bucket is cut into blocks for that, which share
+some nodes, so that its rows grow with its nodes and not with their square. Then, in buckets that still hold several
+components, all nodes of different components that may be linked are compared on their full sets within the bucket,
+each pair in the first bucket that it shares; what comes out are only as many links as join them. The nodes of a
+bucket's largest component are compared with the others alone, not among themselves. So neither copies nor candidates
+are expanded into rows of pairs, and no link between different texts is lost. "Full sets" are those of 64-bit hashes of
+the shingles."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .arrays import NOT_SPACE, Words, isin_sorted, mix, ngrams, packed, slices, within
 from .components import components
-from .store import dropped, stored
+from .store import dropped, stored, with_facts
 
 WORDS, BANDS, ROWS, BITS = 5, 25, 5, 4
 HASHES = BANDS * ROWS
 #: A pair is confirmed on full sets if its estimate is within 4.5 standard deviations of the threshold.
 MARGIN = 0.15
-#: Nodes of a bucket that are compared at once, and their shingles; larger buckets are cut into blocks and each two
-#: blocks compared.
+#: Nodes of a bucket that are compared at once, and their shingles; larger buckets are cut into blocks.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
+#: Nodes of a large bucket that all its blocks share, about.
+PIVOTS = 16
 #: Full sets that one is compared with at once.
 AT_ONCE = 64
 #: Jaccard threshold as the contract states it: 100 * intersection >= 85 * union.
@@ -243,13 +246,34 @@ def _compared(least: float, per_cent: int):
     return run
 
 
-def _blocks(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The nodes of each two blocks of each bucket whose members (key, doc_id, component, n_shingles) are of several components."""
-    per_bucket = Window.partitionBy("key")
-    mixed = members.select("*", F.min("component").over(per_bucket).alias("low"), F.max("component").over(per_bucket).alias("high"), F.count("*").over(per_bucket).alias("n"), F.sum("n_shingles").over(per_bucket).alias("total")).where("low < high")
-    own = mixed.withColumn("blocks", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES))).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    own = own.drop("n_shingles").join(nodes.select("doc_id", "bits", "bands", "n_shingles"), "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return own.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "component", "block", "bits", "bands", "n_shingles")
+def _size(n: Column, total: Column) -> Column:
+    """Blocks of n nodes with total shingles."""
+    return F.greatest(F.ceil(n / BLOCK), F.ceil(total / BLOCK_SHINGLES), F.lit(1)).cast("int")
+
+
+def _first_blocks(members: DataFrame, nodes: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """The nodes of each block (key, i, j = i) of the buckets with two nodes or more. About PIVOTS nodes of a large bucket are in all its blocks. Also the table of buckets behind it."""
+    facts = stored(members.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total")).where("n > 1"), "buckets")
+    own = with_facts(members, facts, "key", "doc_id", total).where("n is not null").withColumn("blocks", _size(F.col("n"), F.col("total")))
+    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    pivot = F.pmod(F.xxhash64("doc_id", F.lit("pivot")), F.ceil(F.col("n") / PIVOTS)) == 0
+    own = own.withColumn("i", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block))))
+    return own.select("key", "i", F.col("i").alias("j"), "doc_id", "component", F.col("i").alias("block")).join(nodes.select("doc_id", "bits", "bands", "n_shingles"), "doc_id"), facts
+
+
+def _blocks(members: DataFrame, nodes: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """The nodes of each two blocks (key, i, j) of the buckets whose members (key, doc_id, component, n_shingles) are of
+    several components. Blocks from 0 on hold what is not in the bucket's largest component, those from -1 down that one's
+    nodes; two of the latter are never paired. Also the table of buckets behind it."""
+    each = members.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total"))
+    facts = each.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", F.col("component").alias("big"), "total")).alias("largest"), F.sum("total").alias("total"), F.count("*").alias("components")).where("components > 1")
+    facts = stored(facts.select("key", "n", "largest.big", _size(F.col("largest.n"), F.col("largest.total")).alias("large"), _size(F.col("n") - F.col("largest.n"), F.col("total") - F.col("largest.total")).alias("small")), "buckets")
+    own = with_facts(members, facts, "key", "doc_id", total).where("n is not null")
+    hash_ = F.xxhash64("doc_id")
+    own = own.withColumn("block", F.when(F.col("component") == F.col("big"), -1 - F.pmod(hash_, F.col("large"))).otherwise(F.pmod(hash_, F.col("small"))).cast("int"))
+    others = F.when(F.col("block") < 0, F.sequence(F.lit(0), F.col("small") - 1)).otherwise(F.sequence(-F.col("large"), F.col("small") - 1))
+    own = own.withColumn("other", F.explode(others))
+    return own.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "component", "block").join(nodes.select("doc_id", "bits", "bands", "n_shingles"), "doc_id"), facts
 
 
 def linked(docs: DataFrame, per_cent: int = PER_CENT, bands: int = BANDS) -> DataFrame:
@@ -264,27 +288,32 @@ def linked(docs: DataFrame, per_cent: int = PER_CENT, bands: int = BANDS) -> Dat
     classes = full.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("n_shingles").alias("n_shingles"))
     nodes = stored(classes, "nodes")
 
-    members = nodes.select(F.explode("bands").alias("key"), "doc_id", F.col("doc_id").alias("component"), "n_shingles")
-    pairs = stored(_blocks(members, nodes).groupBy("key", "i", "j").applyInArrow(_forest(per_cent), "a long, b long").distinct(), "pairs")
+    members, total = nodes.select(F.explode("bands").alias("key"), "doc_id", F.col("doc_id").alias("component"), "n_shingles"), bands * nodes.count()
+    blocks, buckets = _first_blocks(members, nodes, total)
+    pairs = stored(blocks.groupBy("key", "i", "j").applyInArrow(_forest(per_cent), "a long, b long").distinct(), "pairs")
+    dropped(buckets)
     first = _links(docs, pairs, per_cent)
-    stars = stored(components(first), "stars") if first.head(1) else spark.createDataFrame([], "node long, component long")
+    stars = components(first) if first.head(1) else spark.createDataFrame([], "node long, component long")
 
     labelled = members.drop("component").join(stars.withColumnRenamed("node", "doc_id").hint("shuffle_merge"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"), "n_shingles")
-    least, rest = per_cent / 100 - MARGIN, _blocks(labelled, nodes)
+    least, (rest, buckets) = per_cent / 100 - MARGIN, _blocks(labelled, nodes, total)
     active = stored(rest.groupBy("key", "i", "j").applyInArrow(_active(least, per_cent), rest.schema), "active")
     sets = stored(_sets(docs, active.select("doc_id")), "sets")
     compared = active.join(sets.hint("shuffle_merge"), "doc_id").groupBy("key", "i", "j").applyInArrow(_compared(least, per_cent), "a long, b long")
     more = stored(compared.distinct(), "links")
-    for table in (active, sets):
+    for table in (active, sets, pairs, buckets, stars):
         dropped(table)
 
     edges = first.union(more)
-    whole = stored(components(edges), "components") if edges.head(1) else stars
+    whole = components(edges) if edges.head(1) else spark.createDataFrame([], "node long, component long")
     # a class has its least document as node: the class's component holds for all its documents
     classes = nodes.select("digest", F.col("doc_id").alias("node")).join(whole.hint("shuffle_merge"), "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    out = found.join(classes.hint("shuffle_merge"), "digest", "left")
+    out = found.select("doc_id", "n_shingles", "digest").join(classes.hint("shuffle_merge"), "digest", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    out = stored(out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")), "classes")
+    for table in (found, nodes, first, more, whole):
+        dropped(table)
+    return out
 
 
 def brute_force(rows: list[tuple[int, str | None]], per_cent: int = PER_CENT) -> list[tuple[int, int, int, bool]]:

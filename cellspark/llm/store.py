@@ -9,7 +9,9 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of the jobs that stored() runs: shuffle files go as soon as a job has ended, and a Python worker gets some
+#: megabytes of texts at once, not tens.
+SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,17 +31,19 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def shuffles_freed(spark: SparkSession):
-    """Shuffle files of the jobs run inside go as soon as each job has ended."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def settings(spark: SparkSession):
+    """SETTINGS for the jobs run inside."""
+    before = {k: spark.conf.get(k, None) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -48,7 +52,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     A lost executor costs a rerun of its tasks only, as the files do not live on executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    with shuffles_freed(spark):
+    with settings(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
