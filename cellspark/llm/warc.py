@@ -1,7 +1,8 @@
 """WARC archives from pages, and back, as a chunked record table.
 
-A payload travels as rows (record, chunk number, bytes) of bounded size, each with the SHA-1 of the payload up to
-its end, so that no task holds a whole record as it reads or writes. Archives are gzip members, one a record.
+A payload travels as rows (record, chunk number, bytes) of bounded size, both on its way into an archive and out of
+it, and the SHA-1 is carried along. Python workers never hold a whole record; the page's own row in the input table is
+the only place that does. Archives are gzip members, one a record.
 Payloads that occur again are written once; later records are revisits that refer to the first."""
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import slices
-from .store import new_path, stored
+from .store import new_path, stored, with_facts
 
 CHUNK_BYTES = 1 << 20
 #: An archive is closed when it has grown to this.
@@ -31,79 +32,84 @@ def base32(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
-def payload_chunks(payload: bytes, size: int = CHUNK_BYTES) -> Iterator[tuple[int, memoryview, str, bool]]:
-    """(chunk number, bytes, SHA-1 up to here, whether it is the last); an empty payload has one empty chunk."""
-    sha, view = hashlib.sha1(), memoryview(payload)
-    count = max(1, -(-len(payload) // size))
-    for k in range(count):
-        piece = view[k * size : (k + 1) * size]
-        sha.update(piece)
-        yield k, piece, base32(sha.digest()), k == count - 1
-
-
 def typed(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload (binary), digest, record_type, refers_to: which pages repeat an earlier payload.
+    """page_id, url, payload (binary; null for revisits), payload_bytes, digest, record_type, refers_to: which pages repeat an earlier payload.
 
     Only digests that occur twice are joined back; rows with an equal payload and the smallest id are all responses."""
-    rows = pages.select("page_id", "url", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload")).withColumn("digest", F.sha1("payload"))
-    repeats = rows.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    html = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
+    rows = pages.select("page_id", "url", html.alias("payload")).withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "digest": F.sha1("payload")})
+    repeats = stored(rows.where(F.col("payload_bytes") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "repeats")
+    joined = with_facts(rows, repeats, "digest", "page_id", pages.count())
     revisit = F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("first")))
-    return rows.join(repeats.hint("shuffle_merge"), "digest", "left").select("page_id", "url", "payload", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
+    return joined.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "payload_bytes", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
+
+
+def chunked(records: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
+    """A row for each chunk of size bytes of each record's payload, in order: chunk, last, data; an empty payload and a revisit have one.
+
+    The payload is cut as its row passes: a task sends Python a chunk at a time."""
+    last = F.greatest(F.ceil(F.coalesce(F.octet_length("payload"), F.lit(0)) / size) - 1, F.lit(0)).cast("int")
+    rows = records.withColumn("chunk", F.explode(F.sequence(F.lit(0), last)))
+    common = ("page_id", "url", "record_type", "refers_to", "payload_bytes", "digest", "chunk")
+    return rows.select(*common, (F.col("chunk") == last).alias("last"), F.substring("payload", F.col("chunk") * size + 1, F.lit(size)).alias("data"))
 
 
 def _urn(page_id) -> str:
     return f"<urn:x-page:{'' if page_id is None else page_id}>"
 
 
-def _record(row: dict) -> Iterator[bytes]:
-    """The bytes of one record, chunk by chunk."""
-    payload, digest = row["payload"], base32(bytes.fromhex(row["digest"]))
+def _header(row: dict) -> bytes:
+    """What stands before a record's payload."""
+    n, digest = row["payload_bytes"], base32(bytes.fromhex(row["digest"]))
     revisit = row["record_type"] == "revisit"
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: {n}\r\n\r\n".encode()
     url = "".join(c for c in row["url"] or "" if c not in "\r\n")
-    lines = ["WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: {_urn(row['page_id'])}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {url}", "Content-Type: application/http;msgtype=response", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
+    lines = ["WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: {_urn(row['page_id'])}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {url}", "Content-Type: application/http;msgtype=response", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {n}"]
     if revisit:
         lines += [f"WARC-Refers-To: {_urn(row['refers_to'])}", f"WARC-Profile: {PROFILE}"]
-    lines.append(f"Content-Length: {len(http) + (0 if revisit else len(payload))}")
-    yield ("\r\n".join(lines) + "\r\n\r\n").encode() + http
-    if not revisit:
-        for _, piece, _, _ in payload_chunks(payload):
-            yield piece
-    yield b"\r\n\r\n"
+    lines.append(f"Content-Length: {len(http) + (0 if revisit else n)}")
+    return ("\r\n".join(lines) + "\r\n\r\n").encode() + http
 
 
-def write_warc(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+def write_warc(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Write pages (page_id, url, html) as archives below path, a folder all executors reach; returns the list of archives (file, records).
 
-    Each task attempt writes files of its own; only those of attempts that succeeded are in the list."""
+    Each task attempt writes files of its own; only those of attempts that succeeded are in the list. A payload is
+    written chunk by chunk, and its SHA-1, carried from chunk to chunk, must end as the digest in its header."""
 
     def run(batches):
         from pyarrow import fs
 
         system, folder = fs.FileSystem.from_uri(path)
         system.create_dir(folder, recursive=True)
-        sink, size, count, files = None, 0, 0, []
+        sink, name, count, files, member, sha = None, None, 0, [], None, None
         for batch in batches:
-            for part in slices(batch, "payload"):
+            for part in slices(batch, "data"):
                 for row in part.to_pylist():
                     if sink is None:
-                        name = f"{folder}/{uuid.uuid4().hex}.warc.gz"
-                        sink, size, count = system.open_output_stream(name), 0, 0
-                    member = zlib.compressobj(1, wbits=31)
-                    for piece in _record(row):
-                        size += sink.write(member.compress(piece)) or 0
-                    size += sink.write(member.flush()) or 0
-                    count += 1
-                    if sink.tell() >= archive_bytes:
-                        sink.close()
-                        files.append((name, count))
-                        sink = None
+                        name, count = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0
+                        sink = system.open_output_stream(name)
+                    if not row["chunk"]:
+                        member, sha = zlib.compressobj(1, wbits=31), hashlib.sha1()
+                        sink.write(member.compress(_header(row)))
+                    data = row["data"] or b""
+                    sha.update(data)
+                    sink.write(member.compress(data))
+                    if row["last"]:
+                        if row["record_type"] == "response" and sha.hexdigest() != row["digest"]:
+                            raise ValueError(f"page {row['page_id']}: the chunks are not the payload")
+                        sink.write(member.compress(b"\r\n\r\n") + member.flush())
+                        count += 1
+                        if sink.tell() >= archive_bytes:
+                            sink.close()
+                            files.append((name, count))
+                            sink = None
         if sink is not None:
             sink.close()
             files.append((name, count))
         yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in files], pa.string()), pa.array([n for _, n in files], pa.int64())], ["file", "records"])
 
-    return stored(typed(pages).mapInArrow(run, "file string, records long"), "archives")
+    return stored(chunked(typed(pages), chunk_bytes).mapInArrow(run, "file string, records long"), "archives")
 
 
 def _records(stream, chunk_bytes: int) -> Iterator[tuple]:
