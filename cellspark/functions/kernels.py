@@ -35,10 +35,45 @@ def runs_components(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, connectivity:
     return np.array([find(i) for i in range(len(y))], np.int64)
 
 
+def islands(mask: np.ndarray) -> np.ndarray:
+    """8-connected islands of a mask, numbered from 1 by raster order; 0 elsewhere."""
+    out = np.zeros(mask.shape, np.int64)
+    edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    y, x0 = np.nonzero(edge == 1)
+    x1 = np.nonzero(edge == -1)[1] - 1
+    if len(y):
+        root = runs_components(y, x0, x1, 8)
+        number = np.unique(root, return_inverse=True)[1] + 1  # runs are in raster order, and a root is its island's first
+        for a, b, c, n in zip(y, x0, x1, number, strict=True):
+            out[a, b : c + 1] = n
+    return out
+
+
+def _envelope(f: np.ndarray) -> np.ndarray:
+    """min over q of f[q] + (p - q)^2 for each p, by the lower envelope of the parabolas (Felzenszwalb and Huttenlocher)."""
+    known = np.flatnonzero(np.isfinite(f))
+    if not len(known):
+        return np.full(len(f), np.inf)
+    at, from_ = [int(known[0])], [-np.inf]
+    for q in known[1:].tolist():
+        while True:
+            p = at[-1]
+            meet = (f[q] + q * q - f[p] - p * p) / (2 * (q - p))
+            if meet > from_[-1]:
+                break
+            at.pop()
+            from_.pop()
+        at.append(q)
+        from_.append(meet)
+    p = np.arange(len(f))
+    q = np.array(at)[np.searchsorted(from_, p, "right") - 1]
+    return f[q] + (p - q) ** 2
+
+
 def distances(mask: np.ndarray) -> np.ndarray:
     """Exact distance of each foreground pixel to the nearest background pixel; outside the image is not background.
 
-    Column distances first, then the lower envelope of each row."""
+    Distances along the columns first, then the lower envelope of each row: time in proportion to the pixels."""
     h, w = mask.shape
     far = h + w + 1
     d = np.where(mask, far, 0).astype(float)
@@ -47,9 +82,7 @@ def distances(mask: np.ndarray) -> np.ndarray:
     for y in range(h - 2, -1, -1):
         d[y] = np.minimum(d[y], d[y + 1] + 1)
     square = np.where(d >= far, np.inf, d**2)
-    shift = (np.arange(w)[:, None] - np.arange(w)[None, :]) ** 2
-    out = np.stack([np.min(square[y][None, :] + shift, axis=1) for y in range(h)]) if h else d
-    return np.sqrt(out)
+    return np.sqrt(np.stack([_envelope(row) for row in square])) if h else d
 
 
 def watershed(level: np.ndarray, markers: np.ndarray, mask: np.ndarray) -> np.ndarray:

@@ -19,6 +19,16 @@ def extract_barcodes(reads: DataFrame, kit: str = "3prime:v3") -> DataFrame:
     return reads.withColumns({"barcode": F.substring("seq", 1, a), "umi": F.substring("seq", a + 1, b), "insert": F.substring("seq", a + b + 1, 1 << 30)})
 
 
+def tag_sample_barcode(reads: DataFrame, conditions: DataFrame) -> DataFrame:
+    """Reads with the condition that their barcode stands for (conditions: barcode, condition, a small table); others go."""
+    return reads.join(F.broadcast(conditions.select("barcode", "condition")), "barcode")
+
+
+def with_cells(expression: DataFrame, cells: DataFrame) -> DataFrame:
+    """Expression rows with the attributes of their cell; rows of cells without attributes keep nulls."""
+    return expression.join(cells, "cell", "left")
+
+
 def filter_barcodes(reads: DataFrame, whitelist: DataFrame) -> DataFrame:
     """Reads with a known barcode."""
     return reads.join(whitelist.select("barcode"), "barcode", "left_semi")
@@ -70,46 +80,71 @@ def cell_cycle_phase(values: DataFrame, markers: list[tuple[int, str]], n_genes:
     return out.withColumn("phase", phase)
 
 
-def knn_graph(cells: DataFrame, k: int = 10, blocks: int = 8) -> DataFrame:
-    """(id, neighbour, d2): the k nearest of every cell, ties to the smaller id; blocks of cells against blocks of cells."""
+#: Cells of a block, and rows of it whose distances are computed at once.
+BLOCK, AT_ONCE = 4096, 512
+
+
+def _nearest(a: np.ndarray, b: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in a, place in b, squared distance) of the k nearest of each a, ties to the smaller id. A matrix product finds
+    those that may be among them, whose distances are then computed exactly."""
+    rough = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
+    rough[a_ids[:, None] == b_ids[None, :]] = np.inf
+    slack = 1e-9 * (1 + (a * a).sum(1) + (b * b).sum(1).max(initial=0))
+    limit = np.partition(rough, k - 1, axis=1)[:, k - 1] if k < rough.shape[1] else np.full(len(a), np.finfo(float).max)
+    i, j = np.nonzero(rough <= (limit + slack)[:, None])
+    d = ((a[i] - b[j]) ** 2).sum(1)
+    order = np.lexsort((b_ids[j], d, i))
+    i, j, d = i[order], j[order], d[order]
+    kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[kept], j[kept], d[kept]
+
+
+def knn_graph(cells: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
+    """(id, neighbour, d2): the k nearest of every cell, ties to the smaller id.
+
+    Every block of about so many cells is compared with every block, by matrix products; each comparison keeps k a cell.
+    That is all pairs of cells, as exact neighbours need it, but no rows of pairs."""
+    blocks = max(1, -(-cells.count() // block))
     dealt = cells.select("id", "vector").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    packed_ = dealt.groupBy("block").agg(F.collect_list(F.struct("id", "vector")).alias("rows"))
-    left, right = packed_.select(F.col("block").alias("i"), F.col("rows").alias("p")), packed_.select(F.col("block").alias("j"), F.col("rows").alias("q"))
-    pairs = left.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(right, "j")
-
-    def run(batches):
-        for batch in batches:
-            for k_ in range(batch.num_rows):
-                p, q = (batch.column(c)[k_].values for c in ("p", "q"))
-                ids = [v.field("id").to_numpy() for v in (p, q)]
-                a, b = (np.stack(v.field("vector").to_numpy(zero_copy_only=False)).astype(float) for v in (p, q))
-                for at in range(0, len(a), 512):
-                    d = ((a[at : at + 512, None, :] - b[None, :, :]) ** 2).sum(-1)
-                    d[ids[0][at : at + 512, None] == ids[1][None, :]] = np.inf
-                    best = np.lexsort((np.broadcast_to(ids[1], d.shape), d), axis=1)[:, : min(k, len(b))]
-                    near = np.take_along_axis(d, best, 1)
-                    own = np.isfinite(near)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[0][at : at + 512], best.shape[1]).reshape(best.shape)[own]), pa.array(ids[1][best][own]), pa.array(near[own])], ["id", "neighbour", "d2"])
-
-    near = pairs.select("p", "q").mapInArrow(run, "id long, neighbour long, d2 double")
+    left = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.col("block").alias("i"), F.col("other").alias("j"), "id", "vector")
+    right = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.col("other").alias("i"), F.col("block").alias("j"), "id", "vector")
+
+    def run(p: pa.Table, q: pa.Table) -> pa.Table:
+        x, y = (t.column("id").to_numpy() for t in (p, q))
+        out: list[list] = [[], [], []]
+        if len(p) and len(q):
+            a, b = (t.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(t), -1) for t in (p, q))
+            for at in range(0, len(a), AT_ONCE):
+                i, j, d = _nearest(a[at : at + AT_ONCE], b, x[at : at + AT_ONCE], y, k)
+                for column, values in zip(out, (x[at + i], y[j], d), strict=True):
+                    column.append(values)
+        whole = [np.concatenate(c) if c else np.zeros(0) for c in out]
+        return pa.table([pa.array(c, t) for c, t in zip(whole, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["id", "neighbour", "d2"])
+
+    near = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(run, "id long, neighbour long, d2 double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("d2", "neighbour"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 
 
-def pseudotime(graph: DataFrame, root: int, rounds: int = 12) -> DataFrame:
-    """(id, pseudotime): shortest-path length from the root over the neighbour graph (both ways), scaled to 0..1."""
+def pseudotime(graph: DataFrame, root: int, cells: DataFrame | None = None, rounds: int = 3) -> DataFrame:
+    """(id, pseudotime): shortest-path length from the root over the neighbour graph (both ways), scaled to 0..1.
+
+    Every id of cells (of the graph, if not given) has a row; what the root does not reach has null. Paths grow by so many
+    steps between two checkpoints, until none gets shorter."""
     edges = graph.select(F.col("id").alias("a"), F.col("neighbour").alias("b"), F.sqrt("d2").alias("d"))
     edges = cut(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).groupBy("a", "b").agg(F.min("d").alias("d")))
-    now = edges.select(F.col("a").alias("id")).distinct().where(F.col("id") == root).withColumn("dist", F.lit(0.0))
+    every = cells.select("id").distinct() if cells is not None else edges.select(F.col("a").alias("id")).distinct()
+    now = every.where(F.col("id") == root).withColumn("dist", F.lit(0.0))
     mark = None
     while True:
-        for _ in range(rounds // 4):
+        for _ in range(rounds):
             step = now.join(edges, now["id"] == edges["a"]).select(F.col("b").alias("id"), (F.col("dist") + F.col("d")).alias("dist"))
             now = now.union(step).groupBy("id").agg(F.min("dist").alias("dist"))
         now = cut(now)
-        after = now.agg(F.count("*"), F.round(F.sum("dist"), 9)).first()
+        after = now.agg(F.count("*"), F.sum(F.xxhash64("id", "dist").cast("decimal(20,0)"))).first()
         if after == mark:
             break
         mark = after
     top = now.agg(F.max("dist").alias("top"))
-    return now.crossJoin(F.broadcast(top)).select("id", F.coalesce(F.try_divide("dist", "top"), F.lit(0.0)).alias("pseudotime"))
+    scaled = now.crossJoin(F.broadcast(top)).select("id", F.coalesce(F.try_divide("dist", "top"), F.lit(0.0)).alias("pseudotime"))
+    return every.join(scaled, "id", "left")

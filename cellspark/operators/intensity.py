@@ -6,6 +6,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,12 +20,23 @@ def planes_between(lines: DataFrame, start: int, end: int) -> DataFrame:
     return lines.where((F.col("t") >= start) & (F.col("t") < end)).withColumn("file_number", F.col("t") + 1)
 
 
+def select_planes(lines: DataFrame, every: int = 1, **keys) -> DataFrame:
+    """Rows whose key columns (t, channel, and scene, z, m where there are such) have the given values, single or listed;
+    of the time points every so many."""
+    for name, value in keys.items():
+        lines = lines.where(F.col(name).isin(list(value) if isinstance(value, (list, tuple, set, range)) else [value]))
+    return lines.where(F.col("t") % every == 0) if every > 1 else lines
+
+
 def dims_shape(lines: DataFrame) -> DataFrame:
-    """First index and size of each dimension."""
-    dims = {"S": F.lit(0), "T": F.col("t"), "C": F.col("channel"), "Y": F.col("y")}
+    """First index and size of each dimension (S scene, T, C, Z, M mosaic tile, Y, X), and whether tiles make a mosaic.
+
+    A dimension without a column has one index, 0."""
+    names = {"S": "scene", "T": "t", "C": "channel", "Z": "z", "M": "m", "Y": "y"}
+    dims = {d: F.col(c) if c in lines.columns else F.lit(0) for d, c in names.items()}
     row = lines.agg(*[F.struct(F.min(c).cast("long").alias("start"), F.count_distinct(c).alias("size")).alias(d) for d, c in dims.items()], F.struct(F.lit(0).cast("long").alias("start"), F.max("width").cast("long").alias("size")).alias("X"))
-    names = [*dims, "X"]
-    return row.select(F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d)["start"].alias("start"), F.col(d)["size"].alias("size")) for d in names])).alias("d")).select("d.*")
+    out = row.select((F.col("M.size") > 1).alias("mosaic"), F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d)["start"].alias("start"), F.col(d)["size"].alias("size")) for d in [*dims, "X"]])).alias("d"))
+    return out.select("d.*", "mosaic")
 
 
 def stacked(*frames: DataFrame) -> DataFrame:
@@ -56,6 +69,15 @@ def processing_frames(lines: DataFrame, first: int = 1) -> DataFrame:
     return lines.join(order, ["sample", "replicate", "t"]).where("place > 0").withColumn("label", F.col("place") + first).drop("place")
 
 
+def elapsed(lines: DataFrame, recordings: DataFrame | None = None, step_min: int = 20) -> DataFrame:
+    """lines with elapsed_min: step_min for each frame, from the start of its recording; recordings holds (recording,
+    start_h, step_min), a row each, and lines then has a column recording."""
+    if recordings is None:
+        return lines.withColumn("elapsed_min", F.col("t") * step_min)
+    offset = recordings.select("recording", F.col("start_h").alias("_start"), F.col("step_min").alias("_step"))
+    return lines.join(F.broadcast(offset), "recording").withColumn("elapsed_min", F.col("_start") * 60 + F.col("t") * F.col("_step")).drop("_start", "_step")
+
+
 def subsample(lines: DataFrame, dt: int = 20, dy: int = 10, dx: int = 10) -> DataFrame:
     return lines.where((F.col("t") % dt == 0) & (F.col("y") % dy == 0)).withColumn("pixels", F.filter("pixels", lambda v, i: i % dx == 0))
 
@@ -65,44 +87,62 @@ def exploded(lines: DataFrame) -> DataFrame:
     return lines.select(*PLANE, "y", F.posexplode("pixels").alias("x", "v"))
 
 
-def plane_percentiles(lines: DataFrame, low: Column, high: Column) -> DataFrame:
-    """Exact percentiles with linear interpolation of each plane, over counts of equal values: what is shuffled are
-    distinct values, not pixels."""
+Ranges = dict[int | None, tuple[float, float]]
+
+
+def plane_percentiles(lines: DataFrame, ranges: Ranges) -> DataFrame:
+    """p_lo and p_hi: exact percentiles with linear interpolation of each plane. ranges has those of each channel, or under
+    None those of all. What is shuffled are counts of equal values, not pixels."""
+    shares = sorted({s for pair in ranges.values() for s in pair})
     counts = lines.select(*PLANE, F.explode("pixels").alias("v")).groupBy(*PLANE, "v").count()
-    wide = counts.groupBy(*PLANE).agg(F.sort_array(F.collect_list(F.struct("v", "count"))).alias("values"))
-    total = F.aggregate("values", F.lit(0).cast("long"), lambda a, s: a + s["count"])
+    all_ = counts.groupBy(*PLANE).agg(F.percentile("v", [s / 100.0 for s in shares], F.col("count")).alias("p"))
 
-    def at(share: Column) -> Column:
-        place = share / 100.0 * (F.col("total") - 1)
-        value = lambda k: F.aggregate("values", F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("v")), lambda a, s: F.when((a["n"] <= k) & (k < a["n"] + s["count"]), F.struct((a["n"] + s["count"]).alias("n"), s["v"].alias("v"))).otherwise(F.struct((a["n"] + s["count"]).alias("n"), a["v"].alias("v"))), lambda a: a["v"])
-        a, b = value(F.floor(place)), value(F.ceil(place))
-        return a + (b - a) * (place - F.floor(place))
+    def at(side: int) -> Column:
+        places = {k: shares.index(pair[side]) for k, pair in ranges.items()}
+        if None in places:
+            return F.col("p")[places[None]]
+        return F.col("p")[F.create_map(*[F.lit(x) for item in places.items() for x in item])[F.col("channel")]]
 
-    return wide.withColumn("total", total).select(*PLANE, at(low).alias("p_lo"), at(high).alias("p_hi"))
+    return all_.select(*PLANE, at(0).alias("p_lo"), at(1).alias("p_hi"))
 
 
-def norm_by(lines: DataFrame, low: Column, high: Column) -> DataFrame:
+def norm_by(lines: DataFrame, ranges: Ranges) -> DataFrame:
     """Clipped and scaled to 0..1; on a flat plane values above the percentile give 1, others 0."""
-    bounds = plane_percentiles(lines, low, high)
-    scale = lambda v: F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(v - F.col("p_lo"), F.col("p_hi") - F.col("p_lo")))), F.when(v > F.col("p_lo"), 1.0).otherwise(0.0))
+    bounds = plane_percentiles(lines, ranges)
+    share = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(v - F.col("p_lo"), F.col("p_hi") - F.col("p_lo"))))
+    scale = lambda v: F.when(F.col("p_hi") > F.col("p_lo"), share(v)).when(v > F.col("p_lo"), 1.0).otherwise(0.0)
     return lines.join(bounds, PLANE).withColumn("pixels", F.transform("pixels", scale)).drop("p_lo", "p_hi")
 
 
+def normalize_channel(lines: DataFrame, low: float = 50.0, high: float = 99.8) -> DataFrame:
+    """Whole numbers 0..255 of each plane between its percentiles."""
+    return norm_by(lines, {None: (low, high)}).withColumn("pixels", to_uint(F.col("pixels")))
+
+
 def to_uint(pixels: Column, scale: float = 255.0) -> Column:
     return F.transform(pixels, lambda v: F.floor(v * scale).cast("int"))
 
 
-def channel_range(channels: list[tuple]) -> tuple[Column, Column]:
-    by = lambda k: F.create_map(*[F.lit(x) for c in channels for x in (c[0], c[k])])[F.col("channel")]
-    return by(2), by(3)
+def binarize(labels: Column) -> Column:
+    """1 for every label, 0 for none."""
+    return F.when(labels > 0, 1).otherwise(0)
+
+
+def channel_range(channels: list[tuple]) -> Ranges:
+    return {c[0]: (c[2], c[3]) for c in channels}
 
 
 def normalize_frame(lines: DataFrame, channels: list[tuple], merged: int = 4) -> DataFrame:
     """All channels scaled to 0..255 by their ranges, and the mean of channels 0 and 1 as channel 4."""
-    out = norm_by(lines, *channel_range(channels)).withColumn("pixels", F.transform(to_uint(F.col("pixels")), lambda v: v.cast("double")))
+    out = norm_by(lines, channel_range(channels)).withColumn("pixels", F.transform(to_uint(F.col("pixels")), lambda v: v.cast("double")))
     return out.unionByName(merge_channels(out, 0, 1).withColumn("channel", F.lit(merged)))
 
 
+def normalize_mosaic_window(lines: DataFrame, channels: list[tuple], y0: int, y1: int, x0: int, x1: int) -> DataFrame:
+    """normalize_frame of a window of each plane, for the given channels."""
+    return normalize_frame(crop(lines.where(F.col("channel").isin([c[0] for c in channels])), y0, y1, x0, x1), channels)
+
+
 def merge_channels(lines: DataFrame, a: int, b: int, weights: tuple[float, float] = (0.5, 0.5)) -> DataFrame:
     """Weighted sum of two planes; an error where their shapes differ."""
     if len(weights) != 2:
@@ -141,19 +181,30 @@ def gaussian_weights(sigma: float = 2.0, truncate: float = 4.0) -> list[float]:
     return [x / sum(w) for x in w]
 
 
-def gaussian_blur(lines: DataFrame, sigma: float = 2.0) -> DataFrame:
-    """Separable blur, edges repeated: within the row, then over the neighbouring rows of the plane."""
-    weights = gaussian_weights(sigma)
+#: Lines of a plane that a group blurs; the halo comes on top.
+STRIP = 256
+
+
+def gaussian_blur(lines: DataFrame, sigma: float = 2.0, strip: int = STRIP) -> DataFrame:
+    """Separable blur, edges repeated. A group is a strip of a plane with as many lines more above and below as the kernel reaches."""
+    weights = np.array(gaussian_weights(sigma))
     r = len(weights) // 2
-    n = F.size("pixels")
-    term = lambda i, k: F.element_at("pixels", F.greatest(F.lit(1), F.least(n, i + k - r + 1))) * weights[k]
-    across = lines.withColumn("pixels", F.transform(F.sequence(F.lit(0), n - 1), lambda i: sum((term(i, k) for k in range(1, 2 * r + 1)), term(i, 0))))
-    plane = Window.partitionBy(*PLANE)
-    near = across.withColumns({"near": F.collect_list(F.struct("y", "pixels")).over(plane.orderBy("y").rowsBetween(-r, r)), "last": F.max("y").over(plane)})
-    line = lambda k: F.element_at("near", F.greatest(F.lit(0), F.least(F.col("last"), F.col("y") + k - r)) - F.col("near")[0]["y"] + 1)["pixels"]
-    rows = F.array(*[line(k) for k in range(2 * r + 1)])
-    down = F.transform(F.sequence(F.lit(1), F.col("width")), lambda x: F.aggregate(F.zip_with("rows", F.array(*map(F.lit, weights)), lambda p, w: F.element_at(p, x) * w), F.lit(0.0), lambda a, v: a + v))
-    return near.withColumn("rows", rows).withColumn("pixels", down).drop("near", "rows", "last")
+
+    def blurred(table: pa.Table) -> pa.Table:
+        table = table.sort_by("y")
+        y, first = table.column("y").to_numpy(), table.column("_strip")[0].as_py() * strip
+        rows = table.column("pixels").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(y), -1)
+        side = np.pad(rows, ((0, 0), (r, r)), "edge")
+        across = sum(w * side[:, k : k + rows.shape[1]] for k, w in enumerate(weights))
+        up = np.pad(across, ((r, r), (0, 0)), "edge")  # a strip's outer lines are the plane's, or of its halo
+        own = np.flatnonzero((y >= first) & (y < first + strip))
+        out = sum(w * up[own + k] for k, w in enumerate(weights))
+        kept = table.take(pa.array(own)).drop_columns(["_strip"])
+        return kept.set_column(kept.column_names.index("pixels"), "pixels", pa.array(list(out), pa.list_(pa.float64())))
+
+    strips = F.transform(F.array(F.col("y") - r, F.col("y"), F.col("y") + r), lambda y: F.greatest(F.floor(y / strip), F.lit(0)).cast("int"))
+    dealt = lines.withColumn("_strip", F.explode(F.array_distinct(strips)))
+    return dealt.groupBy(*PLANE, "_strip").applyInArrow(blurred, ", ".join(f"`{n}` {t}" for n, t in lines.dtypes))
 
 
 def downscale(lines: DataFrame) -> DataFrame:

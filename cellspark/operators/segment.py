@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import kernels
+from ..plans.lineage import cut
 from .intensity import PLANE, above, gaussian_blur, otsu_threshold, row_l2
 
 RUN = "sample string, replicate int, t int, channel int, y int, x0 int, x1 int"
@@ -52,9 +53,17 @@ def region_props(components: DataFrame) -> DataFrame:
 
 
 def shape_features(components: DataFrame) -> DataFrame:
-    """Axis lengths (4 times the root of the moments' eigenvalues) and orientation of each component."""
-    px = components.select(*PLANE, "component", F.col("y").cast("double").alias("y"), F.explode(F.transform(F.sequence("x0", "x1"), lambda v: v.cast("double"))).alias("x"))
-    m = px.groupBy(*PLANE, "component").agg(F.count("*").alias("area"), F.var_pop("y").alias("a"), F.var_pop("x").alias("c"), F.covar_pop("y", "x").alias("b"))
+    """Axis lengths (4 times the root of the moments' eigenvalues) and orientation of each component, from the whole-number
+    sums over its runs, which need no pixels."""
+    whole = lambda c: F.col(c).cast("long")
+    n, y, x0, x1 = whole("x1") - whole("x0") + 1, whole("y"), whole("x0"), whole("x1")
+    squares = lambda k: k * (k + 1) * (2 * k + 1)  # noqa: E731  six times the sum of squares up to k
+    line = (x0 + x1) * n  # twice the sum of x
+    sums = components.groupBy(*PLANE, "component").agg(F.sum(n).alias("area"), *[F.sum(v).cast("double").alias(c) for c, v in {"sy": y * n, "sx": line, "syy": y * y * n, "sxx": squares(x1) - squares(x0 - 1), "sxy": y * line}.items()])
+    area = F.col("area").cast("double")
+    of = lambda s, p, q: (area * s - p * q) / (area * area)
+    sx = F.col("sx") / 2
+    m = sums.select(*PLANE, "component", "area", of(F.col("syy"), F.col("sy"), F.col("sy")).alias("a"), of(F.col("sxx") / 6, sx, sx).alias("c"), of(F.col("sxy") / 2, F.col("sy"), sx).alias("b"))
     half, root = (F.col("a") + F.col("c")) / 2, F.sqrt(F.pow((F.col("a") - F.col("c")) / 2, 2) + F.pow("b", 2))
     return m.select(*PLANE, "component", "area", (4 * F.sqrt(half + root)).alias("major_axis_length"), (4 * F.sqrt(F.greatest(half - root, F.lit(0.0)))).alias("minor_axis_length"), (0.5 * F.atan2(2 * F.col("b"), F.col("a") - F.col("c"))).alias("orientation"))
 
@@ -80,8 +89,10 @@ def binary_counts(components: DataFrame, planes: DataFrame, width: int) -> DataF
 
 
 def foreground(lines: DataFrame, width: int, min_size: int = 50) -> DataFrame:
-    """Lines to components of the kept mask: unit rows, blur, threshold, 4-connected islands of min_size."""
-    blurred = gaussian_blur(row_l2(lines))
+    """Lines to components of the kept mask: unit rows, blur, threshold, 4-connected islands of min_size.
+
+    The blurred planes are read three times (range, histogram, threshold), so they are written once."""
+    blurred = cut(gaussian_blur(row_l2(lines)))
     return remove_small_objects(connected_components(mask_runs(above(blurred, otsu_threshold(blurred))), 4, width), min_size)
 
 
@@ -92,16 +103,22 @@ def channel_counts(lines: DataFrame, width: int, min_size: int = 50) -> DataFram
     return wide.select("sample", "replicate", "t", *[F.coalesce(F.col(str(k)), F.lit(0).cast("long")).alias(n) for k, n in ((0, "taggfp"), (1, "mkate"), (2, "cy5"), (4, "total"))])
 
 
-def flooded(components: DataFrame, width: int) -> DataFrame:
-    """Watershed of each 4-connected component: rows (plane, component, y, x, distance, peak, label).
+#: Rows of flooded(), and the columns that name its groups.
+FLOODED = "sample string, replicate int, t int, channel int, component long, y int, x int, distance double, peak boolean, marker long, label long"
+
+
+def flooded(runs: DataFrame, height: int, width: int) -> DataFrame:
+    """Watershed of masks given as runs: rows (plane, component, y, x, distance, peak, marker, label), a row a pixel.
 
-    A component is cut out with a border of one pixel inside the image: its pixels' nearest background lies there.
-    Peaks are the local maxima of the distance in 3 by 3 pixels, not at the image's border; markers are the
-    8-connected islands of peaks, numbered by raster order within the component; no marker leaves label 0."""
+    component is the 8-connected island, the least raster index in it; an island is one group. It is cut out with a border
+    of one pixel inside the image: its pixels' nearest background lies there, and so does every neighbour that could
+    outdo a peak. Peaks are the local maxima of the distance in 3 by 3 pixels, not at the image's border; markers are the
+    8-connected islands of peaks, numbered by raster order within the component; labels spread from them over
+    4-neighbours inside the mask. What no marker reaches has label 0. A plane without background has distance 0."""
 
     def run(table: pa.Table) -> pa.Table:
         y, x0, x1 = (table.column(c).to_numpy() for c in ("y", "x0", "x1"))
-        top, left, bottom, right = max(y.min() - 1, 0), max(x0.min() - 1, 0), min(y.max() + 1, width - 1), min(x1.max() + 1, width - 1)
+        top, left, bottom, right = max(y.min() - 1, 0), max(x0.min() - 1, 0), min(y.max() + 1, height - 1), min(x1.max() + 1, width - 1)
         mask = np.zeros((bottom - top + 1, right - left + 1), bool)
         for a, b, c in zip(y, x0, x1, strict=True):
             mask[a - top, b - left : c - left + 1] = True
@@ -110,47 +127,57 @@ def flooded(components: DataFrame, width: int) -> DataFrame:
         pad = np.pad(d, 1)
         around = np.max([pad[1 + i : 1 + i + d.shape[0], 1 + j : 1 + j + d.shape[1]] for i in (-1, 0, 1) for j in (-1, 0, 1)], axis=0)
         ys, xs = np.mgrid[top : bottom + 1, left : right + 1]
-        peak = mask & (d == around) & (d > 0) & (ys > 0) & (xs > 0) & (ys < width - 1) & (xs < width - 1)
-        py, px = np.nonzero(peak)
-        markers = np.zeros(mask.shape, np.int64)
-        if len(py):
-            root = kernels.runs_components(py, px, px, 8)
-            joined = _side_by_side(py, px, root)
-            markers[py, px] = np.unique(joined, return_inverse=True)[1] + 1
+        peak = mask & (d == around) & (d > 0) & (ys > 0) & (xs > 0) & (ys < height - 1) & (xs < width - 1)
+        markers = kernels.islands(peak)
         label = kernels.watershed(-d, markers, mask)
         at = np.nonzero(mask)
         n, key = len(at[0]), table.slice(0, 1).select([*PLANE, "component"]).to_pylist()[0]
         kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
         columns = [pa.array([v] * n, k) for v, k in zip(key.values(), kinds, strict=True)]
-        columns += [pa.array((at[0] + top).astype(np.int32)), pa.array((at[1] + left).astype(np.int32)), pa.array(d[at]), pa.array(peak[at]), pa.array(label[at].astype(np.int64))]
-        return pa.table(columns, [*key, "y", "x", "distance", "peak", "label"])
+        columns += [pa.array((at[0] + top).astype(np.int32)), pa.array((at[1] + left).astype(np.int32)), pa.array(d[at]), pa.array(peak[at]), pa.array(markers[at].astype(np.int64)), pa.array(label[at].astype(np.int64))]
+        return pa.table(columns, [c.split()[0] for c in FLOODED.split(", ")])
 
-    return components.groupBy(*PLANE, "component").applyInArrow(run, "sample string, replicate int, t int, channel int, component long, y int, x int, distance double, peak boolean, label long")
+    return connected_components(runs, 8, width).groupBy(*PLANE, "component").applyInArrow(run, FLOODED)
 
 
-def _side_by_side(y: np.ndarray, x: np.ndarray, root: np.ndarray) -> np.ndarray:
-    """Joins numbered single pixels that lie side by side in a row (they are runs of their own)."""
-    root = root.copy()
-    for k in range(1, len(y)):
-        if y[k] == y[k - 1] and x[k] == x[k - 1] + 1 and root[k] != root[k - 1]:
-            a, b = sorted((root[k], root[k - 1]))
-            root[root == b] = a
-    return root
+def local_peaks(pixels: DataFrame) -> DataFrame:
+    return pixels.where("peak").select(*PLANE, "y", "x", "distance")
+
+
+def label_markers(pixels: DataFrame) -> DataFrame:
+    """The peaks of flooded() with the number of their island, by raster order within the component."""
+    return pixels.where("peak").select(*PLANE, "component", "y", "x", "marker")
 
 
 def watershed_count(pixels: DataFrame) -> DataFrame:
     return pixels.where("label > 0").groupBy(*PLANE).agg(F.count_distinct("component", "label").alias("watershed_count"))
 
 
-def label_boundaries(pixels: DataFrame) -> DataFrame:
-    """Pixels with a 4-neighbour inside the image of another label (or none)."""
-    tag = F.struct("component", "label")
+def labels(pixels: DataFrame) -> DataFrame:
+    """The labels of each plane: (plane, component, label)."""
+    return pixels.where("label > 0").select(*PLANE, "component", "label").distinct()
+
+
+def centroids(regions: DataFrame) -> DataFrame:
+    """Label and centroid of each region."""
+    return regions.select(*PLANE, F.col("component").alias("label"), "centroid_0", "centroid_1")
+
+
+def component_pixels(components: DataFrame) -> DataFrame:
+    """Components as pixels: (plane, component, y, x)."""
+    return components.select(*PLANE, "component", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
+
+
+def label_boundaries(pixels: DataFrame, height: int, width: int, *tags: str) -> DataFrame:
+    """Pixels (y, x) with a 4-neighbour inside the image that has other tags, or none."""
+    tag = F.struct(*(tags or ("component", "label")))
     rows, columns = Window.partitionBy(*PLANE, "y").orderBy("x"), Window.partitionBy(*PLANE, "x").orderBy("y")
 
-    def differs(window, axis, function, step):
+    def differs(window, axis, function, step, size):
         near = F.coalesce(function(axis).over(window) == F.col(axis) + step, F.lit(False))
-        return ~(near & F.coalesce(function(tag).over(window) == tag, F.lit(False)))
+        same = near & F.coalesce(function(tag).over(window) == tag, F.lit(False))
+        return ~same & (F.col(axis) + step >= 0) & (F.col(axis) + step < size)
 
-    inner = lambda axis, step, size: (F.col(axis) + step >= 0) & (F.col(axis) + step < size)
-    out = pixels.withColumns({f"d{k}": differs(w, a, f, s) & inner(a, s, 64) for k, (w, a, f, s) in enumerate(((rows, "x", F.lag, -1), (rows, "x", F.lead, 1), (columns, "y", F.lag, -1), (columns, "y", F.lead, 1)))})
-    return out.where("d0 or d1 or d2 or d3").drop("d0", "d1", "d2", "d3")
+    sides = [(rows, "x", F.lag, -1, width), (rows, "x", F.lead, 1, width), (columns, "y", F.lag, -1, height), (columns, "y", F.lead, 1, height)]
+    out = pixels.withColumns({f"_d{k}": differs(*side) for k, side in enumerate(sides)})
+    return out.where("_d0 or _d1 or _d2 or _d3").drop("_d0", "_d1", "_d2", "_d3")

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import kernels
 from ..plans.lineage import cut
+from .graph import components
 
 
 def objects_from_regions(regions: DataFrame) -> DataFrame:
@@ -41,48 +42,57 @@ def link_mutual(candidates: DataFrame) -> DataFrame:
     return candidates.withColumns({"ra": first("a", "b"), "rb": first("b", "a")}).where("ra = 1 and rb = 1").drop("ra", "rb")
 
 
+#: Cost of pairs that are no candidates.
+NEVER = 1e12
+
+
+def _island_of(nodes: DataFrame, a: list[str], b: list[str]) -> DataFrame:
+    """nodes (pairs of two kinds of things, named by the columns a and b) with their island: what is tied by pairs, the least of it."""
+    name = lambda kind, cs: F.struct(F.lit(kind).alias("kind"), *[F.col(c).alias(f"k{n}") for n, c in enumerate(cs)])
+    named = nodes.withColumns({"_a": name(0, a), "_b": name(1, b)})
+    found = components(named.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    return named.join(found.select(F.col("node").alias("_a"), F.col("component").alias("island")), "_a").drop("_a", "_b")
+
+
+def _best(a: np.ndarray, b: np.ndarray, cost: np.ndarray, alone: float, slots: tuple[float, ...] = (0.0,)) -> list[tuple[int, int, float]]:
+    """Pairs (place in a's values, place in b's values, cost) of least total cost. Each a has one b at most, or none at the
+    cost alone; a b has as many a's as there are slots, each at an additional cost."""
+    x, at_a = np.unique(a, return_inverse=True)
+    y, at_b = np.unique(b, return_inverse=True)
+    n, m = len(x), len(y)
+    matrix = np.full((n, len(slots) * m + n), NEVER)
+    for k, more in enumerate(slots):
+        matrix[at_a, k * m + at_b] = cost + more
+    matrix[:, len(slots) * m :] = alone
+    first = {(int(p), int(q)): float(c) for p, q, c in zip(at_a, at_b, cost, strict=True)}
+    return [(i, j % m, first[i, j % m]) for i, j in kernels.assignment(matrix) if j < len(slots) * m and matrix[i, j] < NEVER]
+
+
 def link_optimal(candidates: DataFrame, radius: float = 50.0) -> DataFrame:
-    """Links of least total squared distance, where leaving an object unlinked costs the squared radius; a frame pair is a group."""
+    """Links of least total squared distance, where leaving an object unlinked costs the squared radius.
+
+    Candidates of two frames fall into islands that share no object; an island is a group, and solved by itself."""
 
     def run(table: pa.Table) -> pa.Table:
-        a, at_a = np.unique(table.column("a").to_numpy(), return_inverse=True)
-        b, at_b = np.unique(table.column("b").to_numpy(), return_inverse=True)
-        d2 = table.column("d2").to_numpy()
-        out = []
-        root = _islands(at_a, at_b + len(a), len(a) + len(b))
-        island = root[at_a]
-        for k in np.unique(island):
-            own = island == k
-            ia, la = np.unique(at_a[own], return_inverse=True)
-            ib, lb = np.unique(at_b[own], return_inverse=True)
-            cost = np.full((len(ia), len(ib) + len(ia)), 1e12)
-            cost[:, len(ib) :] = radius * radius
-            cost[la, lb] = d2[own]
-            out += [(int(a[ia[i]]), int(b[ib[j]]), float(cost[i, j])) for i, j in kernels.assignment(cost) if j < len(ib) and cost[i, j] < 1e12]
-        n = len(out)
-        movie, t = (table.column(c)[0].as_py() for c in ("movie", "t"))
-        return pa.table([pa.array([movie] * n, pa.string()), pa.array([t] * n, pa.int32()), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64())], ["movie", "t", "a", "b", "d2"])
-
-    return candidates.groupBy("movie", "t").applyInArrow(run, "movie string, t int, a long, b long, d2 double")
-
-
-def _islands(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    root = np.arange(n)
-    while True:
-        least = np.minimum(root[a], root[b])
-        after = root.copy()
-        np.minimum.at(after, a, least)
-        np.minimum.at(after, b, least)
-        after = after[after]
-        if (after == root).all():
-            return root
-        root = after
+        a, b = table.column("a").to_numpy(), table.column("b").to_numpy()
+        found = _best(a, b, table.column("d2").to_numpy(), radius * radius)
+        movie, t, n = table.column("movie")[0].as_py(), table.column("t")[0].as_py(), len(found)
+        x, y = np.unique(a), np.unique(b)
+        return pa.table([pa.array([movie] * n, pa.string()), pa.array([t] * n, pa.int32()), pa.array([x[i] for i, _, _ in found], pa.int64()), pa.array([y[j] for _, j, _ in found], pa.int64()), pa.array([c for _, _, c in found], pa.float64())], ["movie", "t", "a", "b", "d2"])
+
+    islands = _island_of(candidates, ["movie", "t", "a"], ["movie", "t", "b"])
+    return islands.groupBy("movie", "t", "island").applyInArrow(run, "movie string, t int, a long, b long, d2 double")
+
+
+def track_key(t, i):
+    """The name of a track whose first object is i at t; in order of t."""
+    return F.concat_ws(":", F.lpad(t.cast("string"), 6, "0"), i.cast("string"))
 
 
 def assign_track_ids(objects: DataFrame, links: DataFrame, rounds: int | None = None) -> DataFrame:
     """(movie, t, ID, track_id): the track is its first object's (t, ID), found by pointer doubling, in as many rounds as
     the number of frames has bits; each round is a checkpoint."""
-    key = lambda t, i: F.concat_ws(":", F.lpad(t.cast("string"), 6, "0"), i.cast("string"))
+    key = track_key
     back = links.select("movie", key(F.col("t") + 1, F.col("b")).alias("k"), key(F.col("t"), F.col("a")).alias("p"))
     now = objects.select("movie", "t", "ID", key(F.col("t"), F.col("ID")).alias("k")).join(back, ["movie", "k"], "left").select("movie", "t", "ID", "k", F.coalesce("p", "k").alias("p"))
     if rounds is None:
@@ -99,43 +109,95 @@ def tracks_long(objects: DataFrame, ids: DataFrame) -> DataFrame:
     return objects.join(ids, ["movie", "t", "ID"]).select("movie", "track_id", "t", "x", "y", "area")
 
 
-def track_bayes(objects: DataFrame, radius: float = 50.0, appearance: float = 0.02) -> DataFrame:
-    """(movie, t, ID, track): constant-velocity prediction plus appearance (area), each frame assigned at least cost; a movie is a group.
-
-    The cost of a pair is its squared distance from the predicted place over the squared radius, plus the weighted
-    squared difference of areas; leaving a track without object costs 1."""
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("t", "ascending"), ("ID", "ascending")])
-        t, i, x, y, area = (table.column(c).to_numpy() for c in ("t", "ID", "x", "y", "area"))
-        track = np.zeros(len(t), np.int64)
-        live: dict[int, tuple] = {}
-        count = 0
-        for frame in np.unique(t):
-            own = np.flatnonzero(t == frame)
-            live = {k: s for k, s in live.items() if s[0] == frame - 1}
-            names = list(live)
-            taken = {}
-            if names:
-                s = np.array([live[k][1:] for k in names])
-                place = s[:, :2] + s[:, 2:4]
-                d = ((place[:, None, 0] - x[own]) ** 2 + (place[:, None, 1] - y[own]) ** 2) / radius**2
-                cost = d + appearance * ((s[:, 4][:, None] - area[own]) / 50.0) ** 2
-                cost[d > 1] = 1e9
-                full = np.concatenate([cost, np.where(np.eye(len(names)) > 0, 1.0, 1e9)], 1)
-                taken = {j: names[r] for r, j in kernels.assignment(full) if j < len(own) and full[r, j] < 1e9}
-            for j, k in enumerate(own):
-                name = taken.get(j)
-                if name is None:
-                    name, velocity = count, (0.0, 0.0)
-                    count += 1
-                else:
-                    velocity = ((x[k] - live[name][1]) , (y[k] - live[name][2]))
-                track[k] = name
-                live[name] = (frame, x[k], y[k], *velocity, area[k])
-        return table.select(["movie", "t", "ID"]).append_column("track", pa.array(track))
-
-    return objects.select("movie", "t", "ID", "x", "y", "area").groupBy("movie").applyInArrow(run, "movie string, t int, ID long, track long")
+#: Variances of a track's first state, of a frame's motion, of a place, and of the area as a share of it squared.
+SPREAD, MOTION, PLACE, AREA = 100.0, 25.0, 9.0, 0.04
+#: The likelihood of no object, as that of one so many standard deviations away.
+LOST = 3.0
+STEP = np.array([[1, 0, 1, 0], [0, 1, 0, 1], [0, 0, 1, 0], [0, 0, 0, 1]], float)
+SEEN = np.eye(2, 4)
+
+
+def predicted(state: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A constant-velocity state (x, y and their speeds) and its covariance one frame on."""
+    return STEP @ state, STEP @ spread @ STEP.T + np.diag([MOTION / 4, MOTION / 4, MOTION, MOTION])
+
+
+def updated(state: np.ndarray, spread: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """State and covariance after an object at place."""
+    gain = spread @ SEEN.T @ np.linalg.inv(SEEN @ spread @ SEEN.T + PLACE * np.eye(2))
+    return state + gain @ (place - SEEN @ state), (np.eye(4) - gain @ SEEN) @ spread
+
+
+def pair_log(state: np.ndarray, spread: np.ndarray, area: float, places: np.ndarray, areas: np.ndarray) -> np.ndarray:
+    """Log-likelihoods of objects, and last of none, as the next one of a predicted track: motion and appearance."""
+    s = SEEN @ spread @ SEEN.T + PLACE * np.eye(2)
+    off = places - SEEN @ state
+    motion = np.einsum("ni,ij,nj->n", off, np.linalg.inv(s), off)
+    looks = (np.log(np.maximum(areas, 1.0)) - np.log(max(area, 1.0))) ** 2 / AREA
+    return np.append(-0.5 * (motion + looks), -0.5 * LOST**2)
+
+
+def _follow(table: pa.Table, near: set[tuple[int, int, int]]) -> list[tuple[int, int, str, float]]:
+    """(t, ID, track_id, probability) of the objects of one island; near holds the pairs (t, ID, next ID) within the radius."""
+    table = table.sort_by([("t", "ascending"), ("ID", "ascending")])
+    t, i, x, y, area = (table.column(c).to_numpy() for c in ("t", "ID", "x", "y", "area"))
+    live: dict[str, tuple] = {}
+    out = []
+    for frame in np.unique(t):
+        own = np.flatnonzero(t == frame)
+        places = np.stack([x[own], y[own]], 1).astype(float)
+        names = sorted(k for k, s in live.items() if s[0] == frame - 1)
+        before = [(live[k][1], *predicted(*live[k][2:4]), live[k][4]) for k in names]
+        taken: dict[int, tuple] = {}
+        if names:
+            logs = np.full((len(names), len(own) + len(names)), -np.inf)
+            for r, (last, state, spread, size) in enumerate(before):
+                ls = pair_log(state, spread, size, places, area[own].astype(float))
+                ls[:-1][[(int(frame) - 1, last, int(k)) not in near for k in i[own]]] = -np.inf
+                ls -= np.logaddexp.reduce(ls)  # probabilities over all objects in reach and none
+                logs[r, : len(own)], logs[r, len(own) :] = ls[:-1], ls[-1]
+            cost = np.where(np.isfinite(logs), -logs, NEVER)
+            taken = {j: (r, float(np.exp(logs[r, j]))) for r, j in kernels.assignment(cost) if j < len(own) and cost[r, j] < NEVER}
+        fresh = {}
+        for j, k in enumerate(own):
+            if j in taken:
+                r, chance = taken[j]
+                name, (state, spread) = names[r], updated(before[r][1], before[r][2], places[j])
+            else:
+                name, chance = f"{int(frame):06d}:{int(i[k])}", 1.0
+                state, spread = np.append(places[j], [0.0, 0.0]), SPREAD * np.eye(4)
+            fresh[name] = (int(frame), int(i[k]), state, spread, float(area[k]))
+            out.append((int(frame), int(i[k]), name, chance))
+        live = fresh
+    return out
+
+
+def track_bayes(objects: DataFrame, radius: float = 50.0) -> DataFrame:
+    """(movie, t, ID, track_id, probability): tracks by motion and appearance.
+
+    Each track has a constant-velocity state with a covariance (a Kalman filter). A frame's objects within the radius of a
+    track's last object get a likelihood from the predicted place and covariance and from the area; these and that of no
+    object become probabilities, and the frame is assigned so that their product is greatest. The first object of a
+    track has probability 1. Objects that are within the radius from frame to frame form an island, which no track leaves: an island
+    is a group, whatever the size of the movie. Ties go to the smaller id."""
+    pairs = cut(link_candidates(objects, radius))
+    node = lambda t, i: F.struct(F.col("movie").alias("movie"), t.alias("t"), i.alias("ID"))
+    found = components(pairs.select(node(F.col("t"), F.col("a")).alias("a"), node(F.col("t") + 1, F.col("b")).alias("b")))
+    islands = found.select("node.movie", "node.t", "node.ID", F.col("component").alias("island"))
+    rows = objects.select("movie", "t", "ID", "x", "y", "area")
+    tied = rows.join(islands, ["movie", "t", "ID"])
+    links = pairs.join(islands.withColumnRenamed("ID", "a"), ["movie", "t", "a"]).select(*(F.col(c).alias(c) for c in ("movie", "island", "t", "a", "b")))
+    single = rows.join(islands, ["movie", "t", "ID"], "left_anti").select("movie", "t", "ID", track_key(F.col("t"), F.col("ID")).alias("track_id"), F.lit(1.0).alias("probability"))
+
+    def run(own: pa.Table, pairs: pa.Table) -> pa.Table:
+        near = set(zip(*(pairs.column(c).to_pylist() for c in ("t", "a", "b")), strict=True))
+        out = _follow(own, near)
+        columns = [pa.array([own.column("movie")[0].as_py()] * len(out), pa.string())]
+        columns += [pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int32(), pa.int64(), pa.string(), pa.float64()))]
+        return pa.table(columns, ["movie", "t", "ID", "track_id", "probability"])
+
+    key = ["movie", "island"]
+    return tied.groupBy(*key).cogroup(links.groupBy(*key)).applyInArrow(run, "movie string, t int, ID long, track_id string, probability double").union(single)
 
 
 def lineage(tracks: DataFrame, splits: DataFrame) -> DataFrame:
@@ -152,13 +214,29 @@ def lineage(tracks: DataFrame, splits: DataFrame) -> DataFrame:
     return now
 
 
-def stitch(tracks: DataFrame, gap: int = 3, radius: float = 50.0) -> DataFrame:
-    """(movie, track_id, parent, d2): for each track that starts later, the nearest track end within gap frames and radius."""
+def stitch_candidates(tracks: DataFrame, gap: int = 3, radius: float = 50.0) -> DataFrame:
+    """(movie, track_id, parent, d2): hypotheses that a track follows on another one that ended up to gap frames before, within the radius."""
     ends = tracks.groupBy("movie", "track_id").agg(F.max_by(F.struct("t", "x", "y"), "t").alias("e"), F.min_by(F.struct("t", "x", "y"), "t").alias("s"))
     cell = lambda v: F.floor(v / radius)
     from_ = ends.select("movie", F.col("track_id").alias("parent"), F.col("e.x").alias("ax"), F.col("e.y").alias("ay"), F.explode(F.sequence(F.col("e.t") + 1, F.col("e.t") + gap)).alias("t"), cell(F.col("e.x")).alias("gx"), cell(F.col("e.y")).alias("gy"))
     from_ = from_.withColumn("gx", F.explode(F.sequence(F.col("gx") - 1, F.col("gx") + 1))).withColumn("gy", F.explode(F.sequence(F.col("gy") - 1, F.col("gy") + 1)))
     to = ends.select("movie", "track_id", F.col("s.t").alias("t"), F.col("s.x").alias("bx"), F.col("s.y").alias("by"), cell(F.col("s.x")).alias("gx"), cell(F.col("s.y")).alias("gy"))
     pairs = from_.join(to, ["movie", "t", "gx", "gy"]).withColumn("d2", F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2)).where(F.col("d2") <= radius * radius)
-    best = F.row_number().over(Window.partitionBy("movie", "track_id").orderBy("d2", "parent"))
-    return pairs.withColumn("rank", best).where("rank = 1").select("movie", "track_id", "parent", "d2")
+    return pairs.select("movie", "track_id", "parent", "d2")
+
+
+def stitch(tracks: DataFrame, gap: int = 3, radius: float = 50.0) -> DataFrame:
+    """(movie, track_id, parent, d2): the consistent set of hypotheses of least total cost.
+
+    A track has one parent at most, a parent two tracks at most (a division). A hypothesis costs its squared distance, the
+    second one of a parent a quarter of the squared radius more; a track without parent costs the squared radius.
+    Hypotheses that share no track are islands; an island is a group, and solved by itself."""
+
+    def run(table: pa.Table) -> pa.Table:
+        a, b = (np.array(table.column(c).to_pylist(), object) for c in ("track_id", "parent"))
+        found = _best(a, b, table.column("d2").to_numpy(), radius * radius, (0.0, radius * radius / 4))
+        x, y, n = np.unique(a), np.unique(b), len(found)
+        return pa.table([pa.array([table.column("movie")[0].as_py()] * n, pa.string()), pa.array([x[i] for i, _, _ in found], pa.string()), pa.array([y[j] for _, j, _ in found], pa.string()), pa.array([c for _, _, c in found], pa.float64())], ["movie", "track_id", "parent", "d2"])
+
+    islands = _island_of(cut(stitch_candidates(tracks, gap, radius)), ["movie", "track_id"], ["movie", "parent"])
+    return islands.groupBy("movie", "island").applyInArrow(run, "movie string, track_id string, parent string, d2 double")

@@ -1,15 +1,32 @@
-"""Cutting the lineage of iterative jobs."""
+"""Cutting the lineage of iterative jobs, and folders that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir. Only a local master, as in tests, gets one of our own where that is
+    unset; on a cluster no machine's folder would do, so that is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="cellspark-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the shared folder named in spark.checkpoint.dir (one of our own only where that is unset)."""
+    """df as a checkpoint in the shared folder."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cellspark-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()

@@ -10,6 +10,12 @@ SIDE = 64
 CHANNELS = [(0, "TagGFP", 50.0, 99.8), (1, "MKate", 50.0, 99.8), (2, "Cy5", 50.0, 99.8), (3, "Oblique", 0.0, 100.0)]
 #: Scenes of the recordings by condition.
 SCENES = [(1, "control"), (7, "control"), (13, "control"), (2, "PRRX1"), (3, "PRRX1"), (14, "MYOD1"), (15, "MYOD1"), (8, "both"), (9, "both"), (11, "both")]
+#: Recordings: number, time points, hour of the first one, minutes between two, whether the last one is broken.
+RECORDINGS = [(1, 68, 0, 20, True), (2, 137, 24, 20, False)]
+
+
+def recordings(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(RECORDINGS, "recording int, n_timepoints int, start_h int, step_min int, drop_last boolean")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
