@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .arrays import NOT_SPACE, Words, mix, packed, slices, unpacked
 from .labels import fold
-from .store import stored
+from .store import dropped, stored
 
 FOLDS, HELD_OUT, MIXING = 7, 2, 3
 #: Words with a code of their own; the commonest of them, whose pairs are counted beforehand.
@@ -29,8 +29,8 @@ HEAD, HOT = 1 << 19, 512
 #: Codes from here on are places in a list of hashes of words outside the head.
 TAIL = 1 << 31
 END = mix(np.array([0xE0D], np.uint64))[0]
-#: Tokens that a task gathers before it sends them out by bucket; buckets at least.
-SEND, BUCKETS = 500_000, 64
+#: Tokens that a task gathers before it sends them out by bucket, and training tokens for each bucket of pairs; buckets at least.
+SEND, BUCKET_TOKENS, BUCKETS = 400_000, 750_000, 8
 #: Steps of log10 probability in the table that the weights are learned from.
 GRID = 20
 NO_ID = -(1 << 63)
@@ -149,8 +149,8 @@ def _rows(batches):
 
 
 def _postings(shared, buckets: int):
-    """Rows (bucket, v, w, n, doc, times, ids, folds, tail): pairs of a slice of documents, who has them how often, and
-    the words outside the head. Pairs with such a word go to its bucket (the second one's, if both are), others by their codes."""
+    """Rows (bucket, slice, v, w, n, doc, times, ids, folds, tail): pairs of a slice of documents, who has them how often, and
+    the words outside the head. A row names only the documents that it has pairs of. Pairs with such a word go to its bucket (the second one's, if both are), others by their codes."""
 
     def send(parts) -> pa.RecordBatch:
         voc = shared.value
@@ -176,20 +176,20 @@ def _postings(shared, buckets: int):
         bucket = bucket[pair]
         order = np.argsort(bucket, kind="stable")
         edges = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0))
-        columns: list[list] = [[] for _ in range(7)]
+        columns: list[list] = [[] for _ in range(9)]
         first_rare = int(np.searchsorted(codes == 0, True))
         for own in np.split(order, edges[1:]):
             new = np.flatnonzero(np.append(True, pair[own][1:] != pair[own][:-1]))
             x, y = v[pair[own[new]]], w[pair[own[new]]]
             tail = np.unique(np.concatenate([x[x >= first_rare], y[y >= first_rare]]))
             x, y = (np.where(k < first_rare, codes[k], TAIL + np.searchsorted(tail, k)).astype(np.uint32) for k in (x, y))
-            for c, column in zip(columns, (bucket[own[0]], np.diff(x, prepend=np.uint32(0)), y, np.diff(np.append(new, len(own))), doc[own], times[own], words[tail]), strict=True):
+            here, of = np.unique(doc[own], return_inverse=True)
+            values = (bucket[own[0]], np.diff(x, prepend=np.uint32(0)), y, np.diff(np.append(new, len(own))), of, times[own], np.diff(ids[here], prepend=0), folds[here], words[tail])
+            for c, column in zip(columns, values, strict=True):
                 c.append(column)
-        n = len(edges)
-        short = np.uint16 if len(ids) < 1 << 16 else np.uint32
-        deltas = [np.diff(ids, prepend=0)] * n
-        kinds = (np.uint32, np.uint32, np.uint32, short, np.uint32)
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(_squeezed(c, k) for c, k in zip(columns[1:6], kinds, strict=True)), _squeezed(deltas, np.int64), _squeezed([folds] * n, np.uint8), _squeezed(columns[6], np.uint64)], ["bucket", "v", "w", "n", "doc", "times", "ids", "folds", "tail"])
+        kinds = (np.uint32,) * 5 + (np.int64, np.uint8, np.uint64)
+        key = np.bitwise_xor.reduce(mix(ids.view(np.uint64) + np.arange(len(ids), dtype=np.uint64))).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array([key] * len(edges), pa.int64()), *(_squeezed(c, k) for c, k in zip(columns[1:], kinds, strict=True))], ["bucket", "slice", "v", "w", "n", "doc", "times", "ids", "folds", "tail"])
 
     def run(batches):
         parts, size = [], 0
@@ -207,16 +207,14 @@ def _postings(shared, buckets: int):
     return run
 
 
-POSTINGS = "bucket int, v binary, w binary, n binary, doc binary, times binary, ids binary, folds binary, tail binary"
+POSTINGS = "bucket int, slice long, v binary, w binary, n binary, doc binary, times binary, ids binary, folds binary, tail binary"
 COUNTED = f"{POSTINGS}, c binary, m binary, tail_n binary, tail_m binary"
 
 
 def _row(row: dict) -> dict:
     """The arrays of a row of postings."""
-    folds = _plain(row["folds"], np.uint8)
-    out = {k: _plain(row[k], np.uint32) for k in ("v", "w", "n")}
+    out = {k: _plain(row[k], np.uint32) for k in ("v", "w", "n", "doc", "times")} | {"folds": _plain(row["folds"], np.uint8)}
     out["v"] = np.cumsum(out["v"], dtype=np.uint32)
-    out |= {"doc": _plain(row["doc"], np.uint16 if len(folds) < 1 << 16 else np.uint32), "times": _plain(row["times"], np.uint32), "folds": folds}
     out["ids"] = np.cumsum(_plain(row["ids"], np.int64))
     out["of"] = np.repeat(np.arange(len(out["v"])), out["n"])
     return out
@@ -257,7 +255,7 @@ def _counted(table: pa.Table, counts: pa.Table) -> pa.Table:
         for k, name in enumerate(("n", "mixing")):
             own[k] = np.where(known[where] == words, counts.column(name).to_numpy()[first][where], 0)
     for name, values in (("c", np.split(c, edges)), ("m", np.split(m, edges)), ("tail_n", [own[0][p] for p in place]), ("tail_m", [own[1][p] for p in place])):
-        table = table.append_column(name, _squeezed(values, np.int64 if name.startswith("tail") else np.uint32))
+        table = table.append_column(name, _squeezed(values, np.int64))
     return table
 
 
@@ -268,7 +266,7 @@ def _with_counts(row: dict, voc: Vocabulary, hot: np.ndarray) -> dict:
         cell = (x["v"].astype(np.int64) - 1) * HOT + x["w"] - 1
         x["c"], x["m"] = hot[0][cell], hot[1][cell]
     else:
-        x["c"], x["m"] = _plain(row["c"], np.uint32).astype(np.int64), _plain(row["m"], np.uint32).astype(np.int64)
+        x["c"], x["m"] = _plain(row["c"], np.int64), _plain(row["m"], np.int64)
     for side in ("v", "w"):
         rare = x[side] >= TAIL
         for name, head, tail in (("c", voc.n, "tail_n"), ("m", voc.mixing, "tail_m")):
@@ -296,11 +294,11 @@ def _step(p: np.ndarray) -> np.ndarray:
     return np.where(p > 0, np.clip(np.round(-GRID * np.log10(np.maximum(p, 1e-300))), 0, STEPS - 1), STEPS).astype(np.int64)
 
 
-def _held_out_table(shared):
+def _held_out_table(shared, hot_counts):
     """Rows (cell, n): the mixing fold's pairs by context level and the steps of both estimates without that fold."""
 
     def run(batches):
-        voc, hot = shared.value
+        voc, hot = shared.value, hot_counts.value
         for row in _rows(batches):
             x = _with_counts(row, voc, hot)
             local = _local(x, 2)
@@ -331,19 +329,18 @@ def mixed(cells: np.ndarray, n: np.ndarray, uniform: float, rounds: int = 60) ->
     return weights
 
 
-def _scores(shared):
+def _scores(shared, hot_counts, weights: np.ndarray):
     """Rows (slice, ids, logs): sums of a slice's documents over the pairs of a row."""
 
     def run(batches):
-        voc, hot, weights = shared.value
+        voc, hot = shared.value, hot_counts.value
         uniform = 1 / (voc.types + 1)
         for row in _rows(batches):
             x = _with_counts(row, voc, hot)
             mix_ = weights[_level(x["cv"])]
             p = mix_[:, 0] * _ratio(x["c"], x["cv"]) + mix_[:, 1] * x["cw"] / max(voc.total, 1) + mix_[:, 2] * uniform
             logs = np.bincount(x["doc"], np.log10(p)[x["of"]] * x["times"], len(x["ids"]))
-            key = np.bitwise_xor.reduce(mix(x["ids"].view(np.uint64) + np.arange(len(logs), dtype=np.uint64)))
-            yield pa.RecordBatch.from_arrays([pa.array([key.view(np.int64)], pa.int64()), pa.array([row["ids"]], pa.binary()), packed([logs], np.float64)], ["slice", "ids", "logs"])
+            yield pa.RecordBatch.from_arrays([pa.array([row["slice"]], pa.int64()), pa.array([row["ids"]], pa.binary()), packed([logs], np.float64)], ["slice", "ids", "logs"])
 
     return run
 
@@ -369,18 +366,18 @@ def scored(docs: DataFrame, head: int = HEAD) -> DataFrame:
     words = docs.select("text", "fold").mapInArrow(_unigrams, "word long, n long, mixing long")
     words = stored(words.groupBy("word").agg(F.sum("n").alias("n"), F.sum("mixing").alias("mixing")), "words")
     total, total_mixing, types = (x or 0 for x in words.agg(F.sum("n"), F.sum("mixing"), F.count("*")).first())
-    # the least count of the head's words, from how many words have each count
-    counts = sorted(((r["k"], r["words"]) for r in words.groupBy(F.least("n", F.lit(100_000)).alias("k")).agg(F.count("*").alias("words")).collect()), reverse=True)
-    least, size = 1, 0
+    # how many words have each count, by its first four digits: the head takes the commonest counts that fit whole
+    digits = F.expr("n - n % cast(pow(10, greatest(length(cast(n as string)) - 4, 0)) as bigint)")
+    counts = sorted(((r["k"], r["words"]) for r in words.groupBy(digits.alias("k")).agg(F.count("*").alias("words")).collect()), reverse=True)
+    least, size = 1 << 62, 0
     for k, n in counts:
         if size + n > head:
-            least = k + 1
             break
-        size += n
+        least, size = k, size + n
     voc = Vocabulary(words.where(F.col("n") >= least).select("word", "n", "mixing").toArrow(), total, total_mixing, types)
     shared = spark.sparkContext.broadcast(voc)
 
-    buckets = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(BUCKETS, -(-total // BUCKET_TOKENS))
     facts = stored(docs.mapInArrow(_facts(shared, buckets), "kind int, doc_id long, a long, b long, x double"), "facts")
     hot = np.zeros((2, HOT * HOT), np.int64)
     table = facts.where("kind = 0").groupBy("a").agg(F.sum("b").alias("n"), F.sum("doc_id").alias("mixing")).toArrow()
@@ -393,8 +390,8 @@ def scored(docs: DataFrame, head: int = HEAD) -> DataFrame:
     counts = tail.select(F.pmod("word", F.lit(buckets)).cast("int").alias("bucket"), "word", "n", "mixing").union(needed)
     postings = docs.mapInArrow(_postings(shared, buckets), POSTINGS)
     postings = stored(postings.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(_counted, COUNTED), "postings")
-    model = spark.sparkContext.broadcast((voc, hot))
-    cells = postings.mapInArrow(_held_out_table(model), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    hot = spark.sparkContext.broadcast(hot)
+    cells = postings.mapInArrow(_held_out_table(shared, hot), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     weights = mixed(cells.column("cell").to_numpy(), cells.column("n").to_numpy(), 1 / (types + 1))
 
     zero, none = F.lit(0).cast("long"), F.lit(0.0)
@@ -404,14 +401,16 @@ def scored(docs: DataFrame, head: int = HEAD) -> DataFrame:
     rare = facts.where("kind = 1").join(words.select(F.col("word").alias("a"), F.col("n").alias("c")).hint("shuffle_merge"), "a", "left").withColumn("c", F.coalesce("c", zero))
     logs = F.col("b") * F.log10(F.col("c") + 1)
     rare = row(rare, zero, zero, F.when(F.col("c") > 0, F.col("b")).otherwise(zero), logs, none)
-    pairs = postings.mapInArrow(_scores(spark.sparkContext.broadcast((voc, hot, weights))), "slice long, ids binary, logs binary")
+    pairs = postings.mapInArrow(_scores(shared, hot, weights), "slice long, ids binary, logs binary")
     pairs = pairs.groupBy("slice").applyInArrow(_summed, "doc_id long, score double")
     pairs = row(pairs, zero, zero, zero, none, F.col("score"))
     sums = own.union(rare).union(pairs).groupBy("doc_id").agg(*[F.sum(n).alias(n) for n in names])
     each = lambda c: (F.col(c) / F.col("rows"))
-    out = sums.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    # as many rows as there were, a few thousand at once: very many may have no doc_id
+    some = F.expr("explode(sequence(0, (rows - 1) div 4096))")
+    out = sums.withColumn("thousand", some).withColumn("copy", F.expr("explode(sequence(1, least(4096, rows - thousand * 4096)))"))
     id_ = F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))
-    return out.select(
+    out = out.select(
         id_.alias("doc_id"),
         (fold(id_, FOLDS) == HELD_OUT).alias("held_out"),
         each("n_tokens").cast("long").alias("n_tokens"),
@@ -420,6 +419,12 @@ def scored(docs: DataFrame, head: int = HEAD) -> DataFrame:
         (each("base") - each("n_tokens") * float(np.log10(total + types + 1))).alias("base_score"),
         each("score").alias("score"),
     )
+    out = stored(out, "scores")
+    for table in (words, facts, postings):
+        dropped(table)
+    for value in (shared, hot):
+        value.unpersist()
+    return out
 
 
 def brute_base(rows: list[tuple[int, str | None]]) -> list[tuple[int, bool, int, int, int, float]]:
@@ -433,3 +438,43 @@ def brute_base(rows: list[tuple[int, str | None]]) -> list[tuple[int, bool, int,
     c = Counter(w for _, held, ws in cut if not held for w in ws)
     total = sum(c.values())
     return [(i, held, len(ws), sum(c[w] > 0 for w in ws), total, sum(math.log10((c[w] + 1) / (total + len(c) + 1)) for w in ws)) for i, held, ws in cut]
+
+
+def brute_scores(rows: list[tuple[int, str | None]]) -> list[float]:
+    """The score of each row with dictionaries of all counts."""
+    import math
+    import re
+    import zlib
+    from collections import Counter
+
+    cut = []
+    for i, t in rows:
+        words = [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]
+        cut.append((zlib.crc32(str(i).encode()) % FOLDS, list(zip([None, *words[:-1]], words, strict=True))))
+    known = lambda folds: Counter(p for part, ps in cut if part in folds for p in ps)
+    training = set(range(FOLDS)) - {HELD_OUT}
+    every, mixing, rest = known(training), known({MIXING}), known(training - {MIXING})
+    single = lambda pairs: Counter(dict_sum((w, n) for (_, w), n in pairs.items()))
+    one, rest_one = single(every), single(rest)
+    total, rest_total = sum(one.values()), sum(rest_one.values())
+    level = lambda n: int(math.log2(n)) + 1 if n else 0
+    step = lambda p: int(_step(np.array([p]))[0])
+    cells = Counter(dict_sum(((((level(rest_one[v]) * (STEPS + 1)) + step(rest[v, w] / rest_one[v] if rest_one[v] else 0)) * (STEPS + 1) + step(rest_one[w] / max(rest_total, 1))), n) for (v, w), n in mixing.items()))
+    uniform = 1 / (len(one) + 1)
+    keys = sorted(cells)
+    weights = mixed(np.array(keys, np.int64), np.array([cells[k] for k in keys], np.int64), uniform)
+    out = []
+    for _, pairs in cut:
+        score = 0.0
+        for v, w in pairs:
+            a, b, c = weights[level(one[v])]
+            score += math.log10(a * (every[v, w] / one[v] if one[v] else 0) + b * one[w] / max(total, 1) + c * uniform)
+        out.append(score)
+    return out
+
+
+def dict_sum(pairs) -> dict:
+    out: dict = {}
+    for k, n in pairs:
+        out[k] = out.get(k, 0) + n
+    return out

@@ -18,10 +18,11 @@ from .store import stored
 FOLDS, HELD_OUT = 5, 0
 #: Shares of the pooled covariance and of its diagonal in each class covariance.
 POOLED, DIAGONAL = 0.1, 0.1
-NAMES = ("log_words", "word_length", "upper", "digits", "symbols", "pipes", "distinct_words", "repeated_next", "repeated_pairs", "symbol_words", "line_length", "repeated_lines", "capitals_only", "sentence_ends")
+NAMES = ("log_words", "word_length", "upper", "digits", "symbols", "distinct_words", "repeated_next", "repeated_pairs", "symbol_words", "line_length", "repeated_lines", "capitals_only", "sentence_ends")
 UPPER, DIGIT, LETTER, SYMBOL = (np.zeros(256, bool) for _ in range(4))
 UPPER[0x41:0x5B] = DIGIT[0x30:0x3A] = LETTER[0x41:0x5B] = LETTER[0x61:0x7B] = LETTER[0x80:] = True
-SYMBOL[[ord(c) for c in "#$%&*!@^~<>{}[]\\/=+_`"]] = True
+#: Signs that prose has seldom: printable ASCII but letters, digits and the marks of sentences.
+SYMBOL[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) not in ".,;:?'\"()-"]] = True
 ENDS = np.zeros(256, bool)
 ENDS[[ord(c) for c in ".?"]] = True
 NOT_NEWLINE = np.ones(256, bool)
@@ -46,7 +47,7 @@ def statistics(column: pa.Array) -> np.ndarray:
     data, offsets, docs = words.data, words.offsets, words.docs
     size = np.maximum(np.diff(offsets), 1)
     n = np.maximum(words.counts, 1)
-    doc, h = words.doc, words.hashes()
+    doc = words.doc
     low = Words.__new__(Words)
     low.__dict__ = words.__dict__ | {"data": np.take(LOWER, data)}
     h = low.hashes()
@@ -72,7 +73,6 @@ def statistics(column: pa.Array) -> np.ndarray:
             share(_per_doc(UPPER[data], offsets), lettered),
             share(_per_doc(DIGIT[data], offsets), size),
             share(_per_doc(SYMBOL[data], offsets), size),
-            share(_per_doc(data == ord("|"), offsets), n),
             share(_distinct(doc, h, docs), n),
             share(np.bincount(doc[1:][same], minlength=docs) if len(h) else np.zeros(docs), n),
             share(np.bincount(pair_doc, minlength=docs) - _distinct(pair_doc, pairs, docs), n),

@@ -2,34 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import new_path
+
 #: Settings of the jobs that stored() runs: shuffle files go as soon as a job has ended, and a Python worker gets some
 #: megabytes of texts at once, not tens.
 SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Only a local master, as in tests, gets one of our own where that is
-    unset; on a cluster no machine's folder would do, so that is an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="cellspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @contextmanager
 def settings(spark: SparkSession):
     """SETTINGS for the jobs run inside."""

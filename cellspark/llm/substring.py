@@ -2,7 +2,8 @@
 
 Reference blocks are the non-overlapping runs of 7 words of every document; every rolling run of 7 words
 probes them. A shared run of 13 words holds a whole reference block wherever it lies, so each one has an
-anchor. Around the anchors the 13-word windows are compared in full; their union are the maximal repeats.
+anchor. Around the anchors the 13-word windows are compared, by 64-bit hashes of all 13 words; their union are the
+maximal repeats.
 
 Hashes travel as packed arrays, a row for each slice of documents and bucket of hashes. A slice sends each
 hash once, with its least document, so that a passage of very many documents costs a row's share per slice."""
@@ -18,13 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import NOT_SPACE, Words, mix, ngrams, packed, slices, spans_flagged, unpacked, within
-from .store import dropped, stored
+from .store import dropped, stored, text_bytes_of
 
 SPAN = 13
 #: The longest block of which one lies whole in every run of SPAN words.
 BLOCK = (SPAN + 1) // 2
-#: Entries that a task gathers before it sends them out by bucket.
-SEND = 600_000
+#: Entries that a task gathers before it sends them out by bucket, and bytes of text for each bucket: about a million entries.
+SEND, BUCKET_BYTES, BUCKETS = 600_000, 6 << 20, 8
 
 
 def _by_bucket(buckets: int, which: np.ndarray, doc: np.ndarray, columns: dict[str, np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, dict[str, np.ndarray]]]:
@@ -238,10 +239,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Windows are judged on the input. Null and empty texts have no words; texts of under 13 words lose nothing.
     Rows that share a doc_id are one document as to what is smaller, and don't remove each other's words;
     a row without doc_id neither removes nor loses words. Other columns are ignored; an empty table gives no rows."""
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     named = docs.where(F.col("doc_id").isNotNull())
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(BUCKETS, text_bytes_of(named) // BUCKET_BYTES)
     gathered = lambda answers: answers.groupBy("group").applyInArrow(_gathered, "doc_id long, found binary")
     anchors = stored(named.mapInArrow(_probes(buckets), PROBES).groupBy("bucket").applyInArrow(_anchored(buckets), ANSWERS), "anchors")
     found = named.join(gathered(anchors).hint("shuffle_merge"), "doc_id").select("doc_id", "text", "found").mapInArrow(_windows(buckets), WINDOWS)

@@ -9,9 +9,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .arrays import ALNUM, WORD_BASE, Words, mix, slices
 from .labels import fold, training_labels
+from .names import plain
 
 FOLDS, HELD_OUT = 3, 1
 BITS = 20
@@ -86,8 +88,8 @@ def trained(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows
     return out
 
 
-def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """docs with a score from 0 to 1 (higher: label 1 likelier). Null and empty texts have the bias alone."""
+def scored(docs: DataFrame, weights: np.ndarray, name: str = "score") -> DataFrame:
+    """docs and a last column name, which docs has not, from 0 to 1 (higher: label 1 likelier). Null and empty texts have the bias alone."""
     at = np.flatnonzero(weights)
     model = docs.sparkSession.sparkContext.broadcast((at.astype(np.int32), weights[at]))
 
@@ -100,12 +102,10 @@ def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                 used = table[index] != 0
                 index, first = distinct(doc[used], index[used], docs)
                 sums = np.diff(np.append(0, np.cumsum(table[index]))[first])
-                yield part.append_column("score", pa.array(_sigmoid(sums + table[-1])))
+                yield part.append_column("of_text", pa.array(_sigmoid(sums + table[-1])))
 
-    from pyspark.sql.types import DoubleType, StructType
-
-    kept = [f for f in docs.schema.fields if f.name != "score"]
-    return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, StructType([*kept]).add("score", DoubleType()))
+    rows = plain(docs)
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("of_text", DoubleType())])).toDF(*docs.columns, name)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
