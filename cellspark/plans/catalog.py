@@ -196,7 +196,7 @@ def recolor_cmy(spark, d):
     return _rgb(im.recolor_cmy(im.stack_rgb(st.scanlines(spark, d))))
 
 
-@query(WITH + "SELECT t, channel, y, x, 0.0 AS r, v AS g, 0.0 AS b FROM px")
+@query(WITH + "SELECT t, channel, y, x, CAST(0 AS DOUBLE) AS r, v AS g, CAST(0 AS DOUBLE) AS b FROM px")
 def false_color(spark, d):
     rgb = im.false_color(st.scanlines(spark, d), "G")
     return rgb.select("t", "channel", "y", F.posexplode(F.arrays_zip("r", "g", "b")).alias("x", "p")).select("t", "channel", "y", "x", "p.r", "p.g", "p.b")
@@ -323,7 +323,7 @@ def centroids(spark, d):
     return rounded(sg.centroids(sg.region_props(_components(spark, d, 4))).drop("sample", "replicate"), "centroid_0", "centroid_1")
 
 
-@query(MASK + f"{_islands(0)}, {PROPS} SELECT 'S/1/' || channel AS movie, component AS \"ID\", t, ROUND(centroid_0, 6) x, ROUND(centroid_1, 6) y, 0.0 AS z, 1.0 AS prob, 0 AS states, area FROM rp")
+@query(MASK + f"{_islands(0)}, {PROPS} SELECT 'S/1/' || channel AS movie, component AS \"ID\", t, ROUND(centroid_0, 6) x, ROUND(centroid_1, 6) y, CAST(0 AS DOUBLE) AS z, CAST(1 AS DOUBLE) AS prob, 0 AS states, area FROM rp")
 def objects_from_masks(spark, d):
     return rounded(tr.objects_from_regions(sg.region_props(_components(spark, d, 4))), "x", "y")
 
