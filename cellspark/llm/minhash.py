@@ -301,11 +301,13 @@ def linked(docs: DataFrame, per_cent: int = PER_CENT, bands: int = BANDS) -> Dat
     sets = stored(_sets(docs, active.select("doc_id")), "sets")
     compared = active.join(sets.hint("shuffle_merge"), "doc_id").groupBy("key", "i", "j").applyInArrow(_compared(least, per_cent), "a long, b long")
     more = stored(compared.distinct(), "links")
-    for table in (active, sets, pairs, buckets, stars):
+    for table in (active, sets, pairs, buckets):
         dropped(table)
 
-    edges = first.union(more)
-    whole = components(edges) if edges.head(1) else spark.createDataFrame([], "node long, component long")
+    whole = stars
+    if more.head(1):
+        dropped(stars)
+        whole = components(first.union(more))
     # a class has its least document as node: the class's component holds for all its documents
     classes = nodes.select("digest", F.col("doc_id").alias("node")).join(whole.hint("shuffle_merge"), "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = found.select("doc_id", "n_shingles", "digest").join(classes.hint("shuffle_merge"), "digest", "left")

@@ -184,10 +184,11 @@ def _round(first: bool, capacity: int):
     return run
 
 
-def _packed(items: DataFrame, key: list[str], number: int, total: int, capacity: int, group_items: int) -> DataFrame:
-    """items with sequence_id, offset and fill (of the bin); every round deals anew."""
+def _packed(items: DataFrame, number: int, total: int, capacity: int, group_items: int) -> DataFrame:
+    """items, a stored table, with sequence_id, offset and fill (of the bin). Every round deals anew, by a row's place in
+    the table's files, so that equal rows spread too."""
     groups = max(1, -(-total // group_items))
-    dealt = items.withColumn("group", F.pmod(F.xxhash64(*key, F.lit(number)), F.lit(groups)))
+    dealt = items.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(number)), F.lit(groups)))
     schema = ", ".join(f"`{n}` {t}" for n, t in items.dtypes) + ", sequence_id long, offset long, fill long"
     return stored(dealt.groupBy("group").applyInArrow(_round(number == 1, capacity), schema), f"round{number}")
 
@@ -199,7 +200,7 @@ def packed(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
     the length counts, so ties are broken by id; other columns are ignored; an empty table gives no rows. Rounds end when
     one leaves more than 99 of 100 underfull bins as they were."""
     cuts = stored(pieces(docs, vocabulary or public_tokenizers.path("byte_bpe_50k.json"), capacity), "pieces")
-    out = _packed(cuts, ["doc_id", "piece", "ids_crc32"], 1, cuts.count(), capacity, group_items)
+    out = _packed(cuts, 1, cuts.count(), capacity, group_items)
     dropped(cuts)
     least, before, number, maps = int(nearly_full * capacity), None, 1, []
     bins = out.where(F.col("fill") < least).groupBy("sequence_id").agg(F.max("fill").alias("length"))
@@ -209,14 +210,18 @@ def packed(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
         if total < 2 or before is not None and total > 0.99 * before:
             break
         before, number = total, number + 1
-        merged = _packed(open_bins, ["item"], number, total, capacity, group_items)
+        merged = _packed(open_bins, number, total, capacity, group_items)
         dropped(open_bins)
         maps.append(merged)
         bins = merged.where(F.col("fill") < least).groupBy("sequence_id").agg(F.max("fill").alias("length"))
+    rounds = [out, *maps]
     for merged in maps:
         to = merged.select(F.col("item").alias("sequence_id"), F.col("sequence_id").alias("into"), F.col("offset").alias("shift"))
         out = out.join(to, "sequence_id", "left").withColumns({"sequence_id": F.coalesce("into", "sequence_id"), "offset": F.col("offset") + F.coalesce("shift", F.lit(0))}).drop("into", "shift")
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    out = stored(out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"), "packed")
+    for table in (open_bins, *rounds):
+        dropped(table)
+    return out
 
 
 def brute_pieces(rows: list[tuple], capacity: int = CAPACITY) -> list[tuple]:

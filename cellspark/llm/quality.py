@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .arrays import LOWER, NOT_SPACE, Words, packed, slices, unpacked
 from .labels import fold, training_labels
-from .store import stored
+from .store import dropped, stored
 
 FOLDS, HELD_OUT = 5, 0
 #: Shares of the pooled covariance and of its diagonal in each class covariance.
@@ -162,4 +162,6 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], ["doc_id", "score"])
 
     out = stats.mapInArrow(run, "doc_id long, score double")
-    return out.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    out = stored(out.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")), "scores")
+    dropped(stats)
+    return out

@@ -113,6 +113,26 @@ def test_large_buckets_grow_with_their_nodes(spark):
     assert minhash._blocks(members.withColumn("component", mostly), nodes, n)[0].count() < 1.2 * n
 
 
+@pytest.mark.parametrize("many", [1 << 20, 0])
+def test_components_of_stars_and_chains(spark, monkeypatch, many):
+    from cellspark.llm import components
+
+    monkeypatch.setattr(components, "MANY", many)
+    rng = random.Random(12)
+    edges = [(0, k) for k in range(1, 90)] + [(k, 300) for k in range(200, 290)] + [(k, k + 1) for k in range(400, 470)]
+    edges += [tuple(sorted(rng.sample(range(500, 600), 2))) for _ in range(60)]
+    root = {v: v for e in edges for v in e}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            low = min(root[a], root[b])
+            changed |= root[a] != low or root[b] != low
+            root[a] = root[b] = low
+    got = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r["node"]: r["component"] for r in got} == {v: c for v, c in root.items() if v != c} and len(got) == len({r["node"] for r in got})
+
+
 def test_facts_reach_hot_keys_too(spark, monkeypatch):
     from pyspark.sql import functions as F
 
