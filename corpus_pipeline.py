@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cellspark.llm import decontaminate, minhash, packing, secrets, toxicity
 from cellspark.llm.names import columns_of, fresh, own
-from cellspark.llm.store import stored
+from cellspark.llm.store import dropped, stored
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,8 +64,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
+    """All stages over documents; each result is written and read again, and goes once the next one is there."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before is not None:
+            dropped(before)
+        before = docs
+    return docs
