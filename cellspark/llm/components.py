@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import dropped, stored, with_facts
+from .store import dropped, few, stored, with_facts
 
 #: From so many edges on, a hub that has many of them is joined by broadcast; fewer edges are no task's burden.
 MANY = 1 << 20
@@ -38,7 +38,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = stored(edges.select("a", "b").distinct(), "edges")
     mark, total = None, now.count()
     while True:
-        after = stored(_small(_large(now, total), total), "edges")
+        after = stored(few(_small(_large(now, total), total), total), "edges")
         dropped(now)
         now, before = after, mark
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .arrays import NOT_SPACE, Words, isin_sorted, mix, ngrams, packed, slices, within
 from .components import components
-from .store import dropped, stored, with_facts
+from .store import dropped, few, stored, with_facts
 
 WORDS, BANDS, ROWS, BITS = 5, 25, 5, 4
 HASHES = BANDS * ROWS
@@ -251,29 +251,44 @@ def _size(n: Column, total: Column) -> Column:
     return F.greatest(F.ceil(n / BLOCK), F.ceil(total / BLOCK_SHINGLES), F.lit(1)).cast("int")
 
 
-def _first_blocks(members: DataFrame, nodes: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
-    """The nodes of each block (key, i, j = i) of the buckets with two nodes or more. About PIVOTS nodes of a large bucket are in all its blocks. Also the table of buckets behind it."""
-    facts = stored(members.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total")).where("n > 1"), "buckets")
-    own = with_facts(members, facts, "key", "doc_id", total).where("n is not null").withColumn("blocks", _size(F.col("n"), F.col("total")))
+def _shared(nodes: DataFrame, total: int) -> DataFrame:
+    """The buckets of two nodes or more: a row (key, doc_id, n_shingles, n, total) for each of their nodes, with the bucket's nodes and shingles. Stored."""
+    members = nodes.select(F.explode("bands").alias("key"), "doc_id", "n_shingles")
+    facts = stored(few(members.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total")).where("n > 1"), total), "buckets")
+    out = stored(few(with_facts(members, facts, "key", "doc_id", total).where("n is not null"), total), "members")
+    dropped(facts)
+    return out
+
+
+def _with_signatures(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    return rows.join(nodes.select("doc_id", "bits", "bands", "n_shingles").hint("shuffle_merge"), "doc_id")
+
+
+def _first_blocks(shared: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The nodes of each block (key, i, j = i) of the buckets. About PIVOTS nodes of a large bucket are in all its blocks."""
+    own = shared.withColumn("blocks", _size(F.col("n"), F.col("total")))
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     pivot = F.pmod(F.xxhash64("doc_id", F.lit("pivot")), F.ceil(F.col("n") / PIVOTS)) == 0
     own = own.withColumn("i", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block))))
-    return own.select("key", "i", F.col("i").alias("j"), "doc_id", "component", F.col("i").alias("block")).join(nodes.select("doc_id", "bits", "bands", "n_shingles"), "doc_id"), facts
+    return _with_signatures(own.select("key", "i", F.col("i").alias("j"), "doc_id", F.col("doc_id").alias("component"), F.col("i").alias("block")), nodes)
 
 
-def _blocks(members: DataFrame, nodes: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
-    """The nodes of each two blocks (key, i, j) of the buckets whose members (key, doc_id, component, n_shingles) are of
-    several components. Blocks from 0 on hold what is not in the bucket's largest component, those from -1 down that one's
-    nodes; two of the latter are never paired. Also the table of buckets behind it."""
+def _blocks(shared: DataFrame, stars: DataFrame, nodes: DataFrame, total: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The nodes of each two blocks (key, i, j) of the buckets whose nodes are of several components, by stars (node,
+    component). Blocks from 0 on hold what is not in the bucket's largest component, those from -1 down that one's nodes; two
+    of the latter are never paired. Also the stored tables behind it."""
+    labelled = shared.select("key", "doc_id", "n_shingles").join(stars.withColumnRenamed("node", "doc_id").hint("shuffle_merge"), "doc_id", "left")
+    members = stored(few(labelled.select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component")), total), "labelled")
     each = members.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total"))
     facts = each.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", F.col("component").alias("big"), "total")).alias("largest"), F.sum("total").alias("total"), F.count("*").alias("components")).where("components > 1")
-    facts = stored(facts.select("key", "n", "largest.big", _size(F.col("largest.n"), F.col("largest.total")).alias("large"), _size(F.col("n") - F.col("largest.n"), F.col("total") - F.col("largest.total")).alias("small")), "buckets")
+    facts = facts.select("key", "n", "largest.big", _size(F.col("largest.n"), F.col("largest.total")).alias("large"), _size(F.col("n") - F.col("largest.n"), F.col("total") - F.col("largest.total")).alias("small"))
+    facts = stored(few(facts, total), "buckets")
     own = with_facts(members, facts, "key", "doc_id", total).where("n is not null")
     hash_ = F.xxhash64("doc_id")
     own = own.withColumn("block", F.when(F.col("component") == F.col("big"), -1 - F.pmod(hash_, F.col("large"))).otherwise(F.pmod(hash_, F.col("small"))).cast("int"))
     others = F.when(F.col("block") < 0, F.sequence(F.lit(0), F.col("small") - 1)).otherwise(F.sequence(-F.col("large"), F.col("small") - 1))
     own = own.withColumn("other", F.explode(others))
-    return own.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "component", "block").join(nodes.select("doc_id", "bits", "bands", "n_shingles"), "doc_id"), facts
+    return _with_signatures(own.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "component", "block"), nodes), [members, facts]
 
 
 def linked(docs: DataFrame, per_cent: int = PER_CENT, bands: int = BANDS) -> DataFrame:
@@ -284,24 +299,25 @@ def linked(docs: DataFrame, per_cent: int = PER_CENT, bands: int = BANDS) -> Dat
     ignored; an empty table gives no rows. A lower threshold takes more bands to miss as few links."""
     spark = docs.sparkSession
     found = stored(signatures(docs, bands), "signatures")
+    rows = found.count()
     full = found.where("digest is not null and doc_id is not null")
     classes = full.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("n_shingles").alias("n_shingles"))
-    nodes = stored(classes, "nodes")
+    nodes = stored(few(classes, rows), "nodes")
 
-    members, total = nodes.select(F.explode("bands").alias("key"), "doc_id", F.col("doc_id").alias("component"), "n_shingles"), bands * nodes.count()
-    blocks, buckets = _first_blocks(members, nodes, total)
-    pairs = stored(blocks.groupBy("key", "i", "j").applyInArrow(_forest(per_cent), "a long, b long").distinct(), "pairs")
-    dropped(buckets)
+    total = bands * nodes.count()
+    shared = _shared(nodes, total)
+    pairs = stored(_first_blocks(shared, nodes).groupBy("key", "i", "j").applyInArrow(_forest(per_cent), "a long, b long").distinct().transform(few, total), "pairs")
     first = _links(docs, pairs, per_cent)
     stars = components(first) if first.head(1) else spark.createDataFrame([], "node long, component long")
 
-    labelled = members.drop("component").join(stars.withColumnRenamed("node", "doc_id").hint("shuffle_merge"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"), "n_shingles")
-    least, (rest, buckets) = per_cent / 100 - MARGIN, _blocks(labelled, nodes, total)
+    least, (rest, tables) = per_cent / 100 - MARGIN, _blocks(shared, stars, nodes, total)
     active = stored(rest.groupBy("key", "i", "j").applyInArrow(_active(least, per_cent), rest.schema), "active")
+    for table in (shared, *tables):
+        dropped(table)
     sets = stored(_sets(docs, active.select("doc_id")), "sets")
     compared = active.join(sets.hint("shuffle_merge"), "doc_id").groupBy("key", "i", "j").applyInArrow(_compared(least, per_cent), "a long, b long")
-    more = stored(compared.distinct(), "links")
-    for table in (active, sets, pairs, buckets):
+    more = stored(few(compared.distinct(), total), "links")
+    for table in (active, sets, pairs):
         dropped(table)
 
     whole = stars
@@ -312,7 +328,8 @@ def linked(docs: DataFrame, per_cent: int = PER_CENT, bands: int = BANDS) -> Dat
     classes = nodes.select("digest", F.col("doc_id").alias("node")).join(whole.hint("shuffle_merge"), "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = found.select("doc_id", "n_shingles", "digest").join(classes.hint("shuffle_merge"), "digest", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "doc_id"))
-    out = stored(out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")), "classes")
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    out = stored(few(out, rows), "classes")
     for table in (found, nodes, first, more, whole):
         dropped(table)
     return out

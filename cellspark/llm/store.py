@@ -74,3 +74,12 @@ def with_facts(rows: DataFrame, facts: DataFrame, key: str, spread: str, total:
     rest = facts.select(key, F.struct(*columns).alias("_rest"), F.lit(0).alias("_salt"))
     out = rows.withColumn("_salt", salt).join(rest.hint("shuffle_merge"), [key, "_salt"], "left")
     return out.select(*rows.columns[:-1], *[F.coalesce(F.col("_hot")[c], F.col("_rest")[c]).alias(c) for c in columns])
+
+
+#: Rows of a file, and files that even a small table has.
+FILE_ROWS, FILES = 50_000, 8
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """df, of about so many short rows, in as few partitions as they need: a small table is not written as hundreds of files."""
+    return df.coalesce(FILES + rows // FILE_ROWS)

@@ -44,6 +44,7 @@ def plain(df):
 
 def test_decontaminate(spark, rows, docs, nothing):
     items = [(1, " ".join(f"P{k}" for k in range(5, 25))), (11, " ".join(f"P{k}" for k in range(5, 25))), (2, "naïve x1"), (3, ""), (4, None), (5, "p28, p29"), (5, "p28, p29"), (10, rows[5][1])]
+    items += [(k, "naïve x1 p7 p8") for k in range(100, 160)]  # very many of one text
     benchmark = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, n_words int")
     want = sorted(((i, *decontaminate.brute_force(t, items)) for i, t in rows), key=repr)
     for block in (32 << 20, 40):
@@ -107,10 +108,10 @@ def test_large_buckets_grow_with_their_nodes(spark):
 
     n = 20_000
     nodes = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(b"x").alias("bits"), F.array(F.lit(7).cast("long")).alias("bands"), F.lit(100).cast("long").alias("n_shingles"))
-    members = nodes.select(F.lit(7).cast("long").alias("key"), "doc_id", "n_shingles")
-    assert minhash._first_blocks(members.withColumn("component", F.col("doc_id")), nodes, n)[0].count() < 1.2 * n
-    mostly = F.when(F.col("doc_id") % 1000 == 0, F.col("doc_id")).otherwise(-1)  # one large component, 20 others
-    assert minhash._blocks(members.withColumn("component", mostly), nodes, n)[0].count() < 1.2 * n
+    shared = minhash._shared(nodes, n)
+    assert shared.count() == n and minhash._first_blocks(shared, nodes).count() < 1.2 * n
+    stars = nodes.where("doc_id % 1000 <> 0").select(F.col("doc_id").alias("node"), F.lit(-1).cast("long").alias("component"))  # one large component, 20 others
+    assert minhash._blocks(shared, stars, nodes, n)[0].count() < 1.2 * n
 
 
 @pytest.mark.parametrize("many", [1 << 20, 0])
