@@ -132,16 +132,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     Blocks of about block_bytes of different benchmark texts and ids are broadcast, one after the other; a single text
     may be larger."""
     spark = docs.sparkSession
-    items = benchmark.where("text <> ''").select(F.col("item_id").cast("string").alias("id"), "text").groupBy("text").agg(F.collect_set("id").alias("ids"))
-    items = stored(items, "benchmark")
-    total = items.agg(F.sum(F.octet_length("text") + ID_BYTES * F.size("ids"))).first()[0] or 0
+    pairs = stored(benchmark.where("text <> ''").select(F.col("item_id").cast("string").alias("id"), "text").distinct(), "benchmark")
+    total = ID_BYTES * pairs.count() + (pairs.select("text").distinct().agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     blocks = 1 if total <= block_bytes else int(2 * total // block_bytes + 1)  # half full, as a hash deals them
+    # the ids of a text that very many items share go into several blocks
+    part = F.pmod(F.xxhash64(F.coalesce("id", F.lit(""))), F.lit(blocks)).alias("part")
+    items = stored(pairs.groupBy("text", part).agg(F.collect_set("id").alias("ids")), "items")
     out = plain(docs.select(*map(own, keep))).select("*", *(F.lit(None).cast(t).alias(n) for n, t in zip(NAMES, ("long", "binary", "array<string>"), strict=True)))
     for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k) if blocks > 1 else items
+        block = items.where(F.pmod(F.xxhash64("text", "part"), F.lit(blocks)) == k) if blocks > 1 else items
         shared = spark.sparkContext.broadcast(Index(block.toArrow()))
         out = out.mapInArrow(_block(shared), out.schema)
-    dropped(items)
+    for table in (pairs, items):
+        dropped(table)
     return out.toDF(*keep, *names)
 
 
