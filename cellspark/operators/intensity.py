@@ -40,12 +40,14 @@ def dims_shape(lines: DataFrame) -> DataFrame:
 
 
 def stacked(*frames: DataFrame) -> DataFrame:
-    """Union of recordings; rows raise an error when planes differ in width."""
+    """Union of recordings; rows raise an error when planes differ in height or width."""
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
-    widths = out.agg(F.count_distinct("width").alias("widths"))
-    return out.crossJoin(F.broadcast(widths)).withColumn("width", F.when(F.col("widths") == 1, F.col("width")).otherwise(F.raise_error(F.lit("planes differ in shape")).cast("int"))).drop("widths")
+    planes = out.groupBy(*PLANE).agg(F.struct(F.max("y").alias("y"), F.min("width").alias("low"), F.max("width").alias("high")).alias("shape"))
+    shapes = planes.agg(F.count_distinct("shape").alias("shapes"), F.max(F.col("shape.high") - F.col("shape.low")).alias("uneven"))
+    same = (F.col("shapes") == 1) & (F.col("uneven") == 0)
+    return out.crossJoin(F.broadcast(shapes)).withColumn("width", F.when(same, F.col("width")).otherwise(F.raise_error(F.lit("planes differ in shape")).cast("int"))).drop("shapes", "uneven")
 
 
 def crop(lines: DataFrame, y0: int, y1: int, x0: int, x1: int) -> DataFrame:

@@ -156,8 +156,9 @@ def test_dims_of_a_mosaic(spark):
 def test_stacked_planes_must_have_one_shape(spark):
     a, b = lines_of(spark, [np.zeros((2, 4))]), lines_of(spark, [np.zeros((2, 5))])
     assert im.stacked(a, a).count() == 4
-    with pytest.raises(Exception, match="differ in shape"):
-        im.stacked(a, b).collect()
+    for other in (b, lines_of(spark, [np.zeros((3, 4))])):
+        with pytest.raises(Exception, match="differ in shape"):
+            im.stacked(a, other.withColumn("replicate", F.lit(2))).collect()
 
 
 def test_plane_files_round_trip(spark, tmp_path):
