@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..plans.lineage import cut
+from ..plans.lineage import cut, dropped
 
 #: Lengths of cell barcode and molecular tag by kit.
 KITS = {"3prime:v3": (16, 12), "3prime:v2": (16, 10), "5prime:v1": (16, 10)}
@@ -20,8 +20,9 @@ def extract_barcodes(reads: DataFrame, kit: str = "3prime:v3") -> DataFrame:
 
 
 def tag_sample_barcode(reads: DataFrame, conditions: DataFrame) -> DataFrame:
-    """Reads with the condition that their barcode stands for (conditions: barcode, condition, a small table); others go."""
-    return reads.join(F.broadcast(conditions.select("barcode", "condition")), "barcode")
+    """Reads with the condition that their barcode stands for (conditions: barcode, condition); others go. Spark broadcasts
+    conditions where their size is known to be small, and shuffles otherwise."""
+    return reads.join(conditions.select("barcode", "condition"), "barcode")
 
 
 def with_cells(expression: DataFrame, cells: DataFrame) -> DataFrame:
@@ -130,17 +131,20 @@ def pseudotime(graph: DataFrame, root: int, cells: DataFrame | None = None, roun
     """(id, pseudotime): shortest-path length from the root over the neighbour graph (both ways), scaled to 0..1.
 
     Every id of cells (of the graph, if not given) has a row; what the root does not reach has null. Paths grow by so many
-    steps between two checkpoints, until none gets shorter."""
+    steps between two tables, until none gets shorter."""
     edges = graph.select(F.col("id").alias("a"), F.col("neighbour").alias("b"), F.sqrt("d2").alias("d"))
     edges = cut(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).groupBy("a", "b").agg(F.min("d").alias("d")))
     every = cells.select("id").distinct() if cells is not None else edges.select(F.col("a").alias("id")).distinct()
     now = every.where(F.col("id") == root).withColumn("dist", F.lit(0.0))
-    mark = None
+    mark = last = None
     while True:
         for _ in range(rounds):
             step = now.join(edges, now["id"] == edges["a"]).select(F.col("b").alias("id"), (F.col("dist") + F.col("d")).alias("dist"))
             now = now.union(step).groupBy("id").agg(F.min("dist").alias("dist"))
-        now = cut(now)
+        before, now = last, cut(now)
+        if before is not None:
+            dropped(before)
+        last = now
         after = now.agg(F.count("*"), F.sum(F.xxhash64("id", "dist").cast("decimal(20,0)"))).first()
         if after == mark:
             break

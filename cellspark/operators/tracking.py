@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import kernels
-from ..plans.lineage import cut
+from ..plans.lineage import cut, dropped
 from .graph import components
 
 
@@ -91,15 +91,19 @@ def track_key(t, i):
 
 def assign_track_ids(objects: DataFrame, links: DataFrame, rounds: int | None = None) -> DataFrame:
     """(movie, t, ID, track_id): the track is its first object's (t, ID), found by pointer doubling, in as many rounds as
-    the number of frames has bits; each round is a checkpoint."""
+    the number of frames has bits; each round is a table."""
     key = track_key
     back = links.select("movie", key(F.col("t") + 1, F.col("b")).alias("k"), key(F.col("t"), F.col("a")).alias("p"))
     now = objects.select("movie", "t", "ID", key(F.col("t"), F.col("ID")).alias("k")).join(back, ["movie", "k"], "left").select("movie", "t", "ID", "k", F.coalesce("p", "k").alias("p"))
     if rounds is None:
         first, last = objects.agg(F.min("t"), F.max("t")).first()
         rounds = max(1, ((last or 0) - (first or 0)).bit_length())
+    before = None
     for _ in range(rounds):
         now = cut(now)
+        if before is not None:
+            dropped(before)
+        before = now
         up = now.select("movie", F.col("k").alias("p"), F.col("p").alias("pp"))
         now = now.join(up, ["movie", "p"]).select("movie", "t", "ID", "k", F.col("pp").alias("p"))
     return now.select("movie", "t", "ID", F.col("p").alias("track_id"))
@@ -208,6 +212,7 @@ def lineage(tracks: DataFrame, splits: DataFrame) -> DataFrame:
     for _ in range(now.count().bit_length()):  # no chain is longer than that
         up = now.select("movie", F.col("track_id").alias("root"), F.col("root").alias("above"))
         after = cut(now.join(up, ["movie", "root"]).select("movie", "track_id", "parent", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved")))
+        dropped(now)
         now = after.drop("moved")
         if not after.where("moved").head(1):
             break

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -10,12 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir. Only a local master, as in tests, gets one of our own where that is
-    unset; on a cluster no machine's folder would do, so that is an error."""
+    unset, which goes when the process ends; on a cluster no machine's folder would do, so that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="cellspark-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
     return base
 
@@ -24,9 +27,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the shared folder."""
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """df as a table in the shared folder, written and read back.
+
+    Lineage ends there, also for the optimizer: sizes of what follows are estimated from the files. A checkpoint would
+    keep the estimate of its plan, which joins multiply from round to round."""
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+    path = new_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables made by cut() that no later step reads."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
