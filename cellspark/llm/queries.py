@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, merkle, minhash, ngram, packing, quality, secrets, substring, toxicity, warc
+from . import alignment, decontaminate, merkle, minhash, ngram, packing, quality, secrets, shallot, substring, token_count, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,11 +51,38 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_substring, op4_toxicity, op5_warc, op6_ngram, op7_merkle, op8_minhash, op9_packing, op10_secrets)}
+def op11_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.counted(_table(spark, sf_dir, "documents"))
+
+
+def op12_shallot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shallot.clusters(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_substring, op4_toxicity, op5_warc, op6_ngram, op7_merkle, op8_minhash, op9_packing, op10_secrets, op11_token_count, op12_shallot, op13_alignment)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM, _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x20\x09-\x0D]+"
 
+
+
+def _rounds_sql(k: int, rounds: int) -> str:
+    """Rounds of k-means as tables c0, a0, c1, a1, and so on: centroids (j, x) and assignments (vec_id, x, d, j)."""
+    nearest = "a{r} AS MATERIALIZED (SELECT n, vec_id, x, (m).d d, (m).j j FROM (SELECT n, vec_id, v.x, min(struct_pack(d := CAST(list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), j := j)) m FROM v CROSS JOIN c{r} c GROUP BY ALL))"
+    moved = """s{r} AS (SELECT j, i, SUM(e) s, COUNT(*) n FROM (SELECT j, unnest(x) e, unnest(generate_series(1, 64)) i FROM a{q}) GROUP BY j, i),
+c{r} AS MATERIALIZED (SELECT j, coalesce(m.x, c.x) x FROM c{q} c LEFT JOIN (SELECT j, list(CAST((s - (s % n + n) % n) // n AS BIGINT) ORDER BY i) x FROM s{r} GROUP BY j) m USING (j))"""
+    parts = [f"""v AS MATERIALIZED (SELECT row_number() OVER () n, vec_id, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) x FROM embeddings
+WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), x) - 1 j, x FROM v QUALIFY j < {k})""", nearest.format(r=0)]
+    for r in range(1, rounds + 1):
+        parts += [moved.format(r=r, q=r - 1), nearest.format(r=r)]
+    return "WITH " + ",\n".join(parts)
+
+
 #: The same rows in DuckDB's SQL, for the queries whose whole result SQL can express.
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": f"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOW}, '{_ALNUM}') w FROM documents),
@@ -82,4 +109,6 @@ n AS (SELECT doc_id, COUNT(*) n FROM sh GROUP BY 1),
 e AS (SELECT a, b FROM (SELECT x.doc_id a, y.doc_id b, COUNT(*) c FROM sh x JOIN sh y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2) JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
 r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT doc_id, coalesce(n, 0) n_shingles, component_id, doc_id = component_id kept FROM d JOIN (SELECT a doc_id, MIN(b) component_id FROM r GROUP BY 1) USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    "op12_shallot": f"""{_rounds_sql(40, 5)}
+SELECT vec_id, CAST(j AS INT) AS "cluster", d AS distance, CAST(SUM(d) OVER (PARTITION BY j) AS BIGINT) cluster_inertia, CAST(SUM(d) OVER () AS BIGINT) inertia, h centroid_sha256 FROM a5 JOIN (SELECT j, sha256(array_to_string(x, ',')) h FROM c5) USING (j)""",
 }
