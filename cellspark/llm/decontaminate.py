@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import ALNUM, Words, isin_sorted, ngrams, slices, unpacked, within
+from .arrays import ALNUM, Words, isin_sorted, mix, ngrams, slices, unpacked, within
 from .names import own, plain
 from .store import dropped, stored
 
@@ -25,6 +25,8 @@ WINDOW = SPAN - GRAM + 1
 BLOCK_BYTES = 32 << 20
 #: What an item's id counts for in a block.
 ID_BYTES = 32
+#: (document, text) pairs that are put together at once.
+AT_ONCE = 1 << 20
 
 
 def winnowed(grams: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -40,8 +42,30 @@ def winnowed(grams: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return np.unique(at[doc[:size] == doc[SPAN - 1 : SPAN - 1 + size]])
 
 
+def _texts_of(keys: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Different keys in order, the set of texts of each, and the sets: where each begins and their texts.
+
+    Keys with the same texts have the same set; sets are told apart by 64-bit sums of hashes."""
+    order = np.lexsort((text, keys))
+    keys, text = keys[order], text[order]
+    new = np.append(True, (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])) if len(keys) else np.zeros(0, bool)
+    keys, text = keys[new], text[new]
+    different, first, size = np.unique(keys, return_index=True, return_counts=True)
+    sums = np.add.reduceat(mix(text.astype(np.uint64) + np.uint64(1)), first) if len(first) else np.zeros(0, np.uint64)
+    _, one, which = np.unique(sums, return_index=True, return_inverse=True)
+    begin = np.append(0, np.cumsum(size[one]))
+    return different, which, begin, text[_ranges(first[one], size[one])]
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of ranges, one after the other."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
 class Index:
-    """Fingerprints and windows of a block of different benchmark texts, with the ids of the items that have each."""
+    """Fingerprints and windows of a block of different benchmark texts, and the texts that each window is in.
+
+    A window that occurs a thousand times in a text, or in a thousand texts, is there once, with the set of its texts."""
 
     def __init__(self, items: pa.Table):
         column = items.column("text").combine_chunks()
@@ -49,44 +73,42 @@ class Index:
         self.ids = items.column("ids").to_pylist()
         words = Words(column, ALNUM, lower=True)
         hashes, doc = words.hashes(), words.doc
-        grams, self.spans = ngrams(hashes, GRAM), ngrams(hashes, SPAN)
-        self.whole = within(doc, SPAN)
-        at = winnowed(grams, doc)
-        order = np.argsort(grams[at], kind="stable")
-        self.at, self.doc = at[order], doc
-        self.prints, self.first = np.unique(grams[self.at], return_index=True)
-        self.last = np.append(self.first[1:], len(self.at))
-        self.short = {}
-        for n in np.unique(words.counts[(words.counts > 0) & (words.counts < SPAN)]):
+        self.prints = np.unique((grams := ngrams(hashes, GRAM))[winnowed(grams, doc)])
+        whole = within(doc, SPAN)
+        #: By length of window: different windows, their sets, and the sets' texts.
+        self.windows = {SPAN: _texts_of(ngrams(hashes, SPAN)[whole], doc[: len(whole)][whole])}
+        for n in np.unique(words.counts[(words.counts > 0) & (words.counts < SPAN)]).tolist():
             own = np.flatnonzero(words.counts == n)
-            keys = ngrams(hashes, n)[words.first[own]]
-            order = np.argsort(keys, kind="stable")
-            self.short[int(n)] = keys[order], own[order]
+            self.windows[n] = _texts_of(ngrams(hashes, n)[words.first[own]], own)
 
     def hits(self, words: Words) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
-        """(places, length, items): windows of documents that are windows of items."""
+        """(places, length, sets): windows of documents that are windows of items, each place once."""
         hashes, doc = words.hashes(), words.doc
-        grams = ngrams(hashes, GRAM)
-        at = winnowed(grams, doc)
-        found, k = isin_sorted(grams[at], self.prints)
-        at, k = at[found], k[found]
-        if len(at):  # each hit is compared at every window that its 5-gram lies in
-            times = self.last[k] - self.first[k]
-            here = np.repeat(at, times)
-            there = self.at[np.repeat(self.first[k], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
-            spans, whole = ngrams(hashes, SPAN), within(doc, SPAN)
-            for back in range(WINDOW):
-                p, q = here - back, there - back
-                fits = (p >= 0) & (q >= 0) & (p < len(spans)) & (q < len(self.spans))
-                p, q = p[fits], q[fits]
-                same = (spans[p] == self.spans[q]) & whole[p] & self.whole[q]
-                yield p[same], SPAN, self.doc[q[same]]
-        for n, (keys, own) in self.short.items():
-            grams = ngrams(hashes, n)
-            from_, to = np.searchsorted(keys, grams), np.searchsorted(keys, grams, "right")
-            p = np.flatnonzero((to > from_) & within(doc, n))
-            times = (to - from_)[p]
-            yield np.repeat(p, times), n, own[np.repeat(from_[p], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+        for n, (windows, which, _, _) in self.windows.items():
+            inside = within(doc, n)
+            if n == SPAN:  # a fingerprint that both sides keep is extended to every window that it lies in
+                grams = ngrams(hashes, GRAM)
+                at = winnowed(grams, doc)
+                at = at[isin_sorted(grams[at], self.prints)[0]]
+                places = np.unique((at[:, None] - np.arange(WINDOW)).ravel())
+                places = places[(places >= 0) & (places < len(inside))]
+                places = places[inside[places]]
+            else:
+                places = np.flatnonzero(inside)
+            found, k = isin_sorted(ngrams(hashes, n)[places], windows)
+            yield places[found], n, which[k[found]]
+
+    def texts(self, n: int, doc: np.ndarray, sets: np.ndarray) -> np.ndarray:
+        """Different (document, text) of documents and the sets found in them, put together in pieces of bounded size."""
+        _, _, begin, text = self.windows[n]
+        pairs = np.unique(np.stack([doc, sets], 1), axis=0)
+        size = begin[pairs[:, 1] + 1] - begin[pairs[:, 1]]
+        done, at, total = np.zeros((0, 2), np.int64), 0, np.append(0, np.cumsum(size))
+        while at < len(pairs):
+            to = max(at + 1, int(np.searchsorted(total, total[at] + AT_ONCE, "right")) - 1)
+            new = np.stack([np.repeat(pairs[at:to, 0], size[at:to]), text[_ranges(begin[pairs[at:to, 1]], size[at:to])]], 1)
+            done, at = np.unique(np.concatenate([done, new]), axis=0), to
+        return done
 
 
 def _block(shared):
@@ -96,13 +118,13 @@ def _block(shared):
             for part in slices(batch):
                 words = Words(part.column("text"), ALNUM, lower=True)
                 doc, hit = words.doc, np.zeros(words.n + 1, np.int64)
-                pairs = []
-                for places, n, items in index.hits(words):
+                pairs = [np.zeros((0, 2), np.int64)]
+                for places, n, sets in index.hits(words):
                     np.add.at(hit, places, 1)
                     np.subtract.at(hit, places + n, 1)
-                    pairs.append(np.stack([doc[places], items], 1))
+                    pairs.append(index.texts(n, doc[places], sets))
                 hit = np.cumsum(hit)[:-1] > 0
-                pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
+                pairs = np.unique(np.concatenate(pairs), axis=0)
                 edges = np.searchsorted(pairs[:, 0], np.arange(words.docs + 1))
                 before_hits, before_items = (c.to_pylist() for c in part.columns[-2:])
                 hits, items = [], []
@@ -130,7 +152,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     and no hits; empty items match nothing; items of equal text are indexed once and all count; items of equal id are one;
     an item without id hits but is not listed; other columns of either table are ignored. No benchmark: no hits.
     Blocks of about block_bytes of different benchmark texts and ids are broadcast, one after the other; a single text
-    may be larger."""
+    may be larger. What one block finds is a table that the next one reads, so that one index at a time is held."""
     spark = docs.sparkSession
     pairs = stored(benchmark.where("text <> ''").select(F.col("item_id").cast("string").alias("id"), "text").distinct(), "benchmark")
     total = ID_BYTES * pairs.count() + (pairs.select("text").distinct().agg(F.sum(F.octet_length("text"))).first()[0] or 0)
@@ -142,7 +164,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("text", "part"), F.lit(blocks)) == k) if blocks > 1 else items
         shared = spark.sparkContext.broadcast(Index(block.toArrow()))
-        out = out.mapInArrow(_block(shared), out.schema)
+        found = out.mapInArrow(_block(shared), out.schema)
+        if blocks > 1:
+            before, found = out, stored(found, "hits")
+            shared.destroy()
+            if k:
+                dropped(before)
+        out = found
     for table in (pairs, items):
         dropped(table)
     return out.toDF(*keep, *names)
