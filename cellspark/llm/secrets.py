@@ -110,7 +110,7 @@ def trained(docs: DataFrame) -> list[float]:
     """The log-likelihood ratio of each pair of CHARACTERS, learned from the samples of all documents; 0 where nothing is known.
 
     What reaches the driver are two tables of N * N counts at most."""
-    pairs = F.transform(F.sequence(F.lit(1), F.length("v") - 1), lambda i: F.substring("v", i, F.lit(2)))
+    pairs = _let(F.split("v", ""), lambda c: F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), lambda a, b: F.concat(a, b)))
     rows = samples(docs).select("random", F.explode(pairs).alias("pair"), "n").groupBy("random", "pair").agg(F.sum("n").alias("n")).collect()
     tables = {k: [[0.0] * N for _ in range(N)] for k in (True, False)}
     for r in rows:
@@ -132,7 +132,7 @@ def trained(docs: DataFrame) -> list[float]:
 def ratio(value: Column, model: list[float]) -> Column:
     """Summed log-likelihood ratio of the pairs of a value; positive where it looks random."""
     table = F.split(F.lit(",".join(f"{x:.4f}" for x in model)), ",").cast("array<double>")
-    place = F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.instr(F.lit(CHARACTERS), F.substring(value, i, F.lit(1))))
+    place = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(CHARACTERS), c))
     score = lambda a, b: F.when((a > 0) & (b > 0), F.element_at(table, (a - 1) * N + b)).otherwise(F.lit(0.0))
     step = lambda acc, b: F.struct(b.alias("last"), (acc["sum"] + score(acc["last"], b)).alias("sum"))
     return F.aggregate(place, F.struct(F.lit(0).alias("last"), F.lit(0.0).alias("sum")), step, lambda acc: acc["sum"])
@@ -164,6 +164,29 @@ def secrets(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
     return out.select("doc_id", size("assign"), size("access"), size("hex"), F.sha2(_joined(F.col("found.base")), 256).alias("base_sha256"), _joined(F.col("found.spans")).alias("spans"))
 
 
+def _without(text: Column, spans: Column, mark: str) -> Column:
+    """text with mark for each of its spans (start, end), which are in order; those that begin before an earlier one's end share its mark.
+
+    A piece of text goes from the largest end so far to a span's start. Spans are worked through in blocks, about as many
+    as a block has spans: the largest end before a span is that before its block or inside it, and a block's pieces are cut
+    from the block's part of the text, so that no span walks through the whole text or all other spans."""
+    size = F.ceil(F.sqrt(F.size(spans))).cast("int")
+    most = lambda ends, k, low: F.greatest(low, F.coalesce(F.array_max(F.slice(ends, F.lit(1), k)), low))
+
+    def cut_out(blocks: Column) -> Column:
+        tops = F.transform(blocks, lambda b: F.array_max(b["end"]))
+        # the largest end before each block, and at last that of all
+        return _let(_let(tops, lambda ts: F.transform(F.sequence(F.lit(0), F.size(ts)), lambda k: most(ts, k, F.lit(0)))), lambda low: F.concat(F.array_join(F.transform(blocks, lambda b, k: one(b, F.get(low, k), F.get(low, k + 1))), ""), F.substring(text, F.element_at(low, -1) + 1, F.length(text))))
+
+    def one(block: Column, low: Column, high: Column) -> Column:
+        own = F.substring(text, low + 1, high - low)
+        piece = lambda part, s, before: F.when(s["start"] >= before, F.concat(F.substring(part, before - low + 1, s["start"] - before), F.lit(mark))).otherwise(F.lit(""))
+        return _let(own, lambda part: F.array_join(F.transform(block, lambda s, i: _let(most(block["end"], i, low), lambda before: piece(part, s, before))), ""))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / size).cast("int")), lambda b: F.slice(spans, b * size + 1, size))
+    return _let(blocks, cut_out)
+
+
 def redacted(docs: DataFrame, model: list[float] | None = None, mark: str = "[SECRET]") -> DataFrame:
     """docs with every span of its text replaced by mark (spans that overlap by one), and n_chars brought up to date.
 
@@ -171,12 +194,7 @@ def redacted(docs: DataFrame, model: list[float] | None = None, mark: str = "[SE
     name = fresh(docs.columns, "found")
     out = scanned(docs, trained(docs.select("text")) if model is None else model, name)
     spans = own(name)["spans"]
-    piece = lambda a, b: F.substring("text", a + 1, b - a)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("done"))
-    step = lambda acc, s: F.when(
-        s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["done"], F.array(piece(acc["at"], s["start"]), F.lit(mark))).alias("done"))
-    ).otherwise(F.struct(F.greatest(s["end"], acc["at"]).alias("at"), acc["done"].alias("done")))
-    clean = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["done"], ""), F.substring("text", acc["at"] + 1, F.length("text"))))
+    clean = _without(F.col("text"), F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))), mark)
     some = F.size(spans) > 0
     out = out.withColumn("text", F.when(some, clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
