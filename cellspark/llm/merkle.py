@@ -185,5 +185,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row of docs.
 
     A null text reads as empty; a single document follows itself; rows that share a doc_id follow one another in order
-    of text; rows without doc_id are left out, having no place in the order. Other columns are ignored."""
-    return with_following(docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()), _report, REPORT)
+    of text; rows without doc_id have no place in the order: an empty text follows each of them. Other columns are ignored."""
+    docs = docs.select("doc_id", "text")
+
+    def alone(batches):
+        for batch in batches:
+            for part in slices(batch):
+                yield _report([(None, text or "", "") for text in part.column("text").to_pylist()])
+
+    without = docs.where("doc_id is null").select("text").mapInArrow(alone, REPORT)
+    return with_following(docs.where("doc_id is not null"), _report, REPORT).union(without)

@@ -242,7 +242,10 @@ def test_merkle(spark, rows, nothing):
         for i in ids:
             assert prints.setdefault(text[i] or "", out[i]["fingerprint"]) == out[i]["fingerprint"]
         assert len(set(prints.values())) == len(prints)
-    assert merkle.fingerprints(docs).count() == len(rows) and merkle.fingerprints(nothing).count() == 0
+    assert merkle.fingerprints(docs).count() == len(rows) + 1 and merkle.fingerprints(nothing).count() == 0
+    lone = merkle.fingerprints(docs).where("doc_id is null").collect()
+    t = "no place in the order"
+    assert [(r["n_chars"], r["fingerprint"], r["edited_sha256"], r["near_next"]) for r in lone] == [(len(t), merkle.fingerprint(t), hashlib.sha256(t[: len(t) - len(t) // 3].encode()).hexdigest(), 0.0)]
 
 
 def test_merkle_leaves_tile_the_text(rows):
