@@ -11,7 +11,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,9 @@ from .token_count import byte_letters
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Segments, and bytes of them, that a worker remembers.
-REMEMBERED, REMEMBERED_BYTES = 300_000, 32 << 20
+REMEMBERED, REMEMBERED_BYTES = 500_000, 32 << 20
+#: Segments that the first tokenizer encodes at once.
+JOINED = 1 << 13
 #: Id pairs whose counts are broadcast, those that occur most; links that are counted at once.
 HOT, AT_ONCE = 1 << 19, 1 << 21
 #: Where a text is cut: before a single space that something else than white space follows. Neither tokenizer has a token
@@ -51,8 +53,33 @@ class Letters:
         for token, k in self.own.get_vocab().items():
             self.bytes[k] = bytes(to_byte[c] for c in token) if all(c in to_byte for c in token) else b""
 
-    def ids(self, segments: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.own.encode_batch_fast(segments, add_special_tokens=False)]
+        self.sizes = np.array([len(x) for x in self.bytes], np.int64)
+
+    def ids(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of segments, one segment after the other, and the number of each one's.
+
+        Segments that go on from a space with something else than white space are joined and encoded together, as a cut
+        before each of them changes nothing; the ids' bytes tell whose they are. Others go alone."""
+        alone = [k for k, s in enumerate(segments) if len(s) < 2 or s[1].isspace()]
+        n = np.zeros(len(segments), np.int64)
+        single = [np.array(e.ids, np.int64) for e in self.own.encode_batch_fast([segments[k] for k in alone], add_special_tokens=False)]
+        n[alone] = [len(x) for x in single]
+        regular = np.ones(len(segments), bool)
+        regular[alone] = False
+        rest = list(compress(segments, regular.tolist())) if alone else segments
+        flat, sizes = [np.zeros(0, np.int64)], []
+        for at in range(0, len(rest), JOINED):
+            part = rest[at : at + JOINED]
+            ids = np.array(self.own.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.int64)
+            edges = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(s.encode()) for s in part])) + 1
+            flat.append(ids)
+            sizes.append(np.diff(edges, prepend=0))
+        n[regular] = np.concatenate([np.zeros(0, np.int64), *sizes])
+        if not alone:
+            return np.concatenate(flat), n
+        out, theirs = np.empty(n.sum(), np.int64), np.repeat(regular, n)
+        out[theirs], out[~theirs] = np.concatenate(flat), np.concatenate(single)
+        return out, n
 
 
 class Pieces:
@@ -68,26 +95,45 @@ class Pieces:
                 raise ValueError(f"{path}: a piece goes on after a space, so texts cannot be cut there")
             self.bytes.append(bytes([int(piece[3:5], 16)]) if self.own.is_byte(k) else piece.replace("▁", " ").encode())
 
-    def ids(self, segments: list[str]) -> list[list[int]]:
-        return self.own.encode([s[1:] for s in segments], num_threads=1)
+        self.sizes = np.array([len(x) for x in self.bytes], np.int64)
 
+    def ids(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of segments, one segment after the other, and the number of each one's."""
+        found = self.own.encode([s[1:] for s in segments], num_threads=1)
+        return np.fromiter(chain.from_iterable(found), np.int64), np.array([len(x) for x in found], np.int64)
 
-def groups_of(a_sizes: list[int], b_sizes: list[int]) -> list[tuple[int, int, int, int]]:
-    """(first, end, first, end) of the tokens of both lists in each group, by the byte offsets where both have an end."""
-    a_at, b_at = ({end: k for k, end in enumerate(accumulate(sizes), 1)} for sizes in (a_sizes, b_sizes))
-    out, i, j = [], 0, 0
-    for end in sorted(a_at.keys() & b_at.keys()):
-        out.append((i, a_at[end], j, b_at[end]))
-        i, j = a_at[end], b_at[end]
-    return out
 
+def groups_of(a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each group the number of tokens of either list up to its end: the byte offsets where both lists have an end, looked
+    up in a dictionary from end to number."""
+    a_at, b_at = (dict(zip(accumulate(sizes.tolist()), range(1, len(sizes) + 1), strict=True)) for sizes in (a_sizes, b_sizes))
+    common = sorted(a_at.keys() & b_at.keys())
+    return tuple(np.fromiter(map(at.__getitem__, common), np.int64, len(common)) for at in (a_at, b_at))
+
+
+def group_links(a_sizes: np.ndarray, b_sizes: np.ndarray, a_to: np.ndarray, b_to: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, place, place) of the linked tokens of all groups, group by group.
+
+    Where a group has one token of either list, this one is linked with all of the other's; the rest are gone through side by side."""
+    a_from, b_from = np.append(0, a_to[:-1]), np.append(0, b_to[:-1])
+    n_a, n_b = a_to - a_from, b_to - b_from
+    plain = np.flatnonzero((n_a == 1) | (n_b == 1))
+    size = np.maximum(n_a, n_b)[plain]
+    group = np.repeat(plain, size)
+    step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    p, q = a_from[group] + np.where(n_a[group] > 1, step, 0), b_from[group] + np.where(n_b[group] > 1, step, 0)
+    rest = [(g, i, j) for g in np.flatnonzero((n_a > 1) & (n_b > 1)).tolist() for i, j in links_of(a_sizes, b_sizes, (int(a_from[g]), int(a_to[g]), int(b_from[g]), int(b_to[g])))]
+    if rest:
+        group, p, q = (np.concatenate([x, y]) for x, y in zip((group, p, q), np.array(rest, np.int64).T, strict=True))
+        order = np.argsort(group, kind="stable")
+        group, p, q = group[order], p[order], q[order]
+    return group, p, q
 
-def links_of(a_sizes: list[int], b_sizes: list[int], group: tuple[int, int, int, int]) -> list[tuple[int, int]]:
-    """Places of the tokens of a group whose bytes overlap."""
+
+def links_of(a_sizes: np.ndarray, b_sizes: np.ndarray, group: tuple[int, int, int, int]) -> list[tuple[int, int]]:
+    """Places of the tokens of a group (first, end, first, end) whose bytes overlap."""
     i, i_end, j, j_end = group
-    if i_end - i == 1 or j_end - j == 1:
-        return [(p, q) for p in range(i, i_end) for q in range(j, j_end)]
-    out, a_left, b_left = [], a_sizes[i], b_sizes[j]
+    out, a_left, b_left = [], int(a_sizes[i]), int(b_sizes[j])
     while True:
         out.append((i, j))
         step = min(a_left, b_left)
@@ -96,10 +142,10 @@ def links_of(a_sizes: list[int], b_sizes: list[int], group: tuple[int, int, int,
             i += 1
             if i == i_end:
                 return out
-            a_left = a_sizes[i]
+            a_left = int(a_sizes[i])
         if not b_left:
             j += 1
-            b_left = b_sizes[j]
+            b_left = int(b_sizes[j])
 
 
 class Aligner:
@@ -117,29 +163,51 @@ class Aligner:
         self.facts, self.begin = np.zeros((0, 4), np.int64), np.zeros(1, np.int64)
         self.links = np.zeros(0, np.int64)
 
+    def _spelled(self, segments: list[str]) -> tuple[list[str], tuple[np.ndarray, ...]]:
+        """Those segments that both tokenizers spell byte by byte, with the ids of either and their numbers."""
+        a, b = self.a.ids(segments), self.b.ids(segments)
+        joined = "".join(segments).encode()
+        if all(b"".join([t.bytes[k] for k in flat.tolist()]) == joined for t, (flat, _) in ((self.a, a), (self.b, b))):
+            return segments, (*a, *b)
+        parts = [np.split(flat, np.cumsum(n)[:-1]) for flat, n in (a, b)]
+        good = [s for s, *ids in zip(segments, *parts, strict=True) if all(b"".join([t.bytes[k] for k in x.tolist()]) == s.encode() for t, x in zip((self.a, self.b), ids, strict=True))]
+        return good, (*self.a.ids(good), *self.b.ids(good))
+
     def _learn(self, segments: list[str]) -> None:
-        facts, sizes, links = [], [], []
-        for s, a, b in zip(segments, self.a.ids(segments), self.b.ids(segments), strict=True):
-            a_bytes, b_bytes = [self.a.bytes[k] for k in a], [self.b.bytes[k] for k in b]
-            whole = s.encode()
-            if b"".join(a_bytes) != whole or b"".join(b_bytes) != whole:
-                facts.append((0, 0, 0, 0))
-                sizes.append(0)
-                self.texts.append("")
-                continue
-            a_sizes, b_sizes = list(map(len, a_bytes)), list(map(len, b_bytes))
-            groups, before = groups_of(a_sizes, b_sizes), len(links)
-            for g in groups:
-                links += [a[p] * self.b.size + b[q] for p, q in links_of(a_sizes, b_sizes, g)]
-            facts.append((len(a), len(b), len(groups), 1))
-            sizes.append(len(links) - before)
-            self.texts.append(";".join(f"{','.join(map(str, a[i:p]))}|{','.join(map(str, b[j:q]))}" for i, p, j, q in groups))
-        for s in segments:
-            self.place[s] = len(self.place)
-            self.bytes += len(s)
-        self.facts = np.concatenate([self.facts, np.array(facts, np.int64).reshape(-1, 4)])
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(np.array(sizes, np.int64))])
-        self.links = np.concatenate([self.links, np.array(links, np.int64)])
+        good, (a, n_a, b, n_b) = self._spelled(segments)
+        a_sizes, b_sizes = self.a.sizes[a], self.b.sizes[b]
+        a_to, b_to = groups_of(a_sizes, b_sizes)  # both lists have an end at the end of every segment
+        group, p, q = group_links(a_sizes, b_sizes, a_to, b_to)
+        owner = np.searchsorted(np.cumsum(n_a), a_to)  # of each group: its segment
+        n = len(good)
+        n_groups = np.bincount(owner, minlength=n)
+        n_links = np.bincount(owner[group], minlength=n)
+        texts = self._texts(a, a_to, b, b_to, n_groups)
+        facts = np.stack([n_a, n_b, n_groups, np.ones(n, np.int64)], 1) if n else np.zeros((0, 4), np.int64)
+        if n < len(segments):  # the others come last, and have nothing
+            known = set(good)
+            good = [*good, *(s for s in segments if s not in known)]
+            more = len(segments) - n
+            facts, n_links, texts = np.concatenate([facts, np.zeros((more, 4), np.int64)]), np.append(n_links, np.zeros(more, np.int64)), [*texts, *[""] * more]
+        self.place.update(zip(good, range(len(self.place), len(self.place) + len(good)), strict=True))
+        self.bytes += sum(map(len, good))
+        self.texts += texts
+        self.facts = np.concatenate([self.facts, facts])
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(n_links)])
+        self.links = np.concatenate([self.links, a[p] * self.b.size + b[q]])
+
+    @staticmethod
+    def _texts(a: np.ndarray, a_to: np.ndarray, b: np.ndarray, b_to: np.ndarray, n_groups: np.ndarray) -> list[str]:
+        """The groups of each segment, written out."""
+        x, y, out, i, j = list(map(str, a.tolist())), list(map(str, b.tolist())), [], 0, 0
+        for p, q in zip(a_to.tolist(), b_to.tolist(), strict=True):
+            out.append(f"{x[i]}|{y[j]}" if p - i == 1 and q - j == 1 else f"{','.join(x[i:p])}|{','.join(y[j:q])}")
+            i, j = p, q
+        at, texts = 0, []
+        for n in n_groups.tolist():
+            texts.append(";".join(out[at : at + n]))
+            at += n
+        return texts
 
     @staticmethod
     def segments(text: str) -> list[str]:
