@@ -38,7 +38,7 @@ def first_centroids(vectors: DataFrame, k: int = CENTROIDS, seed: int = SEED) ->
     """The k vectors with the smallest sha256 of `seed:vec_id`, in order of it; equal ids by their components. A null id is empty text."""
     name = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))), 256)
     rows = vectors.select(name.alias("h"), "x").orderBy("h", "x").limit(k).collect()
-    return np.array([r["x"] for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([r["x"] for r in rows], np.int64)
 
 
 def _squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -103,9 +103,13 @@ class Search:
 STATE = "x array<int>, a int, b int, upper double, lower double"
 
 
+def _vectors(batch: pa.RecordBatch) -> np.ndarray:
+    flat = batch.column("x").flatten().to_numpy().astype(np.int64)
+    return flat.reshape(batch.num_rows, len(flat) // max(batch.num_rows, 1))
+
+
 def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    x = batch.column("x").flatten().to_numpy().astype(np.int64).reshape(batch.num_rows, -1)
-    return x, *(batch.column(c).to_numpy(zero_copy_only=False).copy() for c in ("a", "b", "upper", "lower"))
+    return _vectors(batch), *(batch.column(c).to_numpy(zero_copy_only=False).copy() for c in ("a", "b", "upper", "lower"))
 
 
 def _assigned(vectors: DataFrame, centroids: np.ndarray, moved: np.ndarray | None, kind: str) -> DataFrame:
@@ -133,7 +137,7 @@ def _sums(vectors: DataFrame, dimensions: int) -> dict[int, tuple[int, np.ndarra
         n: dict[int, int] = {}
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            x, a = batch.column("x").flatten().to_numpy().astype(np.int64).reshape(batch.num_rows, -1), batch.column("a").to_numpy()
+            x, a = _vectors(batch), batch.column("a").to_numpy()
             for k in np.unique(a).tolist():
                 own = x[a == k]
                 n[k], sums[k] = n.get(k, 0) + len(own), sums.get(k, 0) + own.sum(0)
@@ -182,7 +186,7 @@ def _with_distance(vectors: DataFrame, centroids: np.ndarray, kind: str) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a = batch.column("a").to_numpy()
-            x = batch.column("x").flatten().to_numpy().astype(np.int64).reshape(batch.num_rows, -1)
+            x = _vectors(batch)
             d = [_squares(x[i : i + AT_ONCE], centroids[a[i : i + AT_ONCE]]) for i in range(0, len(a), AT_ONCE)]
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("a"), pa.array(np.concatenate([np.zeros(0, np.int64), *d]))], ["vec_id", "cluster", "distance"])
 
