@@ -140,3 +140,117 @@ def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
         while j:
             match[j], j = match[way[j]], way[j]
     return [(int(match[j]) - 1, j - 1) for j in range(1, m + 1) if match[j]]
+
+
+def sparse_assignment(row: np.ndarray, column: np.ndarray, cost: np.ndarray, alone: np.ndarray) -> np.ndarray:
+    """For each of len(alone) rows the number of its pair (row, column, cost), or -1: pairs that share no row or column, of
+    least total cost, where a row without pair costs its alone. Shortest augmenting paths over the rows' lists of pairs;
+    memory grows with the pairs. Each row may end in a column of its own, at the cost alone. Ties go to the smaller column."""
+    n, m = len(alone), int(column.max(initial=-1)) + 1
+    order = np.lexsort((column, row))
+    first = np.searchsorted(row[order], np.arange(n + 1)).tolist()
+    edges = order.tolist()
+    to, price_of, alone = column.tolist(), cost.tolist(), alone.tolist()
+    price: dict[int, float] = {}
+    owner: dict[int, int] = {}  # of a column: its row
+    used = [-1] * n  # of a row: its pair
+    for start in range(n):
+        best: dict[int, float] = {}
+        came: dict[int, tuple[int, int]] = {}  # of a column: the row and pair that it was reached by
+        heap: list[tuple[float, int]] = []
+        done: list[int] = []
+        closed: set[int] = set()
+        i, base = start, 0.0  # base: what a pair's cost less its column's price is set off against
+        while True:
+            for e in (*edges[first[i] : first[i + 1]], -1):
+                j, c = (to[e], price_of[e]) if e >= 0 else (m + i, alone[i])
+                if j not in closed and (d := base + c - price.get(j, 0.0)) < best.get(j, np.inf):
+                    best[j], came[j] = d, (i, e)
+                    heapq.heappush(heap, (d, j))
+            while True:
+                d, j = heapq.heappop(heap)
+                if j not in closed and d == best[j]:
+                    break
+            closed.add(j)
+            if j not in owner:
+                break
+            done.append(j)
+            i = owner[j]
+            e = used[i]
+            base = d - ((price_of[e] if e >= 0 else alone[i]) - price.get(j, 0.0))
+        for k in done:
+            price[k] = price.get(k, 0.0) + best[k] - d
+        while True:
+            i, e = came[j]
+            before = (to[used[i]] if used[i] >= 0 else m + i) if i != start else None
+            owner[j], used[i] = i, e
+            if before is None:
+                break
+            j = before
+    return np.array(used, np.int64)
+
+
+def best_families(parent: np.ndarray, child: np.ndarray, link: np.ndarray, divide: np.ndarray, start: np.ndarray, end: np.ndarray, division: float) -> tuple[list[tuple[int, bool]], float]:
+    """The consistent set of hypotheses of least cost: pairs (number of the pair, whether it is one of a division), and the cost.
+
+    A child starts by itself, at its start, or has one parent; a parent ends, at its end, or goes on in one child (link), or in
+    two (the divide of both, and division). Costs may be infinite. Each parent is first given two places for children, each at no
+    more than it costs in either way, which an assignment fills; where it fills them as no parent can, both ways are
+    followed, the cheaper bound first, as long as the bound is below the best set so far. The result is exact. Where link and
+    divide are equal the first assignment is the answer; the further they differ, the more is followed."""
+    n, m = len(start), len(end)
+    one, also, two = link - end[parent], divide - end[parent], divide + division
+    big = 1 + 4 * (np.abs(np.concatenate([x[np.isfinite(x)] for x in (one, also, two, start)])).sum() if n else 0)
+
+    def solved(mode: np.ndarray):
+        """Lower bound for parents of modes free (0), one child or none (1), two children (2); the pairs used, by place."""
+        own = mode[parent]
+        first = np.select([own == 0, own == 1], [np.minimum(one, also), one], also - big)
+        second = np.select([own == 0, own == 1], [two, np.full(len(two), np.inf)], two - big)
+        cost = np.concatenate([first, second])
+        open_ = np.flatnonzero(np.isfinite(cost))
+        at = open_ % max(len(parent), 1)
+        used = sparse_assignment(child[at], parent[at] + m * (open_ >= len(parent)), cost[open_], start)
+        used = [int(open_[e]) for e in used if e >= 0]
+        free = np.ones(n, bool)
+        free[[child[e % len(parent)] for e in used]] = False
+        bound = float(sum(cost[e] + (big if own[e % len(parent)] == 2 else 0) for e in used) + start[free].sum() + end.sum())
+        families: dict[int, list[int]] = {}
+        for e in sorted(used):
+            families.setdefault(int(parent[e % len(parent)]), []).append(e % len(parent))
+        return bound, families
+
+    best, found, todo, ticket = np.inf, [], [], 0
+
+    def add(mode: np.ndarray) -> None:
+        nonlocal best, found, ticket
+        bound, families = solved(mode)
+        if any(len(families.get(int(p), ())) < 2 for p in np.flatnonzero(mode == 2)):
+            return  # no two children for a parent that must have them
+        odd, pairs, total = [], [], float(end.sum() + start.sum())
+        for p, es in families.items():
+            if mode[p] == 0 and (also[es[0]] < one[es[0]] if len(es) == 1 else any(also[e] > one[e] for e in es)):
+                odd.append(p)
+            ways = [([(e, False)], one[e] - start[child[e]]) for e in es]
+            if len(es) == 2:
+                ways.append(([(e, True) for e in es], also[es[0]] + two[es[1]] - start[child[es]].sum()))
+            way = min(ways, key=lambda w: w[1])
+            if way[1] < 0:
+                pairs += way[0]
+                total += way[1]
+        if total < best:
+            best, found = total, pairs
+        if odd and bound < best - 1e-9:
+            ticket += 1
+            heapq.heappush(todo, (bound, ticket, mode, odd[0]))
+
+    add(np.zeros(m, np.int8))
+    while todo:
+        bound, _, mode, p = heapq.heappop(todo)
+        if bound >= best - 1e-9:
+            break
+        for way in (1, 2):
+            after = mode.copy()
+            after[p] = way
+            add(after)
+    return found, best

@@ -8,9 +8,21 @@ from pyspark.sql import functions as F
 from ..plans.lineage import cut, dropped
 
 
+#: From so many edges on, what a round needs twice or joins by a hub's key is a table, whose size Spark knows and whose skewed
+#: partitions it can split; fewer edges are no task's burden, and a round is one job.
+MANY = 1 << 20
+
+
+def _held(df: DataFrame, name: str, total: int, tables: list[DataFrame]) -> DataFrame:
+    if total < MANY:
+        return df
+    tables.append(cut(df, name))
+    return tables[-1]
+
+
 def _least(edges: DataFrame) -> DataFrame:
-    """(b, m): the least smaller neighbour of each node that has one, as a table, so that its size is known to joins."""
-    return cut(edges.groupBy("b").agg(F.min("a").alias("m")), "least")
+    """(b, m): the least smaller neighbour of each node that has one."""
+    return edges.groupBy("b").agg(F.min("a").alias("m"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,18 +36,17 @@ def components(edges: DataFrame) -> DataFrame:
     known = edges.select("a", "b").where("a is not null and b is not null")
     every = cut(known.select(F.col("a").alias("node")).union(known.select("b")).distinct(), "nodes")
     now = cut(known.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    mark = None
+    mark, total = None, now.count()
     while True:
-        above = _least(now)
+        tables = [now]
+        above = _held(_least(now), "least", total, tables)
         large = now.join(above.select(F.col("b").alias("a"), "m"), "a", "left").select(F.coalesce("m", "a").alias("a"), "b").distinct()
-        large = cut(large, "large")
-        least = _least(large)
-        tied = large.join(least, "b")
+        large = _held(large, "large", total, tables)
+        tied = large.join(_held(_least(large), "least", total, tables), "b")
         # the edge of the least neighbour gives that of the node itself
         small = tied.select(F.col("m").alias("a"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b")).distinct()
-        after = cut(small, "edges")
-        dropped(now, above, large, least)
-        now, before = after, mark
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        now = cut(small, "edges")
+        dropped(*tables)
+        before, mark = mark, now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if mark == before:
             return every.join(now.select(F.col("b").alias("node"), F.col("a").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import kernels
-from ..plans.lineage import cut, dropped
+from ..plans.lineage import cut, dropped, new_path
 from .graph import components
 
 
@@ -19,6 +19,16 @@ def objects_from_regions(regions: DataFrame) -> DataFrame:
     return regions.select(movie.alias("movie"), F.col("component").alias("ID"), "t", F.col("centroid_0").alias("x"), F.col("centroid_1").alias("y"), F.lit(0.0).alias("z"), F.lit(1.0).alias("prob"), F.lit(0).alias("states"), "area")
 
 
+def featured(objects: DataFrame, shapes: DataFrame, solid: DataFrame) -> DataFrame:
+    """objects_from_regions() with the features of their regions, as segment.shape_features() and segment.solidity() give them.
+
+    A region without one of them has null there."""
+    movie = F.concat_ws("/", "sample", F.col("replicate").cast("string"), F.col("channel").cast("string"))
+    named = lambda df, *c: df.select(movie.alias("movie"), F.col("component").alias("ID"), "t", *c)
+    out = objects.join(named(shapes, "major_axis_length", "minor_axis_length", "orientation"), ["movie", "ID", "t"], "left")
+    return out.join(named(solid, "solidity"), ["movie", "ID", "t"], "left")
+
+
 def within_volume(objects: DataFrame, width: float = 1600, height: float = 1200) -> DataFrame:
     inside = objects.where((F.col("x") >= 0) & (F.col("x") < width) & (F.col("y") >= 0) & (F.col("y") < height))
     return inside.withColumn("dist_to_border", F.least("x", F.lit(width) - F.col("x"), "y", F.lit(height) - F.col("y")))
@@ -42,10 +52,6 @@ def link_mutual(candidates: DataFrame) -> DataFrame:
     return candidates.withColumns({"ra": first("a", "b"), "rb": first("b", "a")}).where("ra = 1 and rb = 1").drop("ra", "rb")
 
 
-#: Cost of pairs that are no candidates.
-NEVER = 1e12
-
-
 def _island_of(nodes: DataFrame, a: list[str], b: list[str]) -> DataFrame:
     """nodes (pairs of two kinds of things, named by the columns a and b) with their island: what is tied by pairs, the least of it."""
     name = lambda kind, cs: F.struct(F.lit(kind).alias("kind"), *[F.col(c).alias(f"k{n}") for n, c in enumerate(cs)])
@@ -54,18 +60,14 @@ def _island_of(nodes: DataFrame, a: list[str], b: list[str]) -> DataFrame:
     return named.join(found.select(F.col("node").alias("_a"), F.col("component").alias("island")), "_a").drop("_a", "_b")
 
 
-def _best(a: np.ndarray, b: np.ndarray, cost: np.ndarray, alone: float, slots: tuple[float, ...] = (0.0,)) -> list[tuple[int, int, float]]:
-    """Pairs (place in a's values, place in b's values, cost) of least total cost. Each a has one b at most, or none at the
-    cost alone; a b has as many a's as there are slots, each at an additional cost."""
+def _best(a: np.ndarray, b: np.ndarray, cost: np.ndarray, alone: float, slots: tuple[float, ...] = (0.0,)) -> list[int]:
+    """The pairs (by number) of least total cost. Each a has one b at most, or none at the cost alone; a b has as many a's as
+    there are slots, each at an additional cost."""
     x, at_a = np.unique(a, return_inverse=True)
     y, at_b = np.unique(b, return_inverse=True)
-    n, m = len(x), len(y)
-    matrix = np.full((n, len(slots) * m + n), NEVER)
-    for k, more in enumerate(slots):
-        matrix[at_a, k * m + at_b] = cost + more
-    matrix[:, len(slots) * m :] = alone
-    first = {(int(p), int(q)): float(c) for p, q, c in zip(at_a, at_b, cost, strict=True)}
-    return [(i, j % m, first[i, j % m]) for i, j in kernels.assignment(matrix) if j < len(slots) * m and matrix[i, j] < NEVER]
+    n = len(a)
+    used = kernels.sparse_assignment(np.tile(at_a, len(slots)), np.concatenate([at_b + k * len(y) for k in range(len(slots))]), np.concatenate([cost + more for more in slots]), np.full(len(x), alone))
+    return [int(e) % n for e in used if e >= 0]
 
 
 def link_optimal(candidates: DataFrame, radius: float = 50.0) -> DataFrame:
@@ -74,11 +76,8 @@ def link_optimal(candidates: DataFrame, radius: float = 50.0) -> DataFrame:
     Candidates of two frames fall into islands that share no object; an island is a group, and solved by itself."""
 
     def run(table: pa.Table) -> pa.Table:
-        a, b = table.column("a").to_numpy(), table.column("b").to_numpy()
-        found = _best(a, b, table.column("d2").to_numpy(), radius * radius)
-        movie, t, n = table.column("movie")[0].as_py(), table.column("t")[0].as_py(), len(found)
-        x, y = np.unique(a), np.unique(b)
-        return pa.table([pa.array([movie] * n, pa.string()), pa.array([t] * n, pa.int32()), pa.array([x[i] for i, _, _ in found], pa.int64()), pa.array([y[j] for _, j, _ in found], pa.int64()), pa.array([c for _, _, c in found], pa.float64())], ["movie", "t", "a", "b", "d2"])
+        a, b, d2 = (table.column(c).to_numpy() for c in ("a", "b", "d2"))
+        return table.take(pa.array(_best(a, b, d2, radius * radius), pa.int64())).select(["movie", "t", "a", "b", "d2"])
 
     islands = _island_of(candidates, ["movie", "t", "a"], ["movie", "t", "b"])
     return islands.groupBy("movie", "t", "island").applyInArrow(run, "movie string, t int, a long, b long, d2 double")
@@ -113,95 +112,145 @@ def tracks_long(objects: DataFrame, ids: DataFrame) -> DataFrame:
     return objects.join(ids, ["movie", "t", "ID"]).select("movie", "track_id", "t", "x", "y", "area")
 
 
-#: Variances of a track's first state, of a frame's motion, of a place, and of the area as a share of it squared.
-SPREAD, MOTION, PLACE, AREA = 100.0, 25.0, 9.0, 0.04
-#: The likelihood of no object, as that of one so many standard deviations away.
+#: Features of an object that a track is told by, beside its place.
+FEATURES = ("area", "major_axis_length", "minor_axis_length", "orientation", "solidity")
+#: Standard deviations of the features before a track has shown its own: of the logarithms of area and axes, of the parts
+#: of the orientation, and of the solidity.
+LOG_SIZE, TURN, SOLID = 0.2, 0.3, 0.1
+#: So many objects the deviations above count for in a track's own covariance.
+PRIOR = 4.0
+#: Variances of a track's first state, of a frame's motion, and of a place.
+SPREAD, MOTION, PLACE = 100.0, 25.0, 9.0
+#: The likelihood of no object, as that of one so many standard deviations away in motion and one feature; a further feature adds one variance.
 LOST = 3.0
 STEP = np.array([[1, 0, 1, 0], [0, 1, 0, 1], [0, 0, 1, 0], [0, 0, 0, 1]], float)
 SEEN = np.eye(2, 4)
 
 
+def feature_vector(objects: DataFrame, features: tuple[str, ...] = FEATURES):
+    """Of the features that objects have, an array of numbers, each divided by its standard deviation, and its length.
+
+    An orientation is an angle that half a turn does not change, and says the more the longer an object is: it becomes the
+    cosine and sine of twice the angle, times one less the ratio of the axes. A null feature counts as 0."""
+    has = [f for f in features if f in objects.columns]
+    size = lambda c: F.log(F.greatest(F.col(c).cast("double"), F.lit(1.0))) / LOG_SIZE
+    out = [size(c) for c in has if c not in ("orientation", "solidity")]
+    if "orientation" in has:
+        axes = {"major_axis_length", "minor_axis_length"} <= set(has)
+        long_ = 1 - F.coalesce(F.try_divide("minor_axis_length", "major_axis_length"), F.lit(1.0)) if axes else F.lit(1.0)
+        out += [f(2 * F.col("orientation")) * long_ / TURN for f in (F.cos, F.sin)]
+    if "solidity" in has:
+        out.append(F.col("solidity") / SOLID)
+    return F.transform(F.array(*out) if out else F.array().cast("array<double>"), lambda v: F.coalesce(v, F.lit(0.0))), len(out)
+
+
 def predicted(state: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A constant-velocity state (x, y and their speeds) and its covariance one frame on."""
-    return STEP @ state, STEP @ spread @ STEP.T + np.diag([MOTION / 4, MOTION / 4, MOTION, MOTION])
+    """Constant-velocity states (x, y and their speeds) and their covariances one frame on."""
+    return state @ STEP.T, STEP @ spread @ STEP.T + np.diag([MOTION / 4, MOTION / 4, MOTION, MOTION])
 
 
 def updated(state: np.ndarray, spread: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """State and covariance after an object at place."""
+    """Predicted states and covariances after objects at places."""
     gain = spread @ SEEN.T @ np.linalg.inv(SEEN @ spread @ SEEN.T + PLACE * np.eye(2))
-    return state + gain @ (place - SEEN @ state), (np.eye(4) - gain @ SEEN) @ spread
-
-
-def pair_log(state: np.ndarray, spread: np.ndarray, area: float, places: np.ndarray, areas: np.ndarray) -> np.ndarray:
-    """Log-likelihoods of objects, and last of none, as the next one of a predicted track: motion and appearance."""
-    s = SEEN @ spread @ SEEN.T + PLACE * np.eye(2)
-    off = places - SEEN @ state
-    motion = np.einsum("ni,ij,nj->n", off, np.linalg.inv(s), off)
-    looks = (np.log(np.maximum(areas, 1.0)) - np.log(max(area, 1.0))) ** 2 / AREA
-    return np.append(-0.5 * (motion + looks), -0.5 * LOST**2)
-
-
-def _follow(table: pa.Table, near: set[tuple[int, int, int]]) -> list[tuple[int, int, str, float]]:
-    """(t, ID, track_id, probability) of the objects of one island; near holds the pairs (t, ID, next ID) within the radius."""
-    table = table.sort_by([("t", "ascending"), ("ID", "ascending")])
-    t, i, x, y, area = (table.column(c).to_numpy() for c in ("t", "ID", "x", "y", "area"))
-    live: dict[str, tuple] = {}
-    out = []
-    for frame in np.unique(t):
-        own = np.flatnonzero(t == frame)
-        places = np.stack([x[own], y[own]], 1).astype(float)
-        names = sorted(k for k, s in live.items() if s[0] == frame - 1)
-        before = [(live[k][1], *predicted(*live[k][2:4]), live[k][4]) for k in names]
-        taken: dict[int, tuple] = {}
-        if names:
-            logs = np.full((len(names), len(own) + len(names)), -np.inf)
-            for r, (last, state, spread, size) in enumerate(before):
-                ls = pair_log(state, spread, size, places, area[own].astype(float))
-                ls[:-1][[(int(frame) - 1, last, int(k)) not in near for k in i[own]]] = -np.inf
-                ls -= np.logaddexp.reduce(ls)  # probabilities over all objects in reach and none
-                logs[r, : len(own)], logs[r, len(own) :] = ls[:-1], ls[-1]
-            cost = np.where(np.isfinite(logs), -logs, NEVER)
-            taken = {j: (r, float(np.exp(logs[r, j]))) for r, j in kernels.assignment(cost) if j < len(own) and cost[r, j] < NEVER}
-        fresh = {}
-        for j, k in enumerate(own):
-            if j in taken:
-                r, chance = taken[j]
-                name, (state, spread) = names[r], updated(before[r][1], before[r][2], places[j])
-            else:
-                name, chance = f"{int(frame):06d}:{int(i[k])}", 1.0
-                state, spread = np.append(places[j], [0.0, 0.0]), SPREAD * np.eye(4)
-            fresh[name] = (int(frame), int(i[k]), state, spread, float(area[k]))
-            out.append((int(frame), int(i[k]), name, chance))
-        live = fresh
-    return out
-
-
-def track_bayes(objects: DataFrame, radius: float = 50.0) -> DataFrame:
+    return state + np.einsum("nij,nj->ni", gain, place - state @ SEEN.T), (np.eye(4) - gain @ SEEN) @ spread
+
+
+def looks_updated(n: np.ndarray, mean: np.ndarray, scatter: np.ndarray, looks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running means and sums of squares of feature vectors of n objects so far, after one more."""
+    off = looks - mean
+    after = mean + off / (n + 1)[:, None]
+    return after, scatter + off[:, :, None] * (looks - after)[:, None, :]
+
+
+def pair_logs(state: np.ndarray, spread: np.ndarray, n: np.ndarray, mean: np.ndarray, scatter: np.ndarray, place: np.ndarray, looks: np.ndarray) -> np.ndarray:
+    """Log-likelihoods of objects as the next ones of predicted tracks, row by row: motion and appearance, without the constants of a track.
+
+    The covariance of a track's features is its own as far as it has shown it, and that of PRIOR objects of unit variance."""
+    off = place - state @ SEEN.T
+    motion = np.einsum("ni,nij,nj->n", off, np.linalg.inv(SEEN @ spread @ SEEN.T + PLACE * np.eye(2)), off)
+    k = looks.shape[1]
+    if not k:
+        return -0.5 * motion
+    own = (scatter + PRIOR * np.eye(k)) / (PRIOR + n - 1)[:, None, None]
+    off = looks - mean
+    return -0.5 * (motion + np.einsum("ni,nij,nj->n", off, np.linalg.inv(own), off))
+
+
+def none_log(features: int) -> float:
+    """Log-likelihood of no object."""
+    return -0.5 * (LOST**2 + max(features - 1, 0))
+
+
+#: A track's state after an object that it went on with.
+STATE = "movie string, ID long, track_id string, probability double, state array<double>, spread array<double>, n int, mean array<double>, scatter array<double>"
+
+
+def _next(table: pa.Table) -> pa.Table:
+    """Tracks and objects of one island, a row a pair that is within reach, to rows of STATE of the objects that go on with a track."""
+    rows, k = len(table), len(table.column("looks")[0])
+    shape = {"state": (4,), "spread": (4, 4), "mean": (k,), "scatter": (k, k), "looks": (k,)}
+    value = {c: table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows, *d) for c, d in shape.items()}
+    place, n = np.stack([table.column(c).to_numpy().astype(float) for c in ("x", "y")], 1), table.column("n").to_numpy()
+    state, spread = predicted(value["state"], value["spread"])
+    logs = pair_logs(state, spread, n, value["mean"], value["scatter"], place, value["looks"])
+    _, track = np.unique(table.column("a").to_numpy(), return_inverse=True)
+    _, at_b = np.unique(table.column("b").to_numpy(), return_inverse=True)
+    total = np.full(track.max() + 1, none_log(k))  # over all objects in reach and none
+    np.logaddexp.at(total, track, logs)
+    logs, none = logs - total[track], none_log(k) - total
+    used = kernels.sparse_assignment(track, at_b, -logs, -none)
+    won = np.sort(used[used >= 0])
+    state, spread = updated(state[won], spread[won], place[won])
+    mean, scatter = looks_updated(n[won], value["mean"][won], value["scatter"][won], value["looks"][won])
+    lists = lambda v: pa.array(v.reshape(len(won), int(np.prod(v.shape[1:]))).tolist(), pa.list_(pa.float64()))
+    some = table.take(pa.array(won, pa.int64()))
+    return pa.table([some.column("movie"), some.column("b"), some.column("track_id"), pa.array(np.exp(logs[won])), lists(state), lists(spread), pa.array((n[won] + 1).astype(np.int32)), lists(mean), lists(scatter)], [c.split()[0] for c in STATE.split(", ")])
+
+
+def track_bayes(objects: DataFrame, radius: float = 50.0, features: tuple[str, ...] = FEATURES) -> DataFrame:
     """(movie, t, ID, track_id, probability): tracks by motion and appearance.
 
-    Each track has a constant-velocity state with a covariance (a Kalman filter). A frame's objects within the radius of a
-    track's last object get a likelihood from the predicted place and covariance and from the area; these and that of no
-    object become probabilities, and the frame is assigned so that their product is greatest. The first object of a
-    track has probability 1. Objects that are within the radius from frame to frame form an island, which no track leaves: an island
-    is a group, whatever the size of the movie. Ties go to the smaller id."""
-    pairs = cut(link_candidates(objects, radius))
-    node = lambda t, i: F.struct(F.col("movie").alias("movie"), t.alias("t"), i.alias("ID"))
-    found = components(pairs.select(node(F.col("t"), F.col("a")).alias("a"), node(F.col("t") + 1, F.col("b")).alias("b")))
-    islands = found.select("node.movie", "node.t", "node.ID", F.col("component").alias("island"))
-    rows = objects.select("movie", "t", "ID", "x", "y", "area")
-    tied = rows.join(islands, ["movie", "t", "ID"])
-    links = pairs.join(islands.withColumnRenamed("ID", "a"), ["movie", "t", "a"]).select(*(F.col(c).alias(c) for c in ("movie", "island", "t", "a", "b")))
-    single = rows.join(islands, ["movie", "t", "ID"], "left_anti").select("movie", "t", "ID", track_key(F.col("t"), F.col("ID")).alias("track_id"), F.lit(1.0).alias("probability"))
-
-    def run(own: pa.Table, pairs: pa.Table) -> pa.Table:
-        near = set(zip(*(pairs.column(c).to_pylist() for c in ("t", "a", "b")), strict=True))
-        out = _follow(own, near)
-        columns = [pa.array([own.column("movie")[0].as_py()] * len(out), pa.string())]
-        columns += [pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int32(), pa.int64(), pa.string(), pa.float64()))]
-        return pa.table(columns, ["movie", "t", "ID", "track_id", "probability"])
-
-    key = ["movie", "island"]
-    return tied.groupBy(*key).cogroup(links.groupBy(*key)).applyInArrow(run, "movie string, t int, ID long, track_id string, probability double").union(single)
+    Each track has a constant-velocity state with a covariance (a Kalman filter) and a running mean and covariance of its
+    objects' features, those of features that objects have. The objects of a frame within the radius of a track's last
+    object get a likelihood from the predicted place and from the features; these and that of no object become
+    probabilities, and the frame is assigned so that their product is greatest. The first object of a track has
+    probability 1; a track ends in the first frame in which it has no object. Ties go to the smaller id.
+
+    Frames come one after the other, all movies at once: the states of the tracks that went on into a frame are joined with
+    the frame's pairs, which hold what a track that begins there needs. Pairs of a frame that share no object are islands, found
+    for all frames beforehand; an island of one frame is a group. To the driver come the frames' numbers."""
+    spark = objects.sparkSession
+    vector, k = feature_vector(objects, features)
+    rows = cut(objects.select("movie", "t", "ID", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), vector.alias("looks")), "objects")
+    found = _island_of(link_candidates(rows, radius), ["movie", "t", "a"], ["movie", "t", "b"]).select("movie", "t", "a", "b", "island")
+    before = rows.select("movie", "t", F.col("ID").alias("a"), F.array("x", "y", F.lit(0.0), F.lit(0.0)).alias("first"), F.col("looks").alias("first_looks"))
+    after = rows.select("movie", (F.col("t") - 1).alias("t"), F.col("ID").alias("b"), "x", "y", "looks")
+    reach = found.join(before, ["movie", "t", "a"]).join(after, ["movie", "t", "b"])
+    at = new_path(spark, "tracking")
+    reach.repartition("t").write.partitionBy("t").parquet(f"{at}/reach")
+    reach = spark.read.schema(reach.schema).parquet(f"{at}/reach")
+    new = {
+        "track_id": track_key(F.col("t"), F.col("a")),
+        "state": F.col("first"),
+        "spread": F.array(*[F.lit(SPREAD if i == j else 0.0) for i in range(4) for j in range(4)]),
+        "n": F.lit(1),
+        "mean": F.col("first_looks"),
+        "scatter": F.array_repeat(F.lit(0.0), k * k),
+    }
+    frames = sorted(r["t"] for r in reach.select("t").distinct().collect())
+    for t in frames:
+        own = reach.where(F.col("t") == t)
+        if t - 1 in frames:
+            tracks = spark.read.schema(STATE).parquet(f"{at}/states/t={t}").withColumnRenamed("ID", "a")
+            own = own.join(tracks.select("movie", "a", *new), ["movie", "a"], "left").select(*own.columns, *[F.coalesce(c, v).alias(c) for c, v in new.items()])
+        else:
+            own = own.select("*", *[v.alias(c) for c, v in new.items()])
+        own.drop("first", "first_looks").groupBy("movie", "island").applyInArrow(_next, STATE).write.parquet(f"{at}/states/t={t + 1}")
+    key = ["movie", "t", "ID"]
+    if not frames:
+        return rows.select(*key, track_key(F.col("t"), F.col("ID")).alias("track_id"), F.lit(1.0).alias("probability"))
+    on = spark.read.schema(f"{STATE}, t int").parquet(f"{at}/states").select(*key, "track_id", "probability")
+    return rows.join(on, key, "left").select(*key, F.coalesce("track_id", track_key(F.col("t"), F.col("ID"))).alias("track_id"), F.coalesce("probability", F.lit(1.0)).alias("probability"))
 
 
 def lineage(tracks: DataFrame, splits: DataFrame) -> DataFrame:
@@ -240,8 +289,86 @@ def stitch(tracks: DataFrame, gap: int = 3, radius: float = 50.0) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         a, b = (np.array(table.column(c).to_pylist(), object) for c in ("track_id", "parent"))
         found = _best(a, b, table.column("d2").to_numpy(), radius * radius, (0.0, radius * radius / 4))
-        x, y, n = np.unique(a), np.unique(b), len(found)
-        return pa.table([pa.array([table.column("movie")[0].as_py()] * n, pa.string()), pa.array([x[i] for i, _, _ in found], pa.string()), pa.array([y[j] for _, j, _ in found], pa.string()), pa.array([c for _, _, c in found], pa.float64())], ["movie", "track_id", "parent", "d2"])
+        return table.take(pa.array(found, pa.int64())).select(["movie", "track_id", "parent", "d2"])
 
     islands = _island_of(cut(stitch_candidates(tracks, gap, radius)), ["movie", "track_id"], ["movie", "parent"])
     return islands.groupBy("movie", "island").applyInArrow(run, "movie string, track_id string, parent string, d2 double")
+
+
+#: Variance of a place from one frame to the next, cost of a frame without object, deviation of the logarithm of a size.
+LINK_SPREAD, MISSED, SIZES = 100.0, 2.0, 0.3
+#: Costs of a track that starts or ends in the midst, of a division, and at the border, where so many pixels further inside cost one more.
+START, END, DIVISION, BORDER, BORDER_PIXELS = 8.0, 8.0, 3.0, 1.0, 10.0
+
+
+def track_ends(tracks: DataFrame, width: float = 1600, height: float = 1200) -> DataFrame:
+    """A row a track: movie, track_id, its first place (t0, x0, y0, area0) and last (t1, x1, y1, area1), and what it costs to
+    start and to end there (start, end), with the kind of either.
+
+    Costs are negative log-likelihoods. In a movie's first frame a start, in its last one an end is free; at the border of
+    the volume both cost BORDER, and more inside by the distance, but no more than START or END. Tracks without area have size 1."""
+    area = F.col("area").cast("double") if "area" in tracks.columns else F.lit(1.0)
+    point = F.struct("t", "x", "y", area.alias("area"))
+    ends = tracks.groupBy("movie", "track_id").agg(F.min_by(point, "t").alias("s"), F.max_by(point, "t").alias("e"))
+    frames = tracks.groupBy("movie").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    inside = lambda p: F.greatest(F.least(p["x"], F.lit(width) - p["x"], p["y"], F.lit(height) - p["y"]), F.lit(0.0))
+    out = ends.join(frames, "movie").select(
+        "movie",
+        "track_id",
+        *[F.col(f"{p}.{c}").alias(f"{c}{k}") for k, p in enumerate("se") for c in ("t", "x", "y", "area")],
+        *[(F.lit(BORDER) + inside(F.col(p)) / BORDER_PIXELS).alias(f"border{k}") for k, p in enumerate("se")],
+        "first",
+        "last",
+    )
+    for k, (name, edge, most) in enumerate((("start", "first", START), ("end", "last", END))):
+        free, near = F.col(f"t{k}") == F.col(edge), F.col(f"border{k}") < most
+        out = out.withColumn(f"{name}_kind", F.when(~free & near, "border").otherwise(name)).withColumn(name, F.when(free, 0.0).when(near, F.col(f"border{k}")).otherwise(most))
+    return out.drop("border0", "border1", "first", "last")
+
+
+def family_costs(ends: DataFrame, gap: int = 3, radius: float = 50.0) -> DataFrame:
+    """(movie, track_id, parent, cost, start, end): tracks that may follow on others that ended up to gap frames before, within the
+    radius; an equi-join on the cells of a grid of its size.
+
+    The cost holds the distance, of a variance that grows with the frames between, the frames without object, and how far the
+    track's size lies outside what its parent's allows, from half of it (a daughter of a division) to all of it."""
+    cell = lambda v: F.floor(v / radius)
+    around = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
+    from_ = ends.select("movie", F.col("track_id").alias("parent"), F.col("t1").alias("pt"), F.col("x1").alias("px"), F.col("y1").alias("py"), F.col("area1").alias("parea"), "end", F.explode(F.sequence(F.col("t1") + 1, F.col("t1") + gap)).alias("t"), cell(F.col("x1")).alias("gx"), cell(F.col("y1")).alias("gy"))
+    from_ = from_.withColumn("gx", around("gx")).withColumn("gy", around("gy"))
+    to = ends.select("movie", "track_id", F.col("t0").alias("t"), "x0", "y0", "area0", "start", cell(F.col("x0")).alias("gx"), cell(F.col("y0")).alias("gy"))
+    d2 = F.pow(F.col("px") - F.col("x0"), 2) + F.pow(F.col("py") - F.col("y0"), 2)
+    size = F.log(F.greatest("area0", F.lit(1.0)) / F.greatest("parea", F.lit(1.0)))
+    off = F.greatest(size, -F.log(F.lit(2.0)) - size, F.lit(0.0)) / SIZES
+    steps = F.col("t") - F.col("pt")
+    pairs = from_.join(to, ["movie", "t", "gx", "gy"]).withColumn("d2", d2).where(F.col("d2") <= radius * radius)
+    return pairs.select("movie", "track_id", "parent", (F.col("d2") / (2 * LINK_SPREAD * steps) + MISSED * (steps - 1) + off * off / 2).alias("cost"), "start", "end")
+
+
+def optimise(tracks: DataFrame, gap: int = 3, radius: float = 50.0, width: float = 1600, height: float = 1200) -> DataFrame:
+    """(movie, track_id, side, kind, parent, cost): for the start and for the end of every track the hypothesis that explains it, so
+    that all costs together are least.
+
+    A track starts by itself (start), comes in at the border (border), or follows on another one, its parent, alone (link)
+    or as one of two (division). It ends by itself (end), is lost at the border (border), or goes on (link, division).
+    Costs are negative log-likelihoods; that of a link stands at the track's start, a division's further cost at the parent's end. Tracks
+    that may belong to one family, directly or over others, form an island; an island is a group and solved exactly."""
+    ends = cut(track_ends(tracks, width, height), "ends")
+    pairs = cut(family_costs(ends, gap, radius), "families")
+
+    def run(table: pa.Table) -> pa.Table:
+        names = [np.array(table.column(c).to_pylist(), object) for c in ("track_id", "parent")]
+        (_, c_first, c), (_, p_first, p) = (np.unique(x, return_index=True, return_inverse=True) for x in names)
+        cost, start, end = (table.column(x).to_numpy() for x in ("cost", "start", "end"))
+        found, _ = kernels.best_families(p, c, cost, cost, start[c_first], end[p_first], DIVISION)
+        chosen = table.take(pa.array([e for e, _ in found], pa.int64())).select(["movie", "track_id", "parent", "cost"])
+        return chosen.append_column("kind", pa.array(["division" if two else "link" for _, two in found], pa.string()))
+
+    islands = _island_of(pairs, ["movie", "track_id"], ["movie", "parent"])
+    chosen = cut(islands.groupBy("movie", "island").applyInArrow(run, "movie string, track_id string, parent string, cost double, kind string"), "chosen")
+    key = ["movie", "track_id"]
+    starts = ends.join(chosen, key, "left").select(*key, F.lit("start").alias("side"), F.coalesce("kind", "start_kind").alias("kind"), "parent", F.coalesce("cost", "start").alias("cost"))
+    going = chosen.groupBy("movie", F.col("parent").alias("track_id")).agg(F.min("kind").alias("kind"))
+    more = F.when(F.col("kind") == "division", DIVISION).when(F.col("kind") == "link", 0.0).otherwise(F.col("end"))
+    stops = ends.join(going, key, "left").select(*key, F.lit("end").alias("side"), F.coalesce("kind", "end_kind").alias("kind"), F.lit(None).cast("string").alias("parent"), more.alias("cost"))
+    return starts.union(stops)

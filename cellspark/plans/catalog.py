@@ -350,10 +350,10 @@ def distance_transform(spark, d):
     return rounded(sg.flooded(sg.mask_runs(_mask(spark, d)), SIDE, SIDE).select("t", "channel", "y", "x", "distance"), "distance")
 
 
-@query(WITH + "SELECT t, y, x, distance FROM (" + DISTANCE + ") WHERE channel = 0")
+@query(WITH + DISTANCE)
 def distance_transform_planes(spark, d):
-    """distance_transform of one channel, every frame."""
-    return rounded(sg.flooded(sg.mask_runs(_mask(spark, d).where("channel = 0")), SIDE, SIDE).select("t", "y", "x", "distance"), "distance")
+    """distance_transform, every frame and channel."""
+    return distance_transform(spark, d)
 
 
 @query(MASK + _islands(0) + f""", pp AS {_pixels('co')}, sides(dy, dx) AS (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)),
@@ -505,6 +505,14 @@ def track_bayes(spark, d):
     return rounded(tr.track_bayes(st.objects(spark, d)), "probability")
 
 
+@query()
+def track_regions(spark, d):
+    """Tracks of the regions of the kept masks, told by their place and all five features."""
+    kept = _kept(spark, d)
+    objects = tr.featured(tr.objects_from_regions(sg.region_props(kept)), sg.shape_features(kept), sg.solidity(kept))
+    return rounded(tr.track_bayes(objects), "probability")
+
+
 #: Hypotheses of tracks that follow on others, as the operator's grid join finds them.
 STITCH = CHAINS + """, en AS (SELECT movie, track_id, MIN(t) t0, MAX(t) t1, ARG_MIN(x, t) x0, ARG_MIN(y, t) y0, ARG_MAX(x, t) x1, ARG_MAX(y, t) y1 FROM tk JOIN ob USING (movie, t, id) GROUP BY 1, 2),
 hy AS (SELECT c.movie, c.track_id, p.track_id AS parent, POWER(p.x1 - c.x0, 2) + POWER(p.y1 - c.y0, 2) d2 FROM en c JOIN en p ON c.movie = p.movie AND c.t0 - p.t1 BETWEEN 1 AND 3 AND POWER(p.x1 - c.x0, 2) + POWER(p.y1 - c.y0, 2) <= 2500)"""
@@ -530,6 +538,36 @@ def lineage(spark, d):
     return _lineage(spark, d)[1]
 
 
+#: The costs of starts, ends and families of tracks.
+FAMILIES = CHAINS + """, fr AS (SELECT movie, MIN(t) f, MAX(t) l FROM ob GROUP BY 1),
+en AS (SELECT movie, track_id, MIN(t) t0, MAX(t) t1, ARG_MIN(x, t) x0, ARG_MIN(y, t) y0, ARG_MAX(x, t) x1, ARG_MAX(y, t) y1, ARG_MIN(area, t) a0, ARG_MAX(area, t) a1 FROM tk JOIN ob USING (movie, t, id) GROUP BY 1, 2),
+ec AS (SELECT en.*, f, l, 1 + GREATEST(LEAST(x0, 1600 - x0, y0, 1200 - y0), 0)/10 b0, 1 + GREATEST(LEAST(x1, 1600 - x1, y1, 1200 - y1), 0)/10 b1 FROM en JOIN fr USING (movie)),
+ed AS (SELECT *, CASE WHEN t0 = f THEN 0 WHEN b0 < 8 THEN b0 ELSE 8 END s, CASE WHEN t1 = l THEN 0 WHEN b1 < 8 THEN b1 ELSE 8 END e FROM ec),
+fm AS (SELECT c.movie, c.track_id, p.track_id AS parent, c.t0 - p.t1 g, POWER(p.x1 - c.x0, 2) + POWER(p.y1 - c.y0, 2) d2, LN(c.a0/p.a1) z, c.s, p.e FROM ed c JOIN ed p ON c.movie = p.movie AND c.t0 - p.t1 BETWEEN 1 AND 3 AND POWER(p.x1 - c.x0, 2) + POWER(p.y1 - c.y0, 2) <= 2500)"""
+
+
+@query(FAMILIES + " SELECT movie, track_id, t0, t1, CASE WHEN t0 <> f AND b0 < 8 THEN 'border' ELSE 'start' END start_kind, ROUND(s, 6) AS start, CASE WHEN t1 <> l AND b1 < 8 THEN 'border' ELSE 'end' END end_kind, ROUND(e, 6) AS \"end\" FROM ed")
+def track_ends(spark, d):
+    return rounded(tr.track_ends(tr.tracks_long(*_tracks(spark, d))), "start", "end").select("movie", "track_id", "t0", "t1", "start_kind", "start", "end_kind", "end")
+
+
+@query(FAMILIES + " SELECT movie, track_id, parent, ROUND(d2/(200*g) + 2*(g - 1) + POWER(GREATEST(z, -LN(2) - z, 0)/0.3, 2)/2, 4) AS cost FROM fm")
+def family_costs(spark, d):
+    return rounded(tr.family_costs(tr.track_ends(tr.tracks_long(*_tracks(spark, d)))), "cost", digits=4).select("movie", "track_id", "parent", "cost")
+
+
+@query()
+def optimise_hypotheses(spark, d):
+    return rounded(tr.optimise(tr.tracks_long(*_tracks(spark, d))), "cost")
+
+
+@query()
+def lineage_optimised(spark, d):
+    """Lineage by the best set of hypotheses of starts, ends, losses, links and divisions."""
+    tracks = tr.tracks_long(*_tracks(spark, d))
+    return tr.lineage(tracks, tr.optimise(tracks).where("parent is not null").select("movie", "track_id", "parent"))
+
+
 #: Of each track the nearest hypothesis, ties to the smaller name, and the chain above it.
 NEAREST = STITCH + """, np AS (SELECT * FROM hy QUALIFY ROW_NUMBER() OVER (PARTITION BY movie, track_id ORDER BY ROUND(d2, 6), parent) = 1),
 up(movie, track_id, root) AS (SELECT e.movie, e.track_id, e.track_id FROM en e ANTI JOIN np USING (movie, track_id) UNION ALL SELECT np.movie, np.track_id, up.root FROM up JOIN np ON np.movie = up.movie AND np.parent = up.track_id)"""

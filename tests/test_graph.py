@@ -25,9 +25,10 @@ def test_size_estimates_do_not_grow(spark):
     assert now.count() == 20
 
 
-@pytest.mark.parametrize("kind", ["chain", "grid", "shuffled"])
-def test_rounds_grow_with_the_logarithm(spark, monkeypatch, kind):
+@pytest.mark.parametrize("kind, many", [("chain", 1 << 20), ("grid", 1 << 20), ("shuffled", 1 << 20), ("shuffled", 0)])
+def test_rounds_grow_with_the_logarithm(spark, monkeypatch, kind, many):
     n = 256
+    monkeypatch.setattr(graph, "MANY", many)
     if kind == "grid":
         pairs = [(16 * y + x, 16 * y + x + d) for y in range(16) for x in range(16) for d, ok in ((1, x < 15), (16, y < 15)) if ok]
     else:
@@ -38,7 +39,7 @@ def test_rounds_grow_with_the_logarithm(spark, monkeypatch, kind):
     monkeypatch.setattr(graph, "cut", lambda df, name: (rounds.append(name), lineage.cut(df, name))[1])
     rows = graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()
     assert len(rows) == n and {r["component"] for r in rows} == {0}
-    assert rounds.count("large") <= 2 * n.bit_length()
+    assert rounds.count("edges") - 1 <= 2 * n.bit_length() and rounds.count("large") == (0 if many else rounds.count("edges") - 1)
 
 
 def test_components_of_any_type(spark):
