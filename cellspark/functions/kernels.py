@@ -70,19 +70,28 @@ def _envelope(f: np.ndarray) -> np.ndarray:
     return f[q] + (p - q) ** 2
 
 
-def distances(mask: np.ndarray) -> np.ndarray:
-    """Exact distance of each foreground pixel to the nearest background pixel; outside the image is not background.
-
-    Distances along the columns first, then the lower envelope of each row: time in proportion to the pixels."""
+def column_distances(mask: np.ndarray) -> np.ndarray:
+    """Distance of each foreground pixel to the nearest background pixel of its column; infinite where there is none."""
     h, w = mask.shape
-    far = h + w + 1
-    d = np.where(mask, far, 0).astype(float)
+    d = np.where(mask, np.inf, 0.0)
     for y in range(1, h):
         d[y] = np.minimum(d[y], d[y - 1] + 1)
     for y in range(h - 2, -1, -1):
         d[y] = np.minimum(d[y], d[y + 1] + 1)
-    square = np.where(d >= far, np.inf, d**2)
-    return np.sqrt(np.stack([_envelope(row) for row in square])) if h else d
+    return d
+
+
+def line_distances(d: np.ndarray) -> np.ndarray:
+    """Distances from those along the columns, line by line; 0 where there is no background at all."""
+    out = np.sqrt(np.stack([_envelope(row) for row in d**2])) if len(d) else d
+    return np.where(np.isfinite(out), out, 0.0)
+
+
+def distances(mask: np.ndarray) -> np.ndarray:
+    """Exact distance of each foreground pixel to the nearest background pixel; outside the image is not background.
+
+    Distances along the columns first, then the lower envelope of each row: time in proportion to the pixels."""
+    return np.sqrt(np.stack([_envelope(row) for row in column_distances(mask) ** 2])) if len(mask) else np.zeros(mask.shape)
 
 
 def watershed(level: np.ndarray, markers: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -103,9 +112,14 @@ def watershed(level: np.ndarray, markers: np.ndarray, mask: np.ndarray) -> np.nd
     return out
 
 
-def hull_area(y: np.ndarray, x: np.ndarray) -> float:
-    """Area of the convex hull of the pixels' corners."""
-    points = sorted({(a + i, b + j) for a, b in zip(y.tolist(), x.tolist(), strict=True) for i in (0, 1) for j in (0, 1)})
+def pixel_corners(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The four corners of each pixel, as rows (y, x)."""
+    return np.concatenate([np.stack([y + i, x + j], 1) for i in (0, 1) for j in (0, 1)])
+
+
+def hull(points: np.ndarray) -> list[tuple[int, int]]:
+    """Corners of the convex hull of points (rows), in turning order."""
+    points = sorted(set(map(tuple, points.tolist())))
 
     def half(points):
         out = []
@@ -115,8 +129,16 @@ def hull_area(y: np.ndarray, x: np.ndarray) -> float:
             out.append(p)
         return out[:-1]
 
-    hull = half(points) + half(points[::-1])
-    return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(hull, hull[1:] + hull[:1], strict=True))) / 2
+    return half(points) + half(points[::-1])
+
+
+def polygon_area(corners: list[tuple[int, int]]) -> float:
+    return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(corners, corners[1:] + corners[:1], strict=True))) / 2
+
+
+def hull_area(y: np.ndarray, x: np.ndarray) -> float:
+    """Area of the convex hull of the pixels' corners."""
+    return polygon_area(hull(pixel_corners(y, x)))
 
 
 def assignment(cost: np.ndarray) -> list[tuple[int, int]]:

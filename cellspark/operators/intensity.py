@@ -202,7 +202,7 @@ def gaussian_blur(lines: DataFrame, sigma: float = 2.0, strip: int = STRIP) -> D
         own = np.flatnonzero((y >= first) & (y < first + strip))
         out = sum(w * up[own + k] for k, w in enumerate(weights))
         kept = table.take(pa.array(own)).drop_columns(["_strip"])
-        return kept.set_column(kept.column_names.index("pixels"), "pixels", pa.array(list(out), pa.list_(pa.float64())))
+        return kept.set_column(kept.column_names.index("pixels"), "pixels", pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * out.shape[1]), pa.array(out.ravel())))
 
     strips = F.transform(F.array(F.col("y") - r, F.col("y"), F.col("y") + r), lambda y: F.greatest(F.floor(y / strip), F.lit(0)).cast("int"))
     dealt = lines.withColumn("_strip", F.explode(F.array_distinct(strips)))
@@ -214,6 +214,23 @@ def downscale(lines: DataFrame) -> DataFrame:
     return exploded(lines).groupBy(*PLANE, F.expr("cast(y div 2 as int)").alias("y"), F.expr("cast(x div 2 as int)").alias("x")).agg(F.avg("v").alias("v"))
 
 
+def mosaic_canvas(lines: DataFrame, places: DataFrame) -> DataFrame:
+    """A mosaic at half scale: rows (plane, y, x, v) of one canvas.
+
+    lines have a column m, the tile; places holds a tile's m, y0 and x0, where its first pixel lies on the canvas. A canvas pixel is the
+    mean of all pixels of all tiles in its 2 by 2 block: blocks across a seam take them from both sides, and where
+    tiles overlap both count. What no tile covers has no row. Each line first adds up its own blocks; tiles without place are left out."""
+    half = lambda c: F.floor(F.col(c) / 2).cast("int")
+    placed = lines.join(places.select("m", "y0", "x0"), "m").withColumn("y", F.col("y") + F.col("y0"))
+    first = half("x0")
+    # pixel 2 * k - odd is the first one of the line's block k
+    odd = F.pmod("x0", F.lit(2))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("pixels") + odd - 1) / 2).cast("int")), lambda k: F.struct(*[F.filter(F.array(*[F.get("pixels", 2 * k - odd + i) for i in (0, 1)]), lambda v: v.isNotNull()).alias("px"), (first + k).alias("x")]))
+    rows = placed.where(F.size("pixels") > 0).select(*PLANE, half("y").alias("y"), F.explode(blocks).alias("b"))
+    total = F.aggregate("b.px", F.lit(0.0), lambda a, v: a + v)
+    return rows.groupBy(*PLANE, "y", F.col("b.x").alias("x")).agg((F.sum(total) / F.sum(F.size("b.px"))).alias("v"))
+
+
 def otsu_threshold(lines: DataFrame, bins: int = 256) -> DataFrame:
     """Centre of the bin after which the variance between both classes is largest, first one of equals; a flat plane has its value.
 

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import kernels
 from ..plans.lineage import cut
+from .graph import components as joined_up
 from .intensity import PLANE, above, gaussian_blur, otsu_threshold, row_l2
 
 RUN = "sample string, replicate int, t int, channel int, y int, x0 int, x1 int"
@@ -24,17 +25,47 @@ def mask_runs(masks: DataFrame) -> DataFrame:
     return masks.select(*PLANE, "y", F.explode(F.arrays_zip(starts.alias("x0"), ends.alias("x1"))).alias("r")).select(*PLANE, "y", "r.x0", "r.x1")
 
 
-def connected_components(runs: DataFrame, connectivity: int, width: int) -> DataFrame:
-    """runs with component: the least raster index (y * width + x) of the island. One plane's runs are one group."""
+#: Lines of a plane that are labelled together.
+STRIP = 512
 
-    def run(table: pa.Table) -> pa.Table:
+
+def connected_components(runs: DataFrame, connectivity: int, width: int, strip: int = STRIP) -> DataFrame:
+    """runs with component: the least raster index (y * width + x) of the island.
+
+    Strips of so many lines are groups of their own. The lines on both sides of a seam, again a group, tell which islands
+    of two strips are one; what hangs together over seams takes the least index. A plane of any height is no single group."""
+
+    def within(table: pa.Table) -> pa.Table:
         y, x0, x1 = (table.column(c).to_numpy() for c in ("y", "x0", "x1"))
         root = kernels.runs_components(y, x0, x1, connectivity)
         least = np.full(len(y), np.iinfo(np.int64).max)
         np.minimum.at(least, root, y.astype(np.int64) * width + x0)
-        return table.append_column("component", pa.array(least[root]))
+        return table.drop(["strip"]).append_column("component", pa.array(least[root]))
+
+    own = runs.select(*PLANE, "y", "x0", "x1", F.floor(F.col("y") / strip).cast("int").alias("strip"))
+    parts = cut(own.groupBy(*PLANE, "strip").applyInArrow(within, RUN + ", component long"), "strips")
+    last = (F.col("y") + 1) % strip == 0
+    # a line is the last before a seam, the first after one, or both
+    number = F.explode(F.array_distinct(F.transform(F.array(F.col("y"), F.col("y") + 1), lambda y: F.when(y % strip == 0, F.floor(y / strip).cast("int")))))
+    seams = parts.where(last | (F.col("y") % strip == 0)).withColumn("seam", number).where("seam > 0")
+    if not seams.where(last).head(1):
+        return parts
+
+    def across(table: pa.Table) -> pa.Table:
+        """Pairs of islands that touch over a seam: those of a line's runs in one component of the two lines."""
+        y, x0, x1, component = (table.column(c).to_numpy() for c in ("y", "x0", "x1", "component"))
+        root = kernels.runs_components(y, x0, x1, connectivity)
+        order = np.lexsort((component, root))
+        same = root[order][1:] == root[order][:-1]
+        a, b = component[order][:-1][same], component[order][1:][same]
+        key = table.slice(0, 1).select(PLANE)
+        return pa.table([*(pa.array([c[0].as_py()] * len(a), c.type) for c in key.columns), pa.array(a), pa.array(b)], [*PLANE, "a", "b"])
 
-    return runs.select(*PLANE, "y", "x0", "x1").groupBy(*PLANE).applyInArrow(run, RUN + ", component long")
+    pairs = seams.groupBy(*PLANE, "seam").applyInArrow(across, "sample string, replicate int, t int, channel int, a long, b long")
+    node = lambda c: F.struct(*PLANE, F.col(c).alias("island")).alias(c)
+    whole = joined_up(pairs.select(node("a"), node("b"))).select("node.*", F.col("component.island").alias("whole"))
+    named = whole.withColumnRenamed("island", "component")
+    return parts.join(named, [*PLANE, "component"], "left").select(*PLANE, "y", "x0", "x1", F.coalesce("whole", "component").alias("component"))
 
 
 def remove_small_objects(components: DataFrame, min_size: int = 50) -> DataFrame:
@@ -68,18 +99,28 @@ def shape_features(components: DataFrame) -> DataFrame:
     return m.select(*PLANE, "component", "area", (4 * F.sqrt(half + root)).alias("major_axis_length"), (4 * F.sqrt(F.greatest(half - root, F.lit(0.0)))).alias("minor_axis_length"), (0.5 * F.atan2(2 * F.col("b"), F.col("a") - F.col("c"))).alias("orientation"))
 
 
-def solidity(components: DataFrame) -> DataFrame:
-    """Area over convex-hull area; a component is one group."""
+def solidity(components: DataFrame, strip: int = STRIP) -> DataFrame:
+    """Area over convex-hull area.
 
-    def run(table: pa.Table) -> pa.Table:
+    Of each line only the outermost pixels can lie on a hull. The hulls of a component's strips are groups of their own; a second
+    aggregate takes the hull of their corners, so that a component of any size is no single group."""
+    key = [*PLANE, "component"]
+    lines = components.groupBy(*key, "y").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.sum(F.col("x1") - F.col("x0") + 1).alias("area"))
+    schema = "sample string, replicate int, t int, channel int, component long, "
+
+    def within(table: pa.Table) -> pa.Table:
         y, x0, x1 = (table.column(c).to_numpy() for c in ("y", "x0", "x1"))
-        # the ends of the runs span the hull
-        hull = kernels.hull_area(np.concatenate([y, y]), np.concatenate([x0, x1]))
-        area = int((x1 - x0 + 1).sum())
-        key = table.slice(0, 1).select([*PLANE, "component"])
-        return key.append_column("solidity", pa.array([area / hull]))
+        corners = kernels.hull(kernels.pixel_corners(np.concatenate([y, y]), np.concatenate([x0, x1])))
+        area = int(table.column("area").to_numpy().sum())
+        return table.slice(0, 1).select(key).append_column("corners", pa.array([[v for p in corners for v in p]], pa.list_(pa.int64()))).append_column("area", pa.array([area]))
+
+    def over(table: pa.Table) -> pa.Table:
+        flat = table.column("corners").combine_chunks().flatten().to_numpy()
+        whole = kernels.polygon_area(kernels.hull(flat.reshape(-1, 2)))
+        return table.slice(0, 1).select(key).append_column("solidity", pa.array([int(table.column("area").to_numpy().sum()) / whole]))
 
-    return components.groupBy(*PLANE, "component").applyInArrow(run, "sample string, replicate int, t int, channel int, component long, solidity double")
+    parts = lines.groupBy(*key, F.floor(F.col("y") / strip).alias("strip")).applyInArrow(within, schema + "corners array<long>, area long")
+    return parts.groupBy(*key).applyInArrow(over, schema + "solidity double")
 
 
 def binary_counts(components: DataFrame, planes: DataFrame, width: int) -> DataFrame:
@@ -140,6 +181,48 @@ def flooded(runs: DataFrame, height: int, width: int) -> DataFrame:
     return connected_components(runs, 8, width).groupBy(*PLANE, "component").applyInArrow(run, FLOODED)
 
 
+#: Columns whose distances are found together, and lines.
+COLUMNS, LINES = 128, 32
+
+
+def distance_lines(runs: DataFrame, height: int, width: int) -> DataFrame:
+    """(plane, y, distance): of each line with foreground the exact distance of every pixel to the nearest background pixel of the plane, 0 for background.
+
+    Distances along the columns come first, by bundles of columns, then, by bundles of lines, the lower envelope of each line. Both
+    are exchanges of their own, so that neither a plane nor an island is a single group. Outside the image is not background; a
+    plane without background has distance 0."""
+    at = lambda c: F.floor(F.col(c) / COLUMNS).cast("int")
+    dealt = runs.select(*PLANE, "y", "x0", "x1", F.explode(F.sequence(at("x0"), at("x1"))).alias("bundle"))
+
+    def down(table: pa.Table) -> pa.Table:
+        first = table.column("bundle")[0].as_py() * COLUMNS
+        mask = np.zeros((height, min(COLUMNS, width - first)), bool)
+        for y, a, b in zip(*(table.column(c).to_pylist() for c in ("y", "x0", "x1")), strict=True):
+            mask[y, max(a - first, 0) : b - first + 1] = True
+        d = kernels.column_distances(mask)
+        ys = np.flatnonzero(mask.any(1))
+        key = table.slice(0, 1).select([*PLANE, "bundle"])
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(ys) + 1, dtype=np.int32) * mask.shape[1]), pa.array(d[ys].ravel()))
+        return pa.table([*(pa.array([c[0].as_py()] * len(ys), c.type) for c in key.columns), pa.array(ys.astype(np.int32)), flat], [*PLANE, "bundle", "y", "down"])
+
+    def along(table: pa.Table) -> pa.Table:
+        y, bundle = table.column("y").to_numpy(), table.column("bundle").to_numpy()
+        parts = table.column("down").combine_chunks()
+        at, flat = parts.offsets.to_numpy(), parts.values.to_numpy()
+        ys, row = np.unique(y, return_inverse=True)
+        g = np.zeros((len(ys), width))
+        for k, (r, b) in enumerate(zip(row, bundle, strict=True)):
+            g[r, b * COLUMNS : b * COLUMNS + at[k + 1] - at[k]] = flat[at[k] : at[k + 1]]
+        d = kernels.line_distances(g)
+        key = table.slice(0, 1).select(PLANE)
+        out = pa.ListArray.from_arrays(pa.array(np.arange(len(ys) + 1, dtype=np.int32) * width), pa.array(d.ravel()))
+        return pa.table([*(pa.array([c[0].as_py()] * len(ys), c.type) for c in key.columns), pa.array(ys.astype(np.int32)), out], [*PLANE, "y", "distance"])
+
+    plane = "sample string, replicate int, t int, channel int, "
+    columns = dealt.groupBy(*PLANE, "bundle").applyInArrow(down, plane + "bundle int, y int, down array<double>")
+    return columns.groupBy(*PLANE, F.floor(F.col("y") / LINES).alias("lines")).applyInArrow(along, plane + "y int, distance array<double>")
+
+
 def local_peaks(pixels: DataFrame) -> DataFrame:
     return pixels.where("peak").select(*PLANE, "y", "x", "distance")
 

@@ -228,6 +228,16 @@ def downscale_mosaic(spark, d):
     return im.downscale(st.scanlines(spark, d)).select("t", "channel", "y", "x", "v")
 
 
+#: Where the tiles of a stand-in mosaic lie: each channel's plane is a tile, with odd places and overlaps.
+PLACES = [(0, 0, 0), (1, 0, 61), (2, 63, 0), (3, 61, 63)]
+
+
+@query(WITH + f", pl(channel, y0, x0) AS (VALUES {str(PLACES)[1:-1]}) SELECT t, CAST(FLOOR((y + y0)/2) AS INT) y, CAST(FLOOR((x + x0)/2) AS INT) x, ROUND(AVG(v), 6) v FROM px JOIN pl USING (channel) GROUP BY ALL")
+def mosaic_canvas(spark, d):
+    tiles = st.scanlines(spark, d).withColumn("m", F.col("channel")).withColumn("channel", F.lit(0))
+    return rounded(im.mosaic_canvas(tiles, spark.createDataFrame(PLACES, "m int, y0 int, x0 int")), "v").select("t", "y", "x", "v")
+
+
 def _otsu(src: str) -> str:
     return f"""mm AS (SELECT t, channel, MIN(v) lo, MAX(v) hi FROM {src} GROUP BY 1, 2),
 hb AS (SELECT t, channel, lo, hi, CAST(LEAST(FLOOR((v - lo)/(hi - lo)*256), 255) AS INT) bin, COUNT(*) n FROM {src} JOIN mm USING (t, channel) GROUP BY ALL),
@@ -347,7 +357,8 @@ FROM px a JOIN px b ON a.t = b.t AND a.channel = b.channel AND a.v > 1048 AND b.
 
 @query(WITH + DISTANCE)
 def distance_transform(spark, d):
-    return rounded(sg.flooded(sg.mask_runs(_mask(spark, d)), SIDE, SIDE).select("t", "channel", "y", "x", "distance"), "distance")
+    lines = sg.distance_lines(sg.mask_runs(_mask(spark, d)), SIDE, SIDE)
+    return rounded(lines.select("t", "channel", "y", F.posexplode("distance").alias("x", "distance")).where("distance > 0"), "distance")
 
 
 @query(WITH + DISTANCE)
@@ -400,6 +411,15 @@ def write_masks(spark, d):
     return spark.read.parquet(path).select("t", "channel", "y", "x0", "x1", "stem")
 
 
+@query(MASK + _islands(0) + ", kp AS (SELECT t, channel, component, SUM(x1 - x0 + 1) n FROM co GROUP BY 1, 2, 3 HAVING SUM(x1 - x0 + 1) >= 5), mk AS (SELECT co.t, co.channel, y, SUM(x1 - x0 + 1) n FROM co JOIN kp USING (t, channel, component) GROUP BY 1, 2, 3), sm AS (SELECT t, channel, y, CAST(SUM(v) AS BIGINT) total FROM px GROUP BY 1, 2, 3) SELECT t, channel, y, CAST(COALESCE(n, 0) AS BIGINT) mask_pixels, total, 'S_1_t' || t AS stem FROM sm LEFT JOIN mk USING (t, channel, y)")
+def write_mask_planes(spark, d):
+    """Masks and their planes as whole numbers, written line by line and read back."""
+    path = new_path(spark, "mask-planes")
+    files.write_mask_planes(sg.remove_small_objects(_components(spark, d, 4), 5), st.scanlines(spark, d), path)
+    whole = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, v: a + v)
+    return spark.read.parquet(path).select("t", "channel", "y", whole("mask").alias("mask_pixels"), whole("plane").alias("total"), "stem")
+
+
 @query()
 def segment(spark, d):
     return sg.flooded(_kept(spark, d), SIDE, SIDE)

@@ -1,4 +1,5 @@
 import os
+import shutil
 import sys
 
 import pytest
@@ -13,6 +14,7 @@ def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[4]")
         .config("spark.ui.enabled", "false")
+        .config("spark.driver.memory", "3g")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
@@ -20,3 +22,15 @@ def spark(tmp_path_factory):
     )
     session.sparkContext.setLogLevel("ERROR")
     return session
+
+
+@pytest.fixture(autouse=True)
+def shared_folder(request, tmp_path_factory):
+    """A shared folder for each test, which goes with all that the test has written there."""
+    if "spark" not in request.fixturenames:
+        yield
+        return
+    session, path = request.getfixturevalue("spark"), tmp_path_factory.mktemp("shared")
+    session.conf.set("spark.checkpoint.dir", str(path))
+    yield
+    shutil.rmtree(path, ignore_errors=True)
