@@ -100,29 +100,99 @@ def _nearest(a: np.ndarray, b: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray,
     return i[kept], j[kept], d[kept]
 
 
+#: Pivots at most: cells are dealt by the nearest one.
+PIVOTS = 1024
+NEAR = "near array<struct<neighbour: long, d2: double>>"
+
+
+def _matrix(table: pa.Table | pa.RecordBatch, column: str = "vector") -> np.ndarray:
+    values = table.column(column)
+    flat = (values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values).flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(values), len(flat) // max(len(values), 1))
+
+
+def _from_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances of rows from pivots, up to rounding (see SLACK)."""
+    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (pivots * pivots).sum(1) - 2 * (x @ pivots.T), 0))
+
+
+#: What rounding may take from a distance, as a share of the vectors' lengths: the product above loses half the digits of a small one.
+SLACK = 1e-6
+
+
+def _k_nearest(a: np.ndarray, b: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray, k: int):
+    """_nearest() for so many rows of a at once."""
+    parts = [(at, *_nearest(a[at : at + AT_ONCE], b, a_ids[at : at + AT_ONCE], b_ids, k)) for at in range(0, len(a) if len(b) else 0, AT_ONCE)]
+    whole = [(at + i, j, d) for at, i, j, d in parts] or [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+    return (np.concatenate(c) for c in zip(*whole, strict=True))
+
+
 def knn_graph(cells: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
-    """(id, neighbour, d2): the k nearest of every cell, ties to the smaller id.
-
-    Every block of about so many cells is compared with every block, by matrix products; each comparison keeps k a cell.
-    That is all pairs of cells, as exact neighbours need it, but no rows of pairs."""
-    blocks = max(1, -(-cells.count() // block))
-    dealt = cells.select("id", "vector").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    left = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.col("block").alias("i"), F.col("other").alias("j"), "id", "vector")
-    right = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.col("other").alias("i"), F.col("block").alias("j"), "id", "vector")
-
-    def run(p: pa.Table, q: pa.Table) -> pa.Table:
-        x, y = (t.column("id").to_numpy() for t in (p, q))
-        out: list[list] = [[], [], []]
-        if len(p) and len(q):
-            a, b = (t.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(t), -1) for t in (p, q))
-            for at in range(0, len(a), AT_ONCE):
-                i, j, d = _nearest(a[at : at + AT_ONCE], b, x[at : at + AT_ONCE], y, k)
-                for column, values in zip(out, (x[at + i], y[j], d), strict=True):
-                    column.append(values)
-        whole = [np.concatenate(c) if c else np.zeros(0) for c in out]
-        return pa.table([pa.array(c, t) for c, t in zip(whole, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["id", "neighbour", "d2"])
-
-    near = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(run, "id long, neighbour long, d2 double")
+    """(id, neighbour, d2): the k nearest of every cell, ties to the smaller id. Exact.
+
+    Cells are dealt to the nearest of some pivots (cells themselves, PIVOTS at most), and a pivot's cells to blocks of about so many.
+    The k nearest of its own block bound how far a cell has to look: by the triangle inequality no cell of a pivot is nearer
+    than the distance to the pivot less the distance of the pivot's farthest cell. A cell is sent to the blocks of those pivots
+    only that this does not rule out, and compared there by matrix products; a group is a pair of blocks."""
+    spark = cells.sparkSession
+    own = cells.select("id", "vector")
+    blocks = max(1, -(-own.count() // block))
+    def at_home(table: pa.Table) -> pa.Table:
+        x, ids = _matrix(table), table.column("id").to_numpy()
+        i, j, d = _k_nearest(x, x, ids, ids, k)
+        n = np.bincount(i, minlength=len(x))
+        edges = np.append(0, np.cumsum(n)).astype(np.int32)
+        far = np.full(len(x), np.inf)
+        far[n == k] = d[edges[1:][n == k] - 1]
+        near = pa.StructArray.from_arrays([pa.array(ids[j]), pa.array(d)], ["neighbour", "d2"])
+        return pa.table([table.column("id"), table.column("vector"), table.column("block"), pa.array(far), pa.ListArray.from_arrays(pa.array(edges), near)], ["id", "vector", "block", "far", "near"])
+
+    schema = f"id long, vector array<double>, block int, far double, {NEAR}"
+    nearest = lambda home: home.select("id", F.explode("near").alias("n")).select("id", "n.neighbour", "n.d2")
+    if blocks == 1:
+        return nearest(own.withColumn("block", F.lit(0)).groupBy("block").applyInArrow(at_home, schema))
+    chosen = own.orderBy(F.xxhash64("id"), "id").limit(min(blocks, PIVOTS)).collect()
+    pivots = np.array([r["vector"] for r in chosen], float)
+
+    def deal(batches):
+        for batch in batches:
+            d = _from_pivots(_matrix(batch), pivots)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(d.argmin(1).astype(np.int32)), pa.array(d.min(1))], ["id", "vector", "pivot", "off"])
+
+    dealt = cut(own.mapInArrow(deal, "id long, vector array<double>, pivot int, off double"), "dealt")
+    facts = {r["pivot"]: r for r in dealt.groupBy("pivot").agg(F.count("*").alias("n"), F.max("off").alias("radius")).collect()}  # a row a pivot
+    parts = np.array([-(-facts[p]["n"] // block) if p in facts else 0 for p in range(len(pivots))], np.int64)
+    first, radius = np.cumsum(parts) - parts, np.array([facts[p]["radius"] if p in facts else 0.0 for p in range(len(pivots))])
+    place = spark.createDataFrame([(p, int(first[p]), int(parts[p])) for p in sorted(facts)], "pivot int, first int, parts int")
+    blocked = cut(dealt.join(F.broadcast(place), "pivot").select("id", "vector", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("block")), "blocks")
+    dropped(dealt)
+
+    home = cut(blocked.groupBy("block").applyInArrow(at_home, schema), "home")
+    near = nearest(home)
+    if parts.sum() > 1:
+
+        def sent(batches):
+            """A row for each further block in which a cell's nearest may lie."""
+            for batch in batches:
+                x, far = _matrix(batch), np.sqrt(batch.column("far").to_numpy())
+                slack = SLACK * (1 + np.sqrt((x * x).sum(1)) + np.sqrt((pivots * pivots).sum(1)).max())
+                row, p = np.nonzero(_from_pivots(x, pivots) - radius <= (far + slack)[:, None])
+                n = parts[p]
+                to = np.repeat(first[p], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                row = np.repeat(row, n)
+                kept = to != batch.column("block").to_numpy()[row]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row[kept])) for c in ("id", "vector", "block")), pa.array(to[kept].astype(np.int32))], ["id", "vector", "i", "j"])
+
+        asked = cut(home.select("id", "vector", "block", "far").mapInArrow(sent, "id long, vector array<double>, i int, j int"), "asked")
+        pairs = cut(asked.select("i", "j").distinct(), "pairs")
+        there = blocked.withColumnRenamed("block", "j").join(pairs, "j").select("id", "vector", "i", "j")
+
+        def compared(p: pa.Table, q: pa.Table) -> pa.Table:
+            a_ids, b_ids = p.column("id").to_numpy(), q.column("id").to_numpy()
+            i, j, d = _k_nearest(_matrix(p), _matrix(q), a_ids, b_ids, k)
+            return pa.table([pa.array(a_ids[i]), pa.array(b_ids[j]), pa.array(d)], ["id", "neighbour", "d2"])
+
+        near = near.union(asked.groupBy("i", "j").cogroup(there.groupBy("i", "j")).applyInArrow(compared, "id long, neighbour long, d2 double"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("d2", "neighbour"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 
