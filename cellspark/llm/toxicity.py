@@ -5,6 +5,8 @@ short list of (index, weight). Shards of the training rows are learned side by s
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,8 +19,8 @@ from .names import plain
 
 FOLDS, HELD_OUT = 3, 1
 BITS = 20
-#: The most labelled rows to learn from, and how many of them make a shard.
-TRAIN_ROWS, SHARD_ROWS = 30_000, 15_000
+#: The most labelled rows to learn from, and how many of them, or bytes of their texts, make a shard.
+TRAIN_ROWS, SHARD_ROWS, SHARD_BYTES = 30_000, 15_000, 256 << 20
 ALPHA, BETA, L1, L2, EPOCHS = 3.0, 1.0, 6.0, 0.0, 3
 
 
@@ -45,16 +47,19 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def _train(table: pa.Table) -> pa.Table:
-    """FTRL-proximal over one shard, in order of a hash of the id: rows (index, weight); the bias is the last index."""
-    table = table.sort_by([("turn", "ascending"), ("doc_id", "ascending")])
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """FTRL-proximal over one shard, in order of a hash of the id: rows (index, weight); the bias is the last index.
+
+    Texts come batch by batch, and only their features are kept."""
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
-    labels = np.array(table.column("label").to_pylist(), float)
-    rows = []
-    for batch in table.to_batches():
+    rows, keys = [], []
+    for batch in batches:
         for part in slices(batch):
             index, first = distinct(*features(part.column("text")))
             rows += [np.append(index[first[k] : first[k + 1]], 1 << BITS).astype(np.int32) for k in range(part.num_rows)]
+            keys += zip(*(part.column(c).to_pylist() for c in ("turn", "doc_id", "label")), strict=True)
+    order = sorted(range(len(keys)), key=keys.__getitem__)
+    rows, labels = [rows[k] for k in order], np.array([keys[k][2] for k in order], float)
 
     def weights(i):
         return np.where(np.abs(z[i]) > L1 * (i < 1 << BITS), -(z[i] - np.sign(z[i]) * L1 * (i < 1 << BITS)) / ((BETA + np.sqrt(n[i])) / ALPHA + L2), 0.0)
@@ -68,7 +73,7 @@ def _train(table: pa.Table) -> pa.Table:
             n[i] += g * g
     w = weights(np.arange(len(z)))
     at = np.flatnonzero(w)
-    return pa.table([pa.array(at, pa.int32()), pa.array(w[at], pa.float64())], ["index", "weight"])
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(w[at], pa.float64())], ["index", "weight"])
 
 
 def trained(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows: int = TRAIN_ROWS) -> np.ndarray:
@@ -79,8 +84,9 @@ def trained(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows
     turn = F.pmod(F.xxhash64("doc_id", F.lit("turn")), F.lit(1 << 30))
     if total > train_rows:
         chosen = chosen.where(turn < int((1 << 30) * train_rows / total))
-    shards = max(1, -(-min(total, train_rows) // SHARD_ROWS))
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    text_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-min(total, train_rows) // SHARD_ROWS), -(-text_bytes // SHARD_BYTES))
     rows = rows.select("doc_id", "text", "label", turn.alias("turn"), F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(shards)).alias("shard"))
     model = rows.groupBy("shard").applyInArrow(_train, "index int, weight double").groupBy("index").agg((F.sum("weight") / shards).alias("weight")).toArrow()
     out = np.zeros((1 << BITS) + 1)
