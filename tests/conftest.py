@@ -25,12 +25,12 @@ def spark(tmp_path_factory):
 
 
 @pytest.fixture(autouse=True)
-def shared_folder(request, tmp_path_factory):
+def shared_folder(request, tmp_path_factory, monkeypatch):
     """A shared folder for each test, which goes with all that the test has written there."""
     if "spark" not in request.fixturenames:
         yield
         return
-    session, path = request.getfixturevalue("spark"), tmp_path_factory.mktemp("shared")
-    session.conf.set("spark.checkpoint.dir", str(path))
+    path = tmp_path_factory.mktemp("shared")
+    monkeypatch.setattr("cellspark.plans.lineage.shared_folder", lambda spark: str(path))
     yield
     shutil.rmtree(path, ignore_errors=True)
