@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import kernels
-from ..plans.lineage import cut, dropped, new_path
+from ..plans.lineage import cut, dropped, new_path, removed
 from .graph import components
 
 
@@ -246,6 +246,7 @@ def track_bayes(objects: DataFrame, radius: float = 50.0, features: tuple[str, .
         else:
             own = own.select("*", *[v.alias(c) for c, v in new.items()])
         own.drop("first", "first_looks").groupBy("movie", "island").applyInArrow(_next, STATE).write.parquet(f"{at}/states/t={t + 1}")
+    removed(spark, f"{at}/reach")
     key = ["movie", "t", "ID"]
     if not frames:
         return rows.select(*key, track_key(F.col("t"), F.col("ID")).alias("track_id"), F.lit(1.0).alias("probability"))
@@ -366,6 +367,7 @@ def optimise(tracks: DataFrame, gap: int = 3, radius: float = 50.0, width: float
 
     islands = _island_of(pairs, ["movie", "track_id"], ["movie", "parent"])
     chosen = cut(islands.groupBy("movie", "island").applyInArrow(run, "movie string, track_id string, parent string, cost double, kind string"), "chosen")
+    dropped(pairs)
     key = ["movie", "track_id"]
     starts = ends.join(chosen, key, "left").select(*key, F.lit("start").alias("side"), F.coalesce("kind", "start_kind").alias("kind"), "parent", F.coalesce("cost", "start").alias("cost"))
     going = chosen.groupBy("movie", F.col("parent").alias("track_id")).agg(F.min("kind").alias("kind"))

@@ -38,11 +38,15 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder below the shared one that no later step reads."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables made by cut() that no later step reads."""
     for df in tables:
         files = df.inputFiles()
         if files:
-            spark = df.sparkSession
-            path = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            removed(df.sparkSession, files[0].rsplit("/", 1)[0])
