@@ -4,6 +4,8 @@ Everything works on the UTF-8 bytes of a slice of documents, so that no Python s
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,6 +56,25 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         at = to
 
 
+def released() -> None:
+    """Give memory that a task has freed back to the system, as its Python worker lives on. Without glibc only Arrow's part goes."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def releasing(run):
+    """The function run of a task's batches, after whose last result the worker's freed memory is released."""
+
+    @functools.wraps(run)
+    def then_released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        released()
+
+    return then_released
+
+
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import ALNUM, Words, isin_sorted, mix, ngrams, slices, unpacked, within
+from .arrays import ALNUM, Words, isin_sorted, mix, ngrams, releasing, slices, unpacked, within
 from .names import own, plain
 from .store import dropped, stored
 
@@ -164,7 +164,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("text", "part"), F.lit(blocks)) == k) if blocks > 1 else items
         shared = spark.sparkContext.broadcast(Index(block.toArrow()))
-        found = out.mapInArrow(_block(shared), out.schema)
+        found = out.mapInArrow(releasing(_block(shared)), out.schema)
         if blocks > 1:
             before, found = out, stored(found, "hits")
             shared.destroy()

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import NOT_SPACE, Words, isin_sorted, mix, ngrams, packed, slices, within
+from .arrays import NOT_SPACE, Words, isin_sorted, mix, ngrams, packed, releasing, slices, within
 from .components import components
 from .store import dropped, few, stored, with_facts
 
@@ -114,7 +114,7 @@ def signatures(docs: DataFrame, n_bands: int = BANDS) -> DataFrame:
                     columns[0][k], columns[1][k], columns[2][k] = digest[at].tobytes(), bands[at].tolist(), bits[at].tobytes()
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.list_(pa.int64())), pa.array(columns[2], pa.binary())], ["doc_id", "n_shingles", "digest", "bands", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, bits binary")
+    return docs.select("doc_id", "text").mapInArrow(releasing(run), "doc_id long, n_shingles long, digest binary, bands array<long>, bits binary")
 
 
 def _matrix(column) -> np.ndarray:
@@ -145,7 +145,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 keys, first = shingles(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), packed(np.split(keys, first[1:-1]), np.uint64)], ["doc_id", "set"])
 
-    return docs.select("doc_id", "text").join(wanted.distinct().hint("shuffle_merge"), "doc_id", "left_semi").mapInArrow(run, "doc_id long, set binary")
+    return docs.select("doc_id", "text").join(wanted.distinct().hint("shuffle_merge"), "doc_id", "left_semi").mapInArrow(releasing(run), "doc_id long, set binary")
 
 
 def _links(docs: DataFrame, near: DataFrame, per_cent: int) -> DataFrame:

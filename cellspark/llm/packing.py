@@ -17,7 +17,7 @@ import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import isin_sorted, range_hashes, slices, text_bytes
+from .arrays import isin_sorted, range_hashes, releasing, slices, text_bytes
 from .store import dropped, stored
 
 CAPACITY, END_ID = 1024, 2
@@ -139,7 +139,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
                 piece = np.arange(len(doc)) - np.repeat(np.cumsum(number) - number, number)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(releasing(run), PIECES)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..plans.lineage import new_path
 
 #: Settings of the jobs that stored() runs: shuffle files go as soon as a job has ended, and a Python worker gets some
-#: megabytes of texts at once, not tens.
-SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+#: megabytes of texts at once, not tens, however long they are (a text that is longer comes alone).
+SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 @contextmanager

@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .arrays import ALNUM, WORD_BASE, Words, mix, slices
+from .arrays import ALNUM, WORD_BASE, Words, mix, releasing, slices
 from .labels import fold, training_labels
 from .names import plain
+from .store import settings
 
 FOLDS, HELD_OUT = 3, 1
 BITS = 20
@@ -52,11 +53,12 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     Texts come batch by batch, and only their features are kept."""
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
-    rows, keys = [], []
+    parts, rows, keys = [], [], []
     for batch in batches:
         for part in slices(batch):
             index, first = distinct(*features(part.column("text")))
-            rows += [np.append(index[first[k] : first[k + 1]], 1 << BITS).astype(np.int32) for k in range(part.num_rows)]
+            rows += [(len(parts), first[k], first[k + 1]) for k in range(part.num_rows)]
+            parts.append(index.astype(np.int32))
             keys += zip(*(part.column(c).to_pylist() for c in ("turn", "doc_id", "label")), strict=True)
     order = sorted(range(len(keys)), key=keys.__getitem__)
     rows, labels = [rows[k] for k in order], np.array([keys[k][2] for k in order], float)
@@ -65,7 +67,8 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return np.where(np.abs(z[i]) > L1 * (i < 1 << BITS), -(z[i] - np.sign(z[i]) * L1 * (i < 1 << BITS)) / ((BETA + np.sqrt(n[i])) / ALPHA + L2), 0.0)
 
     for _ in range(EPOCHS):
-        for i, y in zip(rows, labels, strict=True):
+        for (part, begin, end), y in zip(rows, labels, strict=True):
+            i = np.append(parts[part][begin:end], np.int32(1 << BITS))
             w = weights(i)
             g = _sigmoid(w.sum()) - y
             more = np.sqrt(n[i] + g * g)
@@ -88,7 +91,8 @@ def trained(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows
     text_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-min(total, train_rows) // SHARD_ROWS), -(-text_bytes // SHARD_BYTES))
     rows = rows.select("doc_id", "text", "label", turn.alias("turn"), F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(shards)).alias("shard"))
-    model = rows.groupBy("shard").applyInArrow(_train, "index int, weight double").groupBy("index").agg((F.sum("weight") / shards).alias("weight")).toArrow()
+    with settings(docs.sparkSession):
+        model = rows.groupBy("shard").applyInArrow(releasing(_train), "index int, weight double").groupBy("index").agg((F.sum("weight") / shards).alias("weight")).toArrow()
     out = np.zeros((1 << BITS) + 1)
     out[model.column("index").to_numpy()] = model.column("weight").to_numpy()
     return out
@@ -111,7 +115,7 @@ def scored(docs: DataFrame, weights: np.ndarray, name: str = "score") -> DataFra
                 yield part.append_column("of_text", pa.array(_sigmoid(sums + table[-1])))
 
     rows = plain(docs)
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("of_text", DoubleType())])).toDF(*docs.columns, name)
+    return rows.mapInArrow(releasing(run), StructType([*rows.schema.fields, StructField("of_text", DoubleType())])).toDF(*docs.columns, name)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:

@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cellspark.llm import decontaminate, secrets
-from cellspark.llm.arrays import ALNUM, Words
+from cellspark.llm.arrays import ALNUM, Words, releasing
+from cellspark.llm.store import stored
 
 
 def test_one_word_against_one_word(spark):
@@ -63,3 +64,15 @@ def test_a_token_of_a_megabyte(spark):
     assert "markov:0:1000000" in rows[1]["spans"].split(",") and rows[2]["n_hex"] == 2000
     clean = {r["doc_id"]: r["text"] for r in secrets.redacted(df).collect()}
     assert clean[1] == "[SECRET]" and clean[2] == "[SECRET] " * 2000
+
+
+def test_stored_hands_over_long_texts_a_few_megabytes_at_once(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "bytes"])
+
+    docs = spark.range(0, 60, 1, 1).select("id", F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    rows = stored(docs.mapInArrow(releasing(sizes), "n long, bytes long"), "sizes").collect()
+    assert sum(r["n"] for r in rows) == 60
+    assert max(r["bytes"] for r in rows) < 12 << 20
+    assert stored(docs.where("id < 0").mapInArrow(releasing(sizes), "n long, bytes long"), "sizes").count() == 0
