@@ -28,15 +28,19 @@ BLOCK = (SPAN + 1) // 2
 SEND, BUCKET_BYTES, BUCKETS = 600_000, 6 << 20, 8
 
 
-def _by_bucket(buckets: int, which: np.ndarray, doc: np.ndarray, columns: dict[str, np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, dict[str, np.ndarray]]]:
-    """(bucket, documents, number of entries of each, columns) of entries in order of document."""
+def _by_bucket(which: np.ndarray, doc: np.ndarray, columns: dict[str, np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, dict[str, np.ndarray]]]:
+    """(bucket, documents, number of entries of each, columns) of entries in order of document. All is put in order once, so
+    that a bucket more costs some slices, not a pass over the entries."""
+    if not len(which):
+        return
     order = np.argsort(which, kind="stable")
-    which, doc = which[order], doc[order]
-    edges = np.searchsorted(which, np.arange(buckets + 1))
-    for b in np.unique(which):
-        own = slice(edges[b], edges[b + 1])
-        change = np.flatnonzero(np.diff(doc[own], prepend=doc[edges[b]] - 1))
-        yield int(b), doc[own][change], np.diff(np.append(change, edges[b + 1] - edges[b])), {k: v[order][own] for k, v in columns.items()}
+    which, doc, columns = which[order], doc[order], {k: v[order] for k, v in columns.items()}
+    change = np.flatnonzero(np.append(True, (which[1:] != which[:-1]) | (doc[1:] != doc[:-1])))
+    counts, ids = np.diff(np.append(change, len(which))), doc[change]
+    first = np.flatnonzero(np.append(True, np.diff(which[change]) != 0))
+    for at, to in zip(first.tolist(), [*first[1:].tolist(), len(change)], strict=True):
+        own = slice(int(change[at]), int(change[to]) if to < len(change) else len(which))
+        yield int(which[own.start]), ids[at:to], counts[at:to], {k: v[own] for k, v in columns.items()}
 
 
 def _probes(buckets: int):
@@ -62,7 +66,7 @@ def _probes(buckets: int):
             g = grams[here]
             flags = one[order] if not names else anchor[here]
             which = (g % np.uint64(buckets)).astype(np.int64)
-            for b, ids, counts, c in _by_bucket(buckets, which, doc[here], {"g": g // np.uint64(buckets), "a": flags}):
+            for b, ids, counts, c in _by_bucket(which, doc[here], {"g": g // np.uint64(buckets), "a": flags}):
                 # what a slice knows already goes through a bucket that does not depend on the hash
                 key = -1 - (b + int(doc[0])) % buckets if names else b
                 rows.append((key, b, ids, counts, c["g"].astype(np.uint32), np.packbits(c["a"])))
@@ -99,7 +103,7 @@ def _grouped(groups: int, doc: np.ndarray, values: np.ndarray) -> Iterator[tuple
     order = np.argsort(doc, kind="stable")
     doc, values = doc[order], values[order]
     which = (mix(doc.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
-    for b, ids, counts, c in _by_bucket(groups, which, doc, {"v": values}) if len(doc) else ():
+    for b, ids, counts, c in _by_bucket(which, doc, {"v": values}):
         yield b, ids, counts, c["v"]
 
 
@@ -144,9 +148,27 @@ def _anchored(groups: int):
 
 
 def _windows(buckets: int):
-    """Rows (bucket, ids, counts, windows): hashes of the 13-word windows around the anchors."""
+    """Rows (bucket, ids, counts, windows): hashes of the 13-word windows around the anchors, gathered over SEND of them."""
+
+    def send(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        ids, g = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((ids, g))
+        ids, g = ids[order], g[order]
+        new = np.append(True, (g[1:] != g[:-1]) | (ids[1:] != ids[:-1]))
+        ids, g = ids[new], g[new]
+        # a window of several documents that are sent together: all but the least are repeats, the least one asks
+        least = np.append(True, g[1:] != g[:-1])
+        rows = []
+        for here, known in ((least, 0), (~least, 1)):
+            i, h = ids[here], g[here]
+            order = np.argsort(i, kind="stable")
+            i, h = i[order], h[order]
+            for b, who, counts, c in _by_bucket((mix(h) % np.uint64(buckets)).astype(np.int64), i, {"g": h}):
+                rows.append((-1 - (b + int(ids[0])) % buckets if known else b, who, counts, c["g"]))
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), packed([r[1] for r in rows], np.int64), packed([r[2] for r in rows], np.int32), packed([r[3] for r in rows], np.uint64)], ["bucket", "ids", "counts", "windows"])
 
     def run(batches):
+        parts, size = [], 0
         for batch in batches:
             for part in slices(batch):
                 words = Words(part.column("text"), NOT_SPACE)
@@ -169,24 +191,13 @@ def _windows(buckets: int):
                 at = np.flatnonzero(near & whole)
                 if not len(at):
                     continue
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)[doc[at]]
-                g = spans[at]
-                order = np.lexsort((g, ids))
-                ids, g = ids[order], g[order]
-                new = np.append(True, (g[1:] != g[:-1]) | (ids[1:] != ids[:-1]))
-                ids, g = ids[new], g[new]
-                # a window of several documents of this slice: all but the least are repeats, the least one asks
-                order = np.lexsort((ids, g))
-                ids, g = ids[order], g[order]
-                least = np.append(True, g[1:] != g[:-1])
-                rows = []
-                for here, known in ((least, 0), (~least, 1)):
-                    i, h = ids[here], g[here]
-                    order = np.argsort(i, kind="stable")
-                    i, h = i[order], h[order]
-                    for b, who, counts, c in _by_bucket(buckets, (mix(h) % np.uint64(buckets)).astype(np.int64), i, {"g": h}):
-                        rows.append((-1 - (b + int(ids[0])) % buckets if known else b, who, counts, c["g"]))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), packed([r[1] for r in rows], np.int64), packed([r[2] for r in rows], np.int32), packed([r[3] for r in rows], np.uint64)], ["bucket", "ids", "counts", "windows"])
+                parts.append((part.column("doc_id").to_numpy(zero_copy_only=False)[doc[at]], spans[at]))
+                size += len(at)
+                if size >= SEND:
+                    yield send(parts)
+                    parts, size = [], 0
+        if parts:
+            yield send(parts)
 
     return run
 
