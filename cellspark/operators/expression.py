@@ -36,11 +36,13 @@ def filter_barcodes(reads: DataFrame, whitelist: DataFrame) -> DataFrame:
 
 
 def correct_barcodes(reads: DataFrame, whitelist: DataFrame) -> DataFrame:
-    """(barcode, corrected): unknown barcodes that differ in one place from exactly one known one."""
-    unknown = reads.select("barcode").distinct().join(whitelist.select("barcode"), "barcode", "left_anti")
+    """(barcode, corrected): unknown barcodes that differ in one place from exactly one known one.
+
+    A known barcode has as many rows as places here, which Spark's estimate of its size does not know of: it is never broadcast."""
+    unknown = reads.select("barcode").distinct().join(whitelist.select("barcode").hint("merge"), "barcode", "left_anti")
     place = F.sequence(F.lit(1), F.length("code"))
     wild = lambda df, name: df.select(F.col("barcode").alias("code")).select(F.col("code").alias(name), F.explode(F.transform(place, lambda i: F.concat(F.substring("code", F.lit(1), i - 1), F.lit("*"), F.substring("code", i + 1, F.length("code"))))).alias("key"))
-    hits = wild(unknown, "barcode").join(wild(whitelist, "known"), "key").select("barcode", "known").distinct()
+    hits = wild(unknown, "barcode").join(wild(whitelist, "known").hint("merge"), "key").select("barcode", "known").distinct()
     return hits.groupBy("barcode").agg(F.count("*").alias("n"), F.min("known").alias("corrected")).where("n = 1").select("barcode", "corrected")
 
 
