@@ -84,7 +84,7 @@ def cell_cycle_phase(values: DataFrame, markers: list[tuple[int, str]], n_genes:
 
 
 #: Cells of a block, and rows of it whose distances are computed at once.
-BLOCK, AT_ONCE = 4096, 512
+BLOCK, AT_ONCE = 16384, 128
 
 
 def _nearest(a: np.ndarray, b: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,6 +132,26 @@ def _k_nearest(a: np.ndarray, b: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarra
 def knn_graph(cells: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
     """(id, neighbour, d2): the k nearest of every cell, ties to the smaller id. Exact.
 
+    Cells of equal vectors are compared once, under their least id: the k nearest of a vector stand for themselves and their
+    equals, of which k + 1 at most can be among the nearest of a cell."""
+    own = Window.partitionBy("vector")
+    named = cells.select("id", "vector", F.min("id").over(own).alias("class"), F.row_number().over(own.orderBy("id")).alias("number"))
+    known = cut(named, "cells")
+    near = _knn_distinct(known.where("number = 1"), k, block)
+    members = known.where(F.col("number") <= k + 1).select(F.col("class").alias("neighbour"), F.col("id").alias("member"))
+    if not known.where("number > 1").head(1):
+        return near
+    found = cut(near.union(known.where("number = 1").select("id", F.col("id").alias("neighbour"), F.lit(0.0).alias("d2"))), "near")
+    first = F.row_number().over(Window.partitionBy("id").orderBy("d2", "member"))
+    each = found.join(members.hint("merge"), "neighbour").withColumn("rank", first).where(F.col("rank") <= k + 1)
+    lists = each.groupBy(F.col("id").alias("class")).agg(F.array_sort(F.collect_list(F.struct("d2", "member"))).alias("near"))
+    others = F.slice(F.filter("near", lambda n: n["member"] != F.col("id")), 1, k)
+    return known.select("id", "class").join(lists.hint("merge"), "class").select("id", F.explode(others).alias("n")).select("id", F.col("n.member").alias("neighbour"), "n.d2")
+
+
+def _knn_distinct(cells: DataFrame, k: int, block: int) -> DataFrame:
+    """knn_graph() of cells whose vectors differ.
+
     Cells are dealt to the nearest of some pivots (cells themselves, PIVOTS at most), and a pivot's cells to blocks of about so many.
     The k nearest of its own block bound how far a cell has to look: by the triangle inequality no cell of a pivot is nearer
     than the distance to the pivot less the distance of the pivot's farthest cell. A cell is sent to the blocks of those pivots
