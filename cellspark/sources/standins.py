@@ -41,10 +41,17 @@ def letters(k) -> F.Column:
     return F.translate(F.md5(k.cast("string").cast("binary")), "0123456789abcdef", "ACGT" * 4)
 
 
+def few_letters(k: F.Column, n: int) -> F.Column:
+    """letters(k % n), which are constants where k has no sign."""
+    rest = k % n
+    return F.when(rest >= 0, F.get(F.array(*[letters(F.lit(i)) for i in range(n)]), rest.cast("int"))).otherwise(letters(rest))
+
+
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq, gene, condition key: cell barcode, molecular tag and insert from lineitem and orders."""
-    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    seq = F.concat(F.substring(letters(F.col("o_custkey")), 1, 16), F.substring(letters(F.col("l_suppkey") % 10), 1, 12), letters(F.col("l_partkey") % 20))
+    cells = table(spark, sf_dir, "orders").select("o_orderkey", F.substring(letters(F.col("o_custkey")), 1, 16).alias("cell"))
+    rows = table(spark, sf_dir, "lineitem").join(cells, F.col("l_orderkey") == F.col("o_orderkey"))
+    seq = F.concat("cell", F.substring(few_letters(F.col("l_suppkey"), 10), 1, 12), few_letters(F.col("l_partkey"), 20))
     return rows.select(F.when(F.col("l_linenumber") == 7, F.concat(F.lit("N"), F.substring(seq, 2, 100))).otherwise(seq).alias("seq"), (F.col("l_partkey") % 20).cast("int").alias("gene"))
 
 
