@@ -53,3 +53,62 @@ def test_nearest_parents_of_a_crowd_need_no_pairs(crowd, monkeypatch):
     want = sorted(map(tuple, tr.stitch_candidates(tracks).withColumn("rank", first).where("rank = 1").select("movie", "track_id", "parent").collect()))
     monkeypatch.setattr(tr, "_within_reach", None)
     assert sorted(map(tuple, tr.stitch_nearest(tracks).collect())) == want != []
+
+
+def tracks_of(objects):
+    return objects.where("x = x").select("movie", tr.track_key(F.col("t"), F.col("ID")).alias("track_id"), "t", "x", "y", "area")
+
+
+def test_transport_in_reach_costs_as_that_of_all_pairs(monkeypatch):
+    random, held, solve = np.random.default_rng(6), [], kernels.priced_transport
+    monkeypatch.setattr(kernels, "priced_transport", lambda row, *a: held.append(len(row)) or solve(row, *a))
+    for n in (1, 7, 60, 300):
+        ax, ay, bx, by = random.exponential(30, (4, n))
+        full = (ax[:, None] - bx) ** 2 + (ay[:, None] - by) ** 2
+        row, column = np.nonzero(full <= 2500)
+        cost, alone, adds = full[row, column], np.full(n, 2500.0), np.stack([-random.random(n) * 9, np.full(n, 625.0)], 1)
+        supply, capacity = random.integers(1, 4, (2, n))
+
+        def near(pays, least):
+            if pays is None:
+                yield kernels.few_nearest(ax, ay, bx, by, 50.0, 4)
+            else:
+                for i, j, d2 in kernels.pairs_in_reach(ax, ay, np.full(n, 50.0), bx, by):
+                    some = d2 + least[j] < pays[i]
+                    yield i[some], j[some], d2[some]
+
+        held.clear()
+        found = kernels.transport_in_reach(near, alone, supply, capacity, adds)
+        most, out, into = max(held), np.zeros(n), np.zeros((n, 2))
+        for i, j, k, amount in found:
+            out[i], into[j, k] = out[i] + amount, into[j, k] + amount
+        assert (out <= supply).all() and (into <= capacity[:, None]).all()
+        got = sum((full[i, j] + adds[j, k] - 2500) * amount for i, j, k, amount in found)
+        costs = np.concatenate([cost + adds[column, k] for k in range(2)])
+        want = kernels.transport(np.tile(row, 2), np.concatenate([column, column + n]), costs, alone, supply, np.tile(capacity, 2))
+        assert got == pytest.approx(sum((costs[e] - 2500) * amount for e, amount in want))
+        assert n < 300 or most < len(costs) / 3
+
+
+def test_assignments_of_a_crowd_hold_no_pairs(crowd, monkeypatch):
+    tracks = tracks_of(crowd)
+    pairs = tr.stitch_candidates(tracks).collect()
+    a, b = (np.unique([f"{r['movie']} {r[c]}" for r in pairs], return_inverse=True)[1] for c in ("track_id", "parent"))
+    cost, n, m = np.array([r["d2"] for r in pairs]), a.max() + 1, b.max() + 1
+    costs = np.concatenate([cost, cost + 625])
+    best = kernels.transport(np.tile(a, 2), np.concatenate([b, b + m]), costs, np.full(n, 2500.0), np.ones(n, int), np.ones(2 * m, int))
+    want_links = sum(r["d2"] - 2500 for r in tr.link_optimal(tr.link_candidates(crowd)).collect())
+    families = tr.family_costs(tr.track_ends(tracks)).collect()
+    ends = {(r["movie"], r["track_id"]): r for r in tr.track_ends(tracks).collect()}
+    of = {key: i for i, key in enumerate(ends)}
+    child, parent = (np.array([of[r["movie"], r[c]] for r in families]) for c in ("track_id", "parent"))
+    link = np.array([r["cost"] for r in families])
+    start, end = (np.array([r[c] for r in ends.values()]) for c in ("start", "end"))
+    want_families = kernels.best_families(parent, child, link, link, start, end, tr.DIVISION)[1]
+    monkeypatch.setattr(tr, "_within_reach", None)
+    monkeypatch.setattr(tr, "link_places", None)
+    got = tr.stitch(tracks).collect()
+    twice = len(got) - len({(r["movie"], r["parent"]) for r in got})
+    assert sum(r["d2"] - 2500 for r in got) + 625 * twice == pytest.approx(sum((costs[e] - 2500) * amount for e, amount in best))
+    assert sum(r["d2"] - 2500 for r in tr.link_optimal_objects(crowd).collect()) == pytest.approx(want_links)
+    assert sum(r["cost"] for r in tr.optimise(tracks).collect()) == pytest.approx(want_families)
