@@ -112,3 +112,15 @@ def test_assignments_of_a_crowd_hold_no_pairs(crowd, monkeypatch):
     assert sum(r["d2"] - 2500 for r in got) + 625 * twice == pytest.approx(sum((costs[e] - 2500) * amount for e, amount in best))
     assert sum(r["d2"] - 2500 for r in tr.link_optimal_objects(crowd).collect()) == pytest.approx(want_links)
     assert sum(r["cost"] for r in tr.optimise(tracks).collect()) == pytest.approx(want_families)
+
+
+def test_tracks_and_ends_of_a_crowd_need_no_pairs(crowd, monkeypatch):
+    objects = crowd.where("x = x")
+
+    def found(links):
+        ids = tr.assign_track_ids(objects, links)
+        return [sorted(map(str, df.collect())) for df in (ids, tr.tracks_long(objects, ids), tr.track_ends(tr.tracks_long(objects, ids)))]
+
+    want = found(tr.link_mutual(tr.link_candidates(objects)))
+    monkeypatch.setattr(tr, "link_places", None)
+    assert found(tr.link_mutual(tr.nearest_candidates(objects))) == want
